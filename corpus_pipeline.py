@@ -1,10 +1,60 @@
-"""Filtering pipeline over ``documents``."""
+"""Filtering pipeline over ``documents``: five stages, each one operator.
+
+Every stage takes all its predecessor kept; each but the last returns the columns
+of ``documents``.  Stages are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from listrec.llm import decontam, pieces, secret_scan, simhash, toxicity
+from listrec.llm.common import cut, labelled, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents scored 0.5 or more by a classifier fitted on the labelled ones."""
+    labels = labelled(table(spark, sf_dir, "labels", ["doc_id", "toxic"]), "toxic")
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model, keep=tuple(c for c in docs.columns if c != "text"), text=True).filter("predicted = 0").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that with the least id, of each group of near copies."""
+    return simhash.without_near_duplicates(docs).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a window of a benchmark item."""
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"])).select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; n_chars follows the text where it changed."""
+    clean = secret_scan.redact_documents(docs.withColumn("_n", F.length("text")))
+    changed = F.length("text") != F.col("_n")
+    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with sampled segmentations."""
+    return pieces.encode_documents(docs, keep=("doc_id", "lang", "source", "n_chars"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("sentencepiece", encode),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

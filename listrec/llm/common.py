@@ -80,5 +80,5 @@ def map_texts(documents: DataFrame, work: Callable[[list[str | None]], dict[str,
             cols = work(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(cols[n], t) for n, t in types)], [*keep, *(n for n, _ in types)])
 
-    source = documents.select(*keep, "text")
+    source = documents.select(*dict.fromkeys((*keep, "text")))
     return source.mapInArrow(run, T.StructType([*(source.schema[k] for k in keep), *out.fields]))

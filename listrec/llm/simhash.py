@@ -27,7 +27,7 @@ from .graph import components
 SEED = 42
 BLOCK = 65_536
 CHUNK = 1 << 20
-BITS = np.arange(64, dtype=np.uint64)
+EMPTY = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -59,10 +59,10 @@ def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
-    """64 vertical bit planes, each packed to 64-bit words with one spare word."""
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    """Vertical bit planes of the fingerprints, each packed to 64-bit words with one spare word."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").T
     words = (len(fp) + 63) // 64 + 1
-    packed = np.zeros((64, words * 8), np.uint8)
+    packed = np.zeros((len(bits), words * 8), np.uint8)
     part = np.packbits(bits, axis=1, bitorder="little")
     packed[:, : part.shape[1]] = part
     return packed.view(np.uint64)
@@ -84,7 +84,7 @@ def near(planes: np.ndarray, d: int, valid: np.ndarray, radius: int) -> np.ndarr
     levels = int(radius + 1).bit_length()
     count = [np.zeros_like(valid) for _ in range(levels)]
     over = ~valid
-    for at in range(0, 64, 8):
+    for at in range(0, len(planes), 8):
         part = planes[at : at + 8]
         for carry in part ^ shifted(part, d):
             for k in range(levels):
@@ -105,7 +105,10 @@ def passed(count: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def forest(fp: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that span the links (same bucket, distance within the radius) of a sorted block."""
+    """Pairs of rows that span the links (same bucket, distance within the radius) of a sorted block.
+
+    A fingerprint is one 64-bit word or a row of them.
+    """
     root = np.arange(len(fp))
     rows, planes, d = np.arange(len(fp)), planes_of(fp), 1
     while d < len(rows):
@@ -140,7 +143,7 @@ def forest(fp: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray,
             break
         d += 1
     at = np.nonzero(root != np.arange(len(fp)))[0]
-    return fp[at], fp[root[at]]
+    return at, root[at]
 
 
 def bucket_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
@@ -162,8 +165,9 @@ def bucket_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
             starts = np.concatenate(([True], (c[1:] != c[:-1]) | (key[1:] != key[:-1]))) if len(c) else np.empty(0, bool)
             bucket = np.cumsum(starts) - 1
             shared = np.bincount(bucket)[bucket] > 1 if len(bucket) else starts
-            a, b = forest(fp[shared], np.unique(bucket[shared], return_inverse=True)[1], radius) if shared.any() else (fp[:0], fp[:0])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            fp = fp[shared]
+            a, b = forest(fp, np.unique(bucket[shared], return_inverse=True)[1], radius) if len(fp) else (fp, fp)
+            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"]) if len(fp) else EMPTY
 
         for batch in batches:
             held = [np.concatenate((h, batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64))) for h, n in zip(held, ("c", "key", "fp"), strict=True)]
@@ -193,3 +197,116 @@ def groups(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = cut(named.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Of the sketches of whole near-duplicate search: bits, bands and rows of the bucket keys.
+WORDS, BANDS, ROWS = 4, 10, 3
+
+
+def splitmix(h: np.ndarray) -> np.ndarray:
+    """A second, independent-looking hash of 64-bit hashes."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def sketch(text: str | None, width: int = 5) -> tuple[bytes, list[int]]:
+    """A SimHash of 256 bits over distinct shingles, and ten bucket keys of three minima each."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+    sums, least = np.zeros((WORDS, 64), np.int64), np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(h), CHUNK // 16):
+        part = h[at : at + CHUNK // 16]
+        for k in range(WORDS):
+            part = splitmix(part)
+            sums[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        for k in range(BANDS * ROWS):
+            least[k] = min(least[k], ((part ^ (part >> np.uint64(29))) * SPREAD[k]).min())
+    bits = np.packbits((2 * sums > len(h)).astype(np.uint8), axis=1, bitorder="little")
+    return bits.tobytes(), [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes()) - (1 << 63) for k in range(0, BANDS * ROWS, ROWS)]
+
+
+SPREAD = splitmix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+SPLIT = "a long, b long, c int, key long, sim binary"
+
+
+def block_links(rows: DataFrame, radius: int, last: bool) -> DataFrame:
+    """Links of rows (c, key, node, sim) that share a bucket (c, key), as pairs (a, b) of nodes.
+
+    Rows are dealt by ranges of (c, key, node), so a hot bucket spreads over many
+    tasks.  The bucket at either end of a task may go on in its neighbour: one row
+    for each group found in it comes out again (b is null) for a further round.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "c", "key") if last else rows.repartitionByRange(parts, "c", "key", "node")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True
+
+        def solve(c, key, node, sim, opening, closing):
+            starts = np.concatenate(([True], (c[1:] != c[:-1]) | (key[1:] != key[:-1])))
+            bucket = np.cumsum(starts) - 1
+            a, b = forest(sim, bucket, radius)
+            root = np.ones(len(c), bool)
+            root[a] = False
+            edge = root & ((bucket == 0) & opening | (bucket == bucket[-1]) & closing)
+            return a, b, edge
+
+        def out(c, key, node, sim, a, b, edge):
+            e = np.nonzero(edge)[0]
+            none = [None] * len(a)
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate((node[a], node[e]))), pa.array([*node[b].tolist(), *[None] * len(e)], pa.int64()),
+                pa.array([*none, *c[e].tolist()], pa.int32()), pa.array([*none, *key[e].tolist()], pa.int64()), pa.array([*none, *(s.tobytes() for s in sim[e])], pa.binary()),
+            ], ["a", "b", "c", "key", "sim"])
+
+        for batch in batches:
+            new = [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("c", "key", "node")]
+            new.append(np.frombuffer(b"".join(batch.column("sim").to_pylist()), np.uint64).reshape(-1, WORDS))
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            if len(held[0]) >= BLOCK:
+                a, b, _ = found = solve(*held, False, False)
+                yield out(*held, a, b, np.zeros(len(held[0]), bool))
+                # of the bucket that may go on, and of the first one, one row a group stays
+                stay = np.ones(len(held[0]), bool)
+                stay[a] = False
+                c, key = held[:2]
+                stay &= (c == c[-1]) & (key == key[-1]) | first & (c == c[0]) & (key == key[0])
+                del found
+                held = [h[stay] for h in held]
+        if held and len(held[0]):
+            yield out(*held, *solve(*held, not last, not last))
+
+    return dealt.sortWithinPartitions("c", "key", "node").select("c", "key", "node", "sim").mapInArrow(link, SPLIT)
+
+
+def near_groups(documents: DataFrame, width: int = 5, radius: int = 45) -> DataFrame:
+    """Rows (doc_id, component_id) of every document that is not the first of its group.
+
+    Finds texts whose sets of ``width``-word shingles have a Jaccard similarity of
+    about 0.8 or more: at 0.8 the expected distance of their 256-bit SimHashes is
+    38, at 0.9 it is 27; ``radius`` lies above the former.  Only texts with a common
+    bucket key meet (at 0.8 all but one in a thousand do).  Equal texts collapse
+    first.  Null ids take no part.  Texts without words are equal to each other.
+    """
+    def work(texts: list[str | None]) -> dict[str, list]:
+        found = [sketch(t, width) for t in texts]
+        return {"sim": [s for s, _ in found], "keys": [k for _, k in found]}
+
+    prints = cut(map_texts(documents.filter("doc_id is not null"), work, "sim binary, keys array<bigint>"), "sketches")
+    distinct = cut(prints.groupBy("sim", "keys").agg(F.min("doc_id").alias("node")), "distinct")
+    rows = distinct.select("node", "sim", F.posexplode("keys").alias("c", "key"))
+    found = cut(block_links(rows.select("c", "key", "node", "sim"), radius, last=False), "links")
+    again = found.filter("b is null").select("c", "key", F.col("a").alias("node"), "sim").distinct()
+    more = block_links(again, radius, last=True).select("a", "b")
+    roots = components(found.filter("b is not null").select("a", "b").unionByName(more))
+    named = distinct.join(roots, "node", "left").select("sim", "keys", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(named, ["sim", "keys"]).filter("doc_id <> component_id").select("doc_id", "component_id")
+
+
+def without_near_duplicates(documents: DataFrame, width: int = 5, radius: int = 45) -> DataFrame:
+    """The documents less all but the least doc_id of each group; rows without an id stay."""
+    gone = near_groups(documents, width, radius).select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti")

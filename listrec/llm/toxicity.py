@@ -151,12 +151,13 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 8_000, features: in
     return Linear(best.astype(np.int32), w * odds, float(b))
 
 
-def score(documents: DataFrame, model: Linear, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(documents: DataFrame, model: Linear, keep: tuple[str, ...] = ("doc_id",), text: bool = False) -> DataFrame:
     """Per row: the ``keep`` columns, ``score`` from 0 to 1 and ``predicted`` (1 from 0.5 on).
 
+    With ``text`` the texts come along.
     Null and empty texts have no features and get the bias alone.  Rows are
     independent; an empty table gives an empty result.
     """
     hasher = Hasher()
-    scored = map_texts(documents, lambda texts: {"score": [model.score(hasher.ids(words_of(t))) for t in texts]}, "score double", keep=keep)
+    scored = map_texts(documents, lambda texts: {"score": [model.score(hasher.ids(words_of(t))) for t in texts]}, "score double", keep=(*keep, "text") if text else keep)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
