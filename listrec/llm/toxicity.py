@@ -87,7 +87,7 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = 8_000, features: int = 20_000, ridge: float = 0.02, swap: float = 1.0, steps: int = 300) -> Linear:
+def fit(documents: DataFrame, labels: DataFrame, rows: int = 6_000, features: int = 20_000, ridge: float = 0.02, swap: float = 1.0, steps: int = 300) -> Linear:
     """Fit on at most ``rows`` labelled texts (``labels``: doc_id, label).
 
     Executors turn the texts to feature ids; the driver gets ids only.  The
@@ -101,17 +101,17 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 8_000, features: in
     def work(texts: list[str | None]) -> dict[str, list]:
         words = [words_of(t) for t in texts]
         other = [swapped(w) for w in words]
-        return {"ids": [hasher.ids(w) for w in words], "other": [hasher.ids(w) if w is not None else None for w in other]}
+        return {"ids": [hasher.ids(w).tobytes() for w in words], "other": [hasher.ids(w).tobytes() if w is not None else None for w in other]}
 
-    found = map_texts(sample(documents, labels, rows), work, "ids array<int>, other array<int>", keep=("doc_id", "label")).collect()
+    found = map_texts(sample(documents, labels, rows), work, "ids binary, other binary", keep=("doc_id", "label")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["label"]))
     y = np.array([r["label"] for r in found], float)
     n, pos = len(y), float(y.sum())
     prior = float(np.log((pos + 0.5) / (n - pos + 0.5)))
     if pos in (0, n):
         return Linear(np.empty(0, np.int32), np.empty(0), prior)
-    ids = [np.array(r["ids"], np.int64) for r in found]
-    flat, of = np.concatenate(ids), np.repeat(np.arange(n), [len(i) for i in ids])
+    ids = [np.frombuffer(r["ids"], np.int32) for r in found]
+    flat, of = np.concatenate(ids), np.repeat(np.arange(n, dtype=np.int32), [len(i) for i in ids])
     size = 1 << BITS
     df, hit = np.bincount(flat, minlength=size), np.bincount(flat, y[of], size)
     expect = df * pos / n
@@ -119,17 +119,17 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 8_000, features: in
     best = np.sort(np.lexsort((np.arange(size), -chi))[:features])
     best = best[chi[best] > 3.8]
     odds = np.log((hit[best] + 0.5) / (pos + 1)) - np.log((df[best] - hit[best] + 0.5) / (n - pos + 1))
-    where = np.full(size, -1, np.int64)
+    where = np.full(size, -1, np.int32)
     where[best] = np.arange(len(best))
 
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        c = where[np.concatenate(rows)] if rows else np.empty(0, np.int64)
-        r = np.repeat(np.arange(len(rows)), [len(i) for i in rows])
+        c = where[np.concatenate(rows)] if rows else np.empty(0, np.int32)
+        r = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i in rows])
         return r[c >= 0], c[c >= 0]
 
     row, col = sparse(ids)
     pairs = [k for k, r in enumerate(found) if r["other"] is not None]
-    minus = sparse([np.array(found[k]["other"], np.int64) for k in pairs])
+    minus = sparse([np.frombuffer(found[k]["other"], np.int32) for k in pairs])
     plus = sparse([ids[k] for k in pairs])
     d, m = len(best), len(pairs)
     dot = lambda w, r, c, k: np.bincount(r, w[c] * odds[c], k)
