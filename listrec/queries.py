@@ -38,8 +38,8 @@ class Tables:
 
     @property
     def users(self) -> DataFrame:
-        """Listed users: all in the log, and some that are not (cold)."""
-        customers = self.spark.read.parquet(f"{self.dir}/customer.parquet").select(F.col("c_custkey").alias("user_id")).filter("user_id % 7 = 0")
+        """Listed users: all in the log, and all customers, many of whom are not (cold)."""
+        customers = self.spark.read.parquet(f"{self.dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
         return self.events.select("user_id").union(customers).distinct()
 
     @property
@@ -103,13 +103,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "matrix": (("sym",), "SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, neighbor_id) AS INTEGER) AS neighbor_rank FROM sym QUALIFY neighbor_rank <= 50"),
     "pop": (("pairs",), "SELECT item_id, CAST(sum(weight) AS BIGINT) AS item_popularity, count(*) AS item_n_users FROM pairs GROUP BY item_id"),
     "top": (("pop", "pool"), f"SELECT item_id, item_popularity FROM pop WHERE item_id IN (FROM pool) ORDER BY item_popularity DESC, item_id LIMIT {TOP}"),
-    "users": (("ev",), "SELECT user_id FROM ev UNION SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0"),
+    "users": (("ev",), "SELECT user_id FROM ev UNION SELECT c_custkey FROM customer"),
     "seeds": (("pairs", "users"), f"SELECT user_id, item_id AS seed_item_id FROM pairs WHERE user_id IN (FROM users) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_timestamp DESC, item_id) <= {SEEDS}"),
     "cscores": (("seeds", "matrix", "pool"), "SELECT user_id, neighbor_id AS item_id, CAST(sum(weight) AS DOUBLE) AS covisit_score FROM seeds JOIN matrix ON seed_item_id = matrix.item_id WHERE neighbor_id IN (FROM pool) GROUP BY ALL"),
     "ctop": (("cscores",), f"SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY covisit_score DESC, item_id) - 1 AS INTEGER) AS covisit_rank FROM cscores QUALIFY covisit_rank < {TOP}"),
     "als": (("pool",), f"""SELECT user_id, item_id, als_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY als_score DESC, item_id) - 1 AS INTEGER) AS als_rank FROM (
         SELECT u.vec_id AS user_id, i.vec_id AS item_id, list_dot_product(CAST(u.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS als_score
-        FROM embeddings u, embeddings i WHERE u.vec_id % 10 = 0 AND i.vec_id IN (FROM pool)) QUALIFY als_rank < {TOP}"""),
+        FROM embeddings u, embeddings i WHERE u.vec_id % 50 = 0 AND i.vec_id IN (FROM pool)) QUALIFY als_rank < {TOP}"""),
     "merged": (("als", "ctop"), """SELECT user_id, item_id, coalesce(als_score, 0.0) AS als_score, coalesce(als_rank, 999) AS als_rank, coalesce(covisit_score, 0.0) AS covisit_score, coalesce(covisit_rank, 999) AS covisit_rank,
         als_score IS NOT NULL AS in_als, covisit_score IS NOT NULL AS in_covisit FROM als FULL JOIN ctop USING (user_id, item_id)"""),
     "cold": (("als", "users"), "SELECT user_id FROM users WHERE user_id NOT IN (SELECT user_id FROM als)"),

@@ -60,6 +60,6 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """User factors (every tenth vector) and item factors (all)."""
+    """User factors (the query set: ids divisible by 50) and item factors (all)."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
-    return e.filter("id % 10 = 0"), e
+    return e.filter("id % 50 = 0"), e
