@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+#: Folders chosen for applications without spark.checkpoint.dir.
+LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,11 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
     (tests in local mode) a temporary folder is chosen and remembered.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in LOCAL:
+        LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+    return LOCAL[app]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
