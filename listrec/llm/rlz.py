@@ -156,9 +156,12 @@ def windows_of(documents: DataFrame, chosen: DataFrame, window: int) -> DataFram
                 roll = Rolling(unpack(b.column("z")[i]), 1)
                 first, m, a = (np.array(b.column(c)[i].as_py(), np.int64) for c in ("l", "m", "a"))
                 starts = np.concatenate([np.arange(x, x + k) for x, k in zip(first, m, strict=True)])
+                anchor = np.repeat(a, m)
+                inside = starts + window < len(roll.sums)  # else of another text with this id
+                starts, anchor = starts[inside], anchor[inside]
                 doc = np.full(len(starts), b.column("doc_id")[i].as_py(), np.int64)
                 w = roll.runs(starts, starts + window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, m)), pa.array(w), pa.array(doc), pa.array(starts.astype(np.int32))], ["a", "w", "doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(w), pa.array(doc), pa.array(starts.astype(np.int32))], ["a", "w", "doc_id", "s"])
 
     return joined.mapInArrow(work, "a long, w long, doc_id long, s int")
 
@@ -204,8 +207,9 @@ def deduplicate(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     ``kept`` joins the words left by one blank.  Null and empty texts have no
     words; texts shorter than a window are kept whole.  Rows without an id are kept
-    whole and are no reference; ids name documents, so of rows that repeat an id
-    neither precedes the other.  An empty table gives an empty result.
+    whole and are no reference.  Ids name documents: of rows that repeat an id
+    neither precedes the other, and if their texts differ, what is found in one is
+    removed at the same places of the other.  An empty table gives an empty result.
     """
     runs = matches(documents, window, gram)
     per = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "src", "src_start")).alias("r")).withColumnRenamed("doc_id", "k")
@@ -222,8 +226,8 @@ def deduplicate(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                     rows = list(zip(*(part.column(c)[i].as_py() or [] for c in ("start", "n", "src", "src_start")), strict=True))
                     gone = np.zeros(len(words) + 1, np.int64)
                     for start, n, _, _ in rows:
-                        gone[start] += 1
-                        gone[start + n] -= 1
+                        gone[min(start, len(words))] += 1
+                        gone[min(start + n, len(words))] -= 1
                     stays = np.cumsum(gone[:-1]) == 0
                     out["n_words"].append(len(words))
                     out["n_removed"].append(int(len(words) - stays.sum()))

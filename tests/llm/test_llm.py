@@ -86,6 +86,8 @@ def test_substring_dedup_edge_rows(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rlz.deduplicate(frame(spark, rows)).collect())
     assert got == [(0, 30, 0), (1, 30, 0), (1, 30, 0), (2, 0, 0)]
     assert rlz.deduplicate(frame(spark, [])).count() == 0
+    other = [(1, t), (2, t + " x " + t[:45] + " y"), (2, t[:50]), (3, t[:43] + " z " + t)]
+    assert rlz.deduplicate(frame(spark, other)).count() == 4
 
 
 # 2 ---------------------------------------------------------------------------
