@@ -4,9 +4,11 @@ Only DataFrame functions run here.  Every benchmark item gives windows of
 ``width`` consecutive words (an item of fewer words gives one window of all its
 words).  Windows are keyed by a 64-bit hash; the distinct ones form the
 broadcast side of a hash join that every document window probes, and a hit is
-kept only when its words equal the window's words.  The side is broadcast only
-below a checked number of windows and bytes; beyond it the same keys are
-joined by a shuffle that carries each window's own words.
+kept only when its words equal the window's words.  A smaller set, the hashes of
+the windows' first three words, is probed before, so that few document windows are
+cut out and hashed whole.  Both sets are broadcast only below a checked number of
+windows and bytes; beyond it the same keys are joined by a shuffle that carries
+each window's own words.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+HEAD = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -24,10 +27,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(folded, SEPARATORS), lambda w: w != "")
 
 
-def _windows(n: Column, width: int, make) -> Column:
-    """``make(position, length)`` for each window of ``width`` words, position from 1."""
-    starts = F.when(n >= width, F.sequence(F.lit(1), n - F.lit(width - 1)))
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: make(i, F.lit(width)))
+def _head(w: Column, first: Column, length: int) -> Column:
+    """Hash of the first words of a window that starts at the 0-based position ``first``."""
+    return F.xxhash64(*[F.get(w, first + k) for k in range(min(HEAD, length))])
+
+
+def _windows(w: Column, n: Column, length: int) -> Column:
+    """Position (from 1), length and head of each window of ``length`` words."""
+    starts = F.when(n >= length, F.sequence(F.lit(1), n - F.lit(length - 1)))
+    starts = F.coalesce(starts, F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), _head(w, i - 1, length).alias("head")))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -51,12 +60,18 @@ def hits(documents: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_
     lens, small = sorted(size["lens"]), size["n"] <= broadcast_windows and (size["b"] or 0) <= broadcast_bytes
     docs = documents.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("key"), words(F.col("text")).alias("w"))
     docs = docs.withColumn("n", F.size("w"))
-    made = [_windows(F.col("n"), m, lambda i, k: F.struct(i.alias("pos"), k.alias("len"), F.xxhash64(F.slice("w", i, k)).alias("h"))) for m in lens or [width]]
-    each = docs.select("key", "w", F.explode(F.concat(*made)).alias("x"))
-    # The words of a window are cut out only for rows whose hash is in the broadcast set.
-    each = each.select("key", F.col("x.pos").alias("pos"), F.col("x.len").alias("len"), F.col("x.h").alias("h"), F.slice("w", F.col("x.pos"), F.col("x.len")).alias("own"))
-    side = F.broadcast(bench) if small else bench
-    return each.join(side, ["h", "len"]).filter(F.col("own") == F.col("window")).select("key", "pos", "len", "items")
+    each = docs.select("key", "w", F.explode(F.concat(*[_windows(F.col("w"), F.col("n"), m) for m in lens or [width]])).alias("x"))
+    each = each.select("key", "w", F.col("x.pos").alias("pos"), F.col("x.len").alias("len"), F.col("x.head").alias("head"))
+    heads = F.coalesce(*[F.when(F.col("len") >= k, _head(F.col("window"), F.lit(0), k)) for k in range(HEAD, 0, -1)])
+    heads = bench.select("len", heads.alias("head"))
+    put = F.broadcast if small else (lambda side: side)
+    if not small:  # what a shuffle carries is the window, not the text
+        each = each.withColumn("w", F.slice("w", F.col("pos"), F.col("len"))).withColumn("at", F.lit(1))
+    else:
+        each = each.withColumn("at", F.col("pos"))
+    near = each.join(put(heads.distinct()), ["len", "head"], "left_semi")
+    own = near.select("key", "pos", "len", F.slice("w", F.col("at"), F.col("len")).alias("own")).withColumn("h", F.xxhash64("own"))
+    return own.join(put(bench), ["h", "len"]).filter(F.col("own") == F.col("window")).select("key", "pos", "len", "items")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
