@@ -229,57 +229,49 @@ def sketch(text: str | None, width: int = 5) -> tuple[bytes, list[int]]:
 
 
 SPREAD = splitmix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-SPLIT = "a long, b long, c int, key long, sim binary"
+#: Most rows of a block of a bucket; a task compares two blocks.
+BUCKET = 4096
 
 
-def block_links(rows: DataFrame, radius: int, last: bool) -> DataFrame:
+def block_links(rows: DataFrame, radius: int) -> DataFrame:
     """Links of rows (c, key, node, sim) that share a bucket (c, key), as pairs (a, b) of nodes.
 
-    Rows are dealt by ranges of (c, key, node), so a hot bucket spreads over many
-    tasks.  The bucket at either end of a task may go on in its neighbour: one row
-    for each group found in it comes out again (b is null) for a further round.
+    Every pair of a bucket is compared, whatever the partitions.  A bucket of over
+    ``BUCKET`` rows is dealt into blocks by a hash of the row, and each pair of
+    blocks is a task's key of its own (a block meets itself there too).  Such
+    buckets are at most one in ``BUCKET`` rows, so their sizes are broadcast.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "c", "key") if last else rows.repartitionByRange(parts, "c", "key", "node")
+    parts, limit = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKET
+    sizes = rows.groupBy("c", "key").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    sizes = sizes.select("c", "key", F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(sizes), ["c", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "sim"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("own")))
+    dealt = dealt.withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    order = ["c", "key", "i", "j"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, True
+        held = None
 
-        def solve(c, key, node, sim, opening, closing):
-            starts = np.concatenate(([True], (c[1:] != c[:-1]) | (key[1:] != key[:-1])))
-            bucket = np.cumsum(starts) - 1
-            a, b = forest(sim, bucket, radius)
-            root = np.ones(len(c), bool)
-            root[a] = False
-            edge = root & ((bucket == 0) & opening | (bucket == bucket[-1]) & closing)
-            return a, b, edge
-
-        def out(c, key, node, sim, a, b, edge):
-            e = np.nonzero(edge)[0]
-            none = [None] * len(a)
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate((node[a], node[e]))), pa.array([*node[b].tolist(), *[None] * len(e)], pa.int64()),
-                pa.array([*none, *c[e].tolist()], pa.int32()), pa.array([*none, *key[e].tolist()], pa.int64()), pa.array([*none, *(s.tobytes() for s in sim[e])], pa.binary()),
-            ], ["a", "b", "c", "key", "sim"])
+        def solve(where, node, sim):
+            starts = np.concatenate(([True], (where[1:] != where[:-1]).any(1)))
+            a, b = forest(sim, np.cumsum(starts) - 1, radius)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         for batch in batches:
-            new = [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("c", "key", "node")]
+            new = [np.stack([batch.column(n).to_numpy().astype(np.int64) for n in order], 1), batch.column("node").to_numpy().astype(np.int64)]
             new.append(np.frombuffer(b"".join(batch.column("sim").to_pylist()), np.uint64).reshape(-1, WORDS))
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            if len(held[0]) >= BLOCK:
-                a, b, _ = found = solve(*held, False, False)
-                yield out(*held, a, b, np.zeros(len(held[0]), bool))
-                # of the bucket that may go on, and of the first one, one row a group stays
-                stay = np.ones(len(held[0]), bool)
-                stay[a] = False
-                c, key = held[:2]
-                stay &= (c == c[-1]) & (key == key[-1]) | first & (c == c[0]) & (key == key[0])
-                del found
-                held = [h[stay] for h in held]
+            if len(held[0]) >= limit:
+                on = (held[0] != held[0][-1]).any(1)
+                end = int(np.nonzero(on)[0][-1]) + 1 if on.any() else 0
+                if end:
+                    yield solve(*(h[:end] for h in held))
+                    held = [h[end:] for h in held]
         if held and len(held[0]):
-            yield out(*held, *solve(*held, not last, not last))
+            yield solve(*held)
 
-    return dealt.sortWithinPartitions("c", "key", "node").select("c", "key", "node", "sim").mapInArrow(link, SPLIT)
+    return dealt.select(*order, "node", "sim").repartition(parts, *order).sortWithinPartitions(*order, "node").mapInArrow(link, "a long, b long").distinct()
 
 
 def near_groups(documents: DataFrame, width: int = 5, radius: int = 45) -> DataFrame:
@@ -298,10 +290,7 @@ def near_groups(documents: DataFrame, width: int = 5, radius: int = 45) -> DataF
     prints = cut(map_texts(documents.filter("doc_id is not null"), work, "sim binary, keys array<bigint>"), "sketches")
     distinct = cut(prints.groupBy("sim", "keys").agg(F.min("doc_id").alias("node")), "distinct")
     rows = distinct.select("node", "sim", F.posexplode("keys").alias("c", "key"))
-    found = cut(block_links(rows.select("c", "key", "node", "sim"), radius, last=False), "links")
-    again = found.filter("b is null").select("c", "key", F.col("a").alias("node"), "sim").distinct()
-    more = block_links(again, radius, last=True).select("a", "b")
-    roots = components(found.filter("b is not null").select("a", "b").unionByName(more))
+    roots = components(block_links(rows.select("c", "key", "node", "sim"), radius))
     named = distinct.join(roots, "node", "left").select("sim", "keys", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, ["sim", "keys"]).filter("doc_id <> component_id").select("doc_id", "component_id")
 

@@ -187,6 +187,27 @@ def test_near_duplicate_stage_splits_a_hot_bucket(spark):
     assert [r.doc_id for r in simhash.without_near_duplicates(frame(spark, rows)).collect()] == [0]
 
 
+def test_block_links_keep_chains_over_blocks_and_partitions(spark, monkeypatch):
+    """Node k lies 40 bits from k - 1 and 80 from k - 2: no link of the one bucket may be lost."""
+    monkeypatch.setattr(simhash, "BUCKET", 3)
+    bits, rows, order = 0, [], [0, 1, 4, 5, 2, 3]
+    for k in range(6):
+        bits ^= sum(1 << b for b in range(40 * k, 40 * k + 40))
+        rows.append((0, 7, order[k], bytearray(bits.to_bytes(32, "little"))))
+    dist = lambda a, b: (int.from_bytes(a[3], "little") ^ int.from_bytes(b[3], "little")).bit_count()
+    by = {r[2]: r for r in rows}
+    want = components_by_force(by, lambda a, b: dist(by[a], by[b]) <= 45)
+    assert len(set(want.values())) == 1 and all(dist(by[a], by[b]) > 45 for a, b in zip(order, order[2:]))
+    for n in ("1", "2", "3", "4"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            pairs = {(r.a, r.b) for r in simhash.block_links(frame(spark, rows, "c int, key long, node long, sim binary"), 45).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert components_by_force(by, lambda a, b: (a, b) in pairs or (b, a) in pairs) == want
+
+
 # 3 ---------------------------------------------------------------------------
 
 
