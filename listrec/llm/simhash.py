@@ -12,7 +12,7 @@ are the groups of near duplicates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -104,10 +104,11 @@ def passed(count: list[np.ndarray], radius: int) -> np.ndarray:
     return out
 
 
-def forest(fp: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, bucket: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that span the links (same bucket, distance within the radius) of a sorted block.
 
-    A fingerprint is one 64-bit word or a row of them.
+    A fingerprint is one 64-bit word or a row of them.  With ``alike`` a pair of rows
+    links only if that holds as well; it is asked of every pair not yet joined.
     """
     root = np.arange(len(fp))
     rows, planes, d = np.arange(len(fp)), planes_of(fp), 1
@@ -130,12 +131,14 @@ def forest(fp: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray,
         x, y = rows[i], rows[i + d]
         apart = root[x] != root[y]
         if apart.any():
-            for p, q in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+            for x_, y_ in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+                p, q = x_, y_
                 while root[p] != p:
                     p = root[p]
                 while root[q] != q:
                     q = root[q]
-                root[max(p, q)] = min(p, q)
+                if p != q and (alike is None or alike(x_, y_)):
+                    root[max(p, q)] = min(p, q)
             while (root != (up := root[root])).any():
                 root = up
         left = root[rows] != root[rows[np.searchsorted(b, b)]]
@@ -211,11 +214,25 @@ def splitmix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: str | None, width: int = 5) -> tuple[bytes, list[int]]:
-    """A SimHash of 256 bits over distinct shingles, and ten bucket keys of three minima each."""
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The 64-bit hashes of a text's distinct shingles, ascending."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
     shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles)))
+
+
+def at_least(p: np.ndarray, q: np.ndarray, least: float) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of ``least`` or more."""
+    if len(p) > len(q):
+        p, q = q, p
+    if len(p) / len(q) < least:
+        return False
+    both = int(np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p))
+    return both / (len(p) + len(q) - both) >= least
+
+
+def sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """A SimHash of 256 bits over a shingle set, and ten bucket keys of three minima each."""
     sums, least = np.zeros((WORDS, 64), np.int64), np.full(BANDS * ROWS, ~np.uint64(0))
     for at in range(0, len(h), CHUNK // 16):
         part = h[at : at + CHUNK // 16]
@@ -233,9 +250,13 @@ SPREAD = splitmix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1
 BUCKET = 4096
 
 
-def block_links(rows: DataFrame, radius: int) -> DataFrame:
+def block_links(rows: DataFrame, radius: int, texts: DataFrame | None = None, width: int = 5, least: float = 0.8) -> DataFrame:
     """Links of rows (c, key, node, sim) that share a bucket (c, key), as pairs (a, b) of nodes.
 
+    With ``texts`` (node, digest, text; ``rows`` have the digest too) a pair within
+    the radius links only if the shingle sets' similarity is ``least`` or more.
+    This is asked before two groups are joined, so a pair that fails hides no other.
+
     Every pair of a bucket is compared, whatever the partitions.  A bucket of over
     ``BUCKET`` rows is dealt into blocks by a hash of the row, and each pair of
     blocks is a task's key of its own (a block meets itself there too).  Such
@@ -246,21 +267,34 @@ def block_links(rows: DataFrame, radius: int) -> DataFrame:
     sizes = sizes.select("c", "key", F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
     dealt = rows.join(F.broadcast(sizes), ["c", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "sim"), F.col("blocks")).cast("int"))
+    if texts is not None:
+        dealt = dealt.join(texts, ["node", "digest"])
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("own")))
     dealt = dealt.withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     order = ["c", "key", "i", "j"]
+    carried = ["node", "sim", *(["text"] if texts is not None else [])]
+
+    texts_too = texts is not None
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def solve(where, node, sim):
-            starts = np.concatenate(([True], (where[1:] != where[:-1]).any(1)))
-            a, b = forest(sim, np.cumsum(starts) - 1, radius)
+        def solve(where, node, sim, text=None):
+            starts, sets = np.concatenate(([True], (where[1:] != where[:-1]).any(1))), {}
+
+            def set_of(row):
+                if row not in sets:
+                    sets[row] = shingle_set(text[row], width)
+                return sets[row]
+
+            a, b = forest(sim, np.cumsum(starts) - 1, radius, None if text is None else lambda x, y: at_least(set_of(x), set_of(y), least))
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         for batch in batches:
             new = [np.stack([batch.column(n).to_numpy().astype(np.int64) for n in order], 1), batch.column("node").to_numpy().astype(np.int64)]
             new.append(np.frombuffer(b"".join(batch.column("sim").to_pylist()), np.uint64).reshape(-1, WORDS))
+            if texts_too:
+                new.append(np.array(batch.column("text").to_pylist(), object))
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if len(held[0]) >= limit:
                 on = (held[0] != held[0][-1]).any(1)
@@ -271,31 +305,45 @@ def block_links(rows: DataFrame, radius: int) -> DataFrame:
         if held and len(held[0]):
             yield solve(*held)
 
-    return dealt.select(*order, "node", "sim").repartition(parts, *order).sortWithinPartitions(*order, "node").mapInArrow(link, "a long, b long").distinct()
+    return dealt.select(*order, *carried).repartition(parts, *order).sortWithinPartitions(*order, "node").mapInArrow(link, "a long, b long").distinct()
 
 
-def near_groups(documents: DataFrame, width: int = 5, radius: int = 45) -> DataFrame:
+def near_groups(documents: DataFrame, width: int = 5, radius: int = 76, least: float = 0.8) -> DataFrame:
     """Rows (doc_id, component_id) of every document that is not the first of its group.
 
-    Finds texts whose sets of ``width``-word shingles have a Jaccard similarity of
-    about 0.8 or more: at 0.8 the expected distance of their 256-bit SimHashes is
-    38, at 0.9 it is 27; ``radius`` lies above the former.  Only texts with a common
-    bucket key meet (at 0.8 all but one in a thousand do).  Equal texts collapse
-    first.  Null ids take no part.  Texts without words are equal to each other.
+    Two texts link if their sets of ``width``-word shingles (as 64-bit hashes) have a
+    Jaccard similarity of ``least`` or more; this is checked on the texts.  Only texts
+    with a common bucket key (at 0.8 all but one in a thousand) and SimHashes within
+    ``radius`` are checked: at 0.8 the expected distance of the 256 bits is 39 with a
+    deviation of 6 (48 for texts of eight and nine words), far inside.  Equal shingle
+    sets collapse first.  Null ids take no part.  Texts without words are equal to
+    each other.
     """
-    def work(texts: list[str | None]) -> dict[str, list]:
-        found = [sketch(t, width) for t in texts]
-        return {"sim": [s for s, _ in found], "keys": [k for _, k in found]}
+    def digest(h: np.ndarray) -> bytes:
+        return xxhash.xxh3_128_digest(h.tobytes())
 
-    prints = cut(map_texts(documents.filter("doc_id is not null"), work, "sim binary, keys array<bigint>"), "sketches")
-    distinct = cut(prints.groupBy("sim", "keys").agg(F.min("doc_id").alias("node")), "distinct")
-    rows = distinct.select("node", "sim", F.posexplode("keys").alias("c", "key"))
-    roots = components(block_links(rows.select("c", "key", "node", "sim"), radius))
-    named = distinct.join(roots, "node", "left").select("sim", "keys", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, ["sim", "keys"]).filter("doc_id <> component_id").select("doc_id", "component_id")
-
-
-def without_near_duplicates(documents: DataFrame, width: int = 5, radius: int = 45) -> DataFrame:
+    def work(texts: list[str | None]) -> dict[str, list]:
+        sets = [shingle_set(t, width) for t in texts]
+        found = [sketch(h) for h in sets]
+        return {"digest": [digest(h) for h in sets], "sim": [s for s, _ in found], "keys": [k for _, k in found]}
+
+    named_rows = documents.filter("doc_id is not null")
+    prints = cut(map_texts(named_rows, work, "digest binary, sim binary, keys array<bigint>"), "sketches")
+    distinct = cut(prints.groupBy("digest", "sim", "keys").agg(F.min("doc_id").alias("node")), "distinct")
+    rows = distinct.select("node", "digest", "sim", F.posexplode("keys").alias("c", "key"))
+    # written before the join, so that the skew join can split a hot bucket
+    met = cut(rows.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1").select("c", "key"), "buckets")
+    shared = cut(rows.join(met, ["c", "key"]), "shared")
+    # only texts that meet another are read again; a repeated id's texts are told apart by their digest
+    firsts = named_rows.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = map_texts(firsts, lambda t: {"digest": [digest(shingle_set(x, width)) for x in t]}, "digest binary", keep=("doc_id", "text"))
+    texts = texts.withColumnRenamed("doc_id", "node").dropDuplicates(["node", "digest"])
+    roots = components(block_links(shared, radius, texts, width, least))
+    named = distinct.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    return prints.select("doc_id", "digest").join(named, "digest").filter("doc_id <> component_id").select("doc_id", "component_id")
+
+
+def without_near_duplicates(documents: DataFrame, width: int = 5, radius: int = 76, least: float = 0.8) -> DataFrame:
     """The documents less all but the least doc_id of each group; rows without an id stay."""
-    gone = near_groups(documents, width, radius).select("doc_id").distinct()
+    gone = near_groups(documents, width, radius, least).select("doc_id").distinct()
     return documents.join(gone, "doc_id", "left_anti")

@@ -208,6 +208,28 @@ def test_block_links_keep_chains_over_blocks_and_partitions(spark, monkeypatch):
         assert components_by_force(by, lambda a, b: (a, b) in pairs or (b, a) in pairs) == want
 
 
+def test_near_duplicate_stage_equals_brute_force_around_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    rng = random.Random(12)
+    vocab, rows = [f"w{i}" for i in range(3000)], []
+    for i in range(25):
+        w = [rng.choice(vocab) for _ in range(rng.choice((12, 60, 150)))]
+        rows.append((100 * i, " ".join(w)))
+        for j in range(1, 9):  # copies of the text and of its copies, with 0.6 to 0.95 of the shingles
+            v = rows[-rng.randint(1, j)][1].split()
+            for _ in range(max(1, round(len(v) * rng.choice((0.005, 0.015, 0.02, 0.025, 0.03, 0.045, 0.06))))):
+                v[rng.randrange(len(v))] = rng.choice(vocab)
+            rows.append((100 * i + j, " ".join(v)))
+    rows += [(5000, "a b c d e f g h"), (5001, "a b c d e f g h i"), (5002, "a b c d e f g h i j k")]  # 4 of 5 shingles are 0.8, 4 of 7 are not
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = [x for a, b in itertools.combinations(sets, 2) if 0.65 < (x := like(a, b)) < 0.95]
+    assert sum(x < 0.8 for x in near) > 100 and sum(x >= 0.8 for x in near) > 50
+    want = components_by_force(sets, lambda a, b: like(a, b) >= 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(frame(spark, rows)).collect()}
+    assert got == {d: c for d, c in want.items() if d != c}
+
+
 # 3 ---------------------------------------------------------------------------
 
 
