@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with sampled segmentations.
 
-A text's lattice is the chain of its best pieces, each with parallel edges: the
-piece itself and its likeliest splits into other pieces of the vocabulary.  A
+A text's lattice has an edge for every piece of the vocabulary that matches at a
+position, and exact backward sums give the probability of each edge there.  No
+piece goes on past the end of a word, so a word's lattice is built once and kept.  A
 perturbed A-star search walks this lattice: every set of paths carries the
 greatest Gumbel-perturbed log-probability of its members, the set with the
 greatest value is opened next, and opening it fixes its best path and leaves the
@@ -14,6 +15,7 @@ the same sample wherever it runs.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -117,6 +119,8 @@ def expand(ids: np.ndarray, choice: np.ndarray, v: Vocabulary) -> np.ndarray:
 def sample(ids: list[int], key: int, k: int, v: Vocabulary) -> list[tuple[np.ndarray, float, float]]:
     """Up to ``k`` distinct paths (ids, log-probability, inclusion score), in perturbed order.
 
+    Only over the best pieces and their likeliest splits; ``encode_documents`` samples
+    the whole lattice with ``sample_lattice``.
     A text without pieces has one path, the empty one.
     """
     if not len(ids):
@@ -173,6 +177,155 @@ def sample(ids: list[int], key: int, k: int, v: Vocabulary) -> list[tuple[np.nda
     return result
 
 
+#: States after which the kept words are dropped.
+KEPT = 400_000
+#: Bytes of the vocabulary as characters that no piece holds.
+BYTES = 0xF0000
+WORD = re.compile(f"{BLANK}+[^{BLANK}\U000F0000-\U000F00FF]*|[^{BLANK}\U000F0000-\U000F00FF]+|[\U000F0000-\U000F00FF]")
+
+
+class Lattice:
+    """Words' lattices: a state is a position in a word, an edge a piece that matches there.
+
+    Edges are stored state by state.  ``logp`` is an edge's probability among all ways
+    to spell the rest of the word, ``others`` that of the state's other edges, and
+    ``cum`` the number of the state plus the cumulated probability.  ``then`` is the
+    next state, -1 at the end of the word.
+    """
+
+    def __init__(self, v: Vocabulary, temper: float = TEMPER) -> None:
+        p, n = v.processor, v.processor.get_piece_size()
+        plain = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))]
+        self.names = [p.id_to_piece(i) for i in range(n)]
+        for b, i in enumerate(v.bytes.tolist()):
+            self.names[i] = chr(BYTES + b)
+        self.ids = {self.names[i]: i for i in [*plain, *v.bytes.tolist()]}
+        self.weight = [-temper * math.log(10 + max(0.0, -p.get_score(i))) for i in range(n)]
+        self.longest = max(map(len, self.ids))
+        if any(not set(w) <= self.ids.keys() or len(WORD.findall(w)) > 1 for w in self.ids):
+            raise ValueError("a piece of the model goes past a word or holds a character that is no piece")
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.states = self.edges = 0
+        self.cum, self.logp, self.others = np.empty(1024), np.empty(1024), np.empty(1024)
+        self.piece, self.then, self.state = (np.empty(1024, np.int64) for _ in range(3))
+        self.first = np.zeros(1024, np.int64)
+
+    def starts(self, words: list[str]) -> np.ndarray:
+        """First states of the words."""
+        if self.states > KEPT:
+            self.clear()
+        return np.array([self.words[w] if w in self.words else self.build(w) for w in words])
+
+    def build(self, word: str) -> int:
+        n, ids, weight, base = len(word), self.ids, self.weight, self.states
+        found = [[(k, m) for m in range(at + 1, min(n, at + self.longest) + 1) if (k := ids.get(word[at:m])) is not None] for at in range(n)]
+        beta, rows = [0.0] * (n + 1), [None] * n
+        for at in range(n - 1, -1, -1):
+            x = [weight[k] + beta[m] for k, m in found[at]]
+            top = max(x)
+            beta[at] = top + math.log(sum([math.exp(y - top) for y in x]))
+            rows[at] = [y - beta[at] for y in x]
+        size = sum(map(len, found))
+        self.grow(self.edges + size, base + n + 1)
+        e = self.edges
+        for at in range(n):
+            chance = [math.exp(x) for x in rows[at]]
+            total, cumulated = sum(chance), 0.0
+            self.first[base + at] = e
+            for j, (k, m) in enumerate(found[at]):
+                cumulated += chance[j]
+                rest = sum(chance[:j]) + sum(chance[j + 1 :])
+                self.cum[e] = base + at + cumulated / total if j + 1 < len(chance) else base + at + 1
+                self.logp[e], self.others[e] = rows[at][j], math.log(rest / total) if rest else -math.inf
+                self.piece[e], self.then[e], self.state[e] = k, base + m if m < n else -1, base + at
+                e += 1
+        self.first[base + n] = e
+        self.edges, self.states, self.words[word] = e, base + n, base
+        return base
+
+    def grow(self, edges: int, states: int) -> None:
+        for name, need in [*((x, edges) for x in ("cum", "logp", "others", "piece", "then", "state")), ("first", states)]:
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate((old, np.empty(max(need, 2 * len(old)) - len(old), old.dtype))))
+
+    def walk(self, cur: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of a random path from each state to its word's end, in order, and the index of the state each comes from."""
+        who, cum = np.arange(len(cur)), self.cum[: self.edges]
+        edges, whose = [who[:0]], [who[:0]]
+        while len(cur):
+            e = np.minimum(np.searchsorted(cum, cur + draw.random(len(cur)), side="right"), self.first[cur + 1] - 1)
+            edges.append(e)
+            whose.append(who)
+            cur = self.then[e]
+            on = cur >= 0
+            cur, who = cur[on], who[on]
+        whose = np.concatenate(whose)
+        order = np.argsort(whose, kind="stable")
+        return np.concatenate(edges)[order], whose[order]
+
+
+@lru_cache(maxsize=2)
+def lattice(model: str = MODEL) -> Lattice:
+    return Lattice(vocabulary(model))
+
+
+def sample_lattice(ids: list[int], key: int, k: int, t: Lattice) -> list[tuple[np.ndarray, float, float]]:
+    """As ``sample``, over every segmentation of the text that ``ids`` spell."""
+    if not len(ids):
+        return [(np.empty(0, np.int32), 0.0, 1.0)]
+    names = t.names
+    starts = t.starts(WORD.findall("".join([names[i] for i in ids])))
+    draw = np.random.Generator(np.random.Philox(key=key & (2**64 - 1)))
+    # as in sample(), with the word of each step
+    opened: list[tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray, int, set[int]]] = []
+
+    def left(state: int, out: set[int]) -> np.ndarray:
+        """Edges of a state less those in ``out``."""
+        return np.array([e for e in range(t.first[state], t.first[state + 1]) if e not in out], np.int64)
+
+    def open_path(edges: np.ndarray, words: np.ndarray, start: int, top: float, barred: set[int]) -> None:
+        before = np.concatenate(([0.0], np.cumsum(t.logp[edges])))
+        barred = barred | {int(edges[start])}
+        mass = before[start:-1] + t.others[edges[start:]]
+        rest = left(t.state[edges[start]], barred)
+        mass[0] = before[start] + np.logaddexp.reduce(t.logp[rest]) if len(rest) else -math.inf
+        branch = np.full(len(edges), -np.inf)
+        branch[start:] = mass - np.log(draw.standard_exponential(len(edges) - start))
+        opened.append((edges, words, before, top, branch, start, barred))
+
+    top = -math.log(draw.standard_exponential())
+    open_path(*t.walk(starts, draw), 0, top, set())
+    threshold = -math.inf
+    while True:
+        best = [int(o[4].argmax()) for o in opened]
+        values = [-float(np.logaddexp(-o[3], -o[4][i])) for o, i in zip(opened, best, strict=True)]
+        which = max(range(len(opened)), key=values.__getitem__)
+        top = values[which]
+        if len(opened) == k or top == -math.inf:
+            threshold = top
+            break
+        edges, words, _, _, branch, first, barred = opened[which]
+        start = best[which]
+        branch[start] = -np.inf
+        out = barred if start == first else {int(edges[start])}
+        rest = left(t.state[edges[start]], out)
+        weights = np.exp(t.logp[rest]).cumsum()
+        new = rest[min(np.searchsorted(weights, draw.random() * weights[-1], side="right"), len(rest) - 1)]
+        word = int(words[start])
+        inside = t.then[new] >= 0
+        more, whose = t.walk(np.concatenate(([t.then[new]], starts[word + 1 :])) if inside else starts[word + 1 :], draw)
+        open_path(np.concatenate((edges[:start], [new], more)), np.concatenate((words[:start], [word], whose + word + (not inside))), start, top, out)
+    result = []
+    for edges, _, before, *_ in opened:
+        z = float(before[-1]) - threshold
+        result.append((t.piece[edges].astype(np.int32), float(before[-1]), 1.0 if z > 5 else -math.expm1(-math.exp(z))))
+    return result
+
+
 def key_of(doc_id: int | None, seed: int) -> int:
     return xxhash.xxh64_intdigest(str(doc_id).encode(), seed)
 
@@ -205,7 +358,7 @@ def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: st
 
     def part(b, texts, docs, v):
         ids = [encode(t, v) for t in texts]
-        found = [sample(i, key_of(d, seed), k, v) for i, d in zip(ids, docs, strict=True)]
+        found = [sample_lattice(i, key_of(d, seed), k, lattice(model)) for i, d in zip(ids, docs, strict=True)]
         same = [decode(i, v) == (t or "") for i, t in zip(ids, texts, strict=True)]
         per_row = offsets([len(f) for f in found])
         paths = [s for f in found for s in f]

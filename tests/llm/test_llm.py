@@ -359,6 +359,33 @@ def test_encode_documents(spark):
     assert pieces.encode_documents(frame(spark, [])).count() == 0
 
 
+def ways(text, t):
+    return [[k, *w] for m in range(1, len(text) + 1) if (k := t.ids.get(text[:m])) is not None for w in ways(text[m:], t)] if text else [[]]
+
+
+def test_samples_come_from_the_whole_lattice(spark, vocab):
+    t = pieces.lattice()
+    ids = pieces.encode("the cat", vocab)
+    every = {tuple(w): math.exp(sum(t.weight[k] for k in w)) for w in ways("▁the▁cat", t)}
+    total, first, weight, n = sum(every.values()), collections.Counter(), 0.0, 4000
+    assert len(every) > 16
+    for key in range(n):
+        paths = pieces.sample_lattice(ids, key * 7919 + 1, 3, t)
+        first[tuple(paths[0][0])] += 1
+        for p, logp, inclusion in paths:
+            assert abs(math.exp(logp) - every[tuple(p)] / total) < 1e-12
+            weight += math.exp(logp) / inclusion
+    for p, x in every.items():
+        assert abs(first[p] / n - x / total) < 4 * math.sqrt(x / total / n) + 0.002
+    assert abs(weight / n - 1) < 0.05
+    assert {tuple(p[0]) for p in pieces.sample_lattice(ids, 5, len(every) + 9, t)} == every.keys()
+    for text in ["  Hello  wörld\n\nfoo\tbar ✨ ▁x▁▁", "▁", "the thing\x00", "日本語 text", "x" * 3000]:
+        paths = pieces.sample_lattice(pieces.encode(text, vocab), 11, 4, t)
+        assert len({tuple(p[0]) for p in paths}) == len(paths) and all(pieces.decode(p[0], vocab) == text for p in paths)
+    got = pieces.encode_documents(frame(spark, [(1, "the cat")]), k=len(every)).first()
+    assert {tuple(x) for x in got.samples} == every.keys()
+
+
 # 6 ---------------------------------------------------------------------------
 
 
