@@ -2,106 +2,170 @@
 
 A text's lattice has an edge for every piece of the vocabulary that matches at a
 position, and exact backward sums give the probability of each edge there.  No
-piece goes on past the end of a word, so a word's lattice is built once and kept.  A
-perturbed A-star search walks this lattice: every set of paths carries the
-greatest Gumbel-perturbed log-probability of its members, the set with the
-greatest value is opened next, and opening it fixes its best path and leaves the
-sets that branch off along it.  Paths therefore come out in perturbed order, all
-distinct, as a sample without replacement; with the next value as threshold each
-gets its inclusion score.  The noise is drawn from the row's key, so a row gives
-the same sample wherever it runs.
+piece goes on past the end of a word, so the lattices of a batch's distinct words
+are built together, position by position in arrays.  A perturbed A-star search
+walks this lattice: every set of paths carries the greatest Gumbel-perturbed
+log-probability of its members, the set with the greatest value is opened next,
+and opening it fixes its best path and leaves the sets that branch off along it.
+Paths therefore come out in perturbed order, all distinct, as a sample without
+replacement; with the next value as threshold each gets its inclusion score.  The
+noise is a hash of the row's key and the place in its text, so a row gives the
+same sample wherever it runs.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-EDGES = 4
 TEMPER = 0.35
+#: Bytes of the vocabulary as characters that no piece holds.
+BYTES = 0xF0000
+WORD = re.compile(f"{BLANK}+[^{BLANK}\U000F0000-\U000F00FF]*|[^{BLANK}\U000F0000-\U000F00FF]+|[\U000F0000-\U000F00FF]")
+#: Characters of texts that are worked on together; a longer text goes alone.
+TOGETHER = 2_000_000
+#: Sets this far (in log-probability) below the first of a path are drawn as one, and split if they are ever opened.
+DEPTH = 20.0
+#: Random numbers drawn ahead for each path of a text.
+AHEAD = 64
+#: Longest rest of a word whose sums are plain: they stay far above the least double.
+PLAIN = 150
+# Multipliers of the 64-bit mixing function and its increment.
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * MIX[0]
+    h = (h ^ (h >> np.uint64(27))) * MIX[1]
+    return h ^ (h >> np.uint64(31))
+
+
+def uniform(h: np.ndarray) -> np.ndarray:
+    """Numbers above 0 and below 1 from hashes."""
+    return ((mixed(h) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 @dataclass
 class Vocabulary:
-    """The processor, and per piece and edge: log-probability, that of all other edges, and its ids.
+    """The processor and its pieces.
 
-    ``cumulated`` sums the probabilities of the edges; the ids of an edge are
-    ``flat[offset : offset + length]``.
+    ``ids`` names the pieces that text is spelled with, bytes as single characters
+    from ``BYTES`` on.  ``weight`` is the log of a piece's weight.  The prefixes of
+    the pieces are numbered; ``slot_key`` and ``slot_child`` are a hash table from a
+    prefix and a character to the longer prefix, and ``piece`` is the piece that a
+    prefix is, or -1.  ``single`` is the prefix of one character.  ``foreign`` matches characters that are spelled in bytes.
     """
 
     processor: sentencepiece.SentencePieceProcessor
-    logp: np.ndarray
-    others: np.ndarray
-    cumulated: np.ndarray
-    flat: np.ndarray
-    offset: np.ndarray
-    length: np.ndarray
+    ids: dict[str, int]
+    weight: np.ndarray
     bytes: np.ndarray
+    slot_key: np.ndarray
+    slot_child: np.ndarray
+    piece: np.ndarray
+    single: np.ndarray
+    foreign: re.Pattern
+
+    def child(self, prefix: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The prefixes longer by one character, -1 where no piece begins so."""
+        key = (prefix.astype(np.int64) << 21) | char
+        slot = place(key, len(self.slot_key))
+        found = self.slot_key[slot]
+        look = np.nonzero((found != key) & (found >= 0))[0]
+        while len(look):
+            slot[look] = (slot[look] + 1) % len(self.slot_key)
+            found[look] = self.slot_key[slot[look]]
+            look = look[(found[look] != key[look]) & (found[look] >= 0)]
+        return np.where(found == key, self.slot_child[slot], -1)
+
+
+def place(key: np.ndarray, size: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * STEP) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
-def vocabulary(model: str = MODEL, edges: int = EDGES, temper: float = TEMPER) -> Vocabulary:
-    """Load a model file and build the edges of every piece.
+def vocabulary(model: str = MODEL, temper: float = TEMPER) -> Vocabulary:
+    """Load a model file, by its path or as a file shipped with the application (``--files``).
 
-    The model ranks its pieces but has no probabilities, so a piece's log
-    probability is taken as -log(10 + rank).  Edge weights are the products over
-    the split, flattened by ``temper``.
+    The model ranks its pieces but has no probabilities, so a piece's log weight is
+    taken as -log(10 + rank), flattened by ``temper``.
     """
-    p = sentencepiece.SentencePieceProcessor(model_file=model)
+    p = sentencepiece.SentencePieceProcessor(model_file=model if os.path.exists(model) else SparkFiles.get(os.path.basename(model)))
     n = p.get_piece_size()
-    names = [p.id_to_piece(i) for i in range(n)]
-    plain = [not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i)) for i in range(n)]
-    ids = {names[i]: i for i in range(n) if plain[i]}
-    weight = np.array([-math.log(10 + max(0.0, -p.get_score(i))) for i in range(n)])
-    flat: list[int] = []
-    logp, others = np.full((n, edges), -np.inf), np.full((n, edges), -np.inf)
-    offset, length = np.zeros((n, edges), np.int64), np.zeros((n, edges), np.int64)
-    for i, name in enumerate(names):
-        found = [(0.0, (i,))]
-        if plain[i] and len(name) > 1:
-            best: list[list[tuple[float, tuple[int, ...]]]] = [[(0.0, ())]]
-            for end in range(1, len(name) + 1):
-                ways = [(s + weight[k], path + (k,)) for start in range(end) if (k := ids.get(name[start:end])) is not None for s, path in best[start]]
-                best.append(sorted(ways, key=lambda w: (-w[0], w[1]))[: edges + 1])
-            found = [(weight[i], (i,)), *(w for w in best[-1] if w[1] != (i,))][:edges]
-        scores = np.array([s for s, _ in found]) * temper
-        scores -= np.logaddexp.reduce(scores)
-        logp[i, : len(found)] = scores
-        for c, (_, path) in enumerate(found):
-            rest = np.delete(scores, c)
-            others[i, c] = np.logaddexp.reduce(rest) if len(rest) else -np.inf
-            offset[i, c], length[i, c] = len(flat), len(path)
-            flat += path
-    cumulated = np.exp(logp).cumsum(1)
-    cumulated /= cumulated[:, -1:]
     byte_ids = np.array([p.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
-    return Vocabulary(p, logp, others, np.ascontiguousarray(cumulated[:, :-1].T), np.array(flat, np.int32), offset, length, byte_ids)
+    ids = {p.id_to_piece(i): i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))}
+    single = {w for w in ids if len(w) == 1}
+    if any(not set(w) <= single or len(WORD.findall(w)) > 1 for w in ids):
+        raise ValueError("a piece of the model goes past a word or holds a character that is no piece")
+    ids |= {chr(BYTES + b): i for b, i in enumerate(byte_ids.tolist())}
+    longer: dict[tuple[int, int], int] = {}
+    piece = [-1]
+    for name, i in ids.items():
+        at = 0
+        for c in map(ord, name):
+            if (at, c) not in longer:
+                longer[at, c] = len(piece)
+                piece.append(-1)
+            at = longer[at, c]
+        piece[at] = i
+    size = 1 << (4 * len(longer)).bit_length()
+    slot_key, slot_child = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+    keys = np.array([a << 21 | c for a, c in longer], np.int64)
+    for key, at, child in zip(keys.tolist(), place(keys, size).tolist(), longer.values(), strict=True):
+        while slot_key[at] >= 0:
+            at = (at + 1) % size
+        slot_key[at], slot_child[at] = key, child
+    one = np.full(0x110000, -1, np.int32)
+    for (at, c), child in longer.items():
+        if not at:
+            one[c] = child
+    weight = np.array([-temper * math.log(10 + max(0.0, -p.get_score(i))) for i in range(n)])
+    foreign = re.compile(f"[^{re.escape(''.join(sorted(single - {BLANK} | {' '})))}]+")
+    return Vocabulary(p, ids, weight, byte_ids, slot_key, slot_child, np.array(piece, np.int32), one, foreign)
+
+
+def marked(text: str | None, v: Vocabulary) -> str:
+    """The text as it is spelled: blanks marked, one in front, foreign characters as bytes.
+
+    A literal U+2581 is foreign, so that decoding returns it.
+    """
+    if not text:
+        return ""
+    spelled = v.foreign.sub(lambda m: "".join([chr(BYTES + b) for b in m[0].encode("utf-8", "replace")]), text)
+    return BLANK + spelled.replace(" ", BLANK)
+
+
+def best_pieces(words: list[str], v: Vocabulary) -> list[list[int]]:
+    """Best segmentation of each word by the processor, which puts a mark before every text."""
+    inner = [w[1:].replace(BLANK, " ") if w[0] == BLANK else "\n" + w for w in words]  # no mark goes on after a line break
+    found = v.processor.encode(inner) if inner else []
+    for i, w in enumerate(words):
+        if w[0] != BLANK:
+            found[i] = [v.ids[w]] if BYTES <= ord(w[0]) < BYTES + 256 else found[i][2:]
+        elif len(w) == 1:
+            found[i] = [v.ids[w]]
+    return found
 
 
 def encode(text: str | None, v: Vocabulary) -> list[int]:
-    """Best segmentation.  A literal U+2581 is written in bytes, so that decoding returns it."""
-    if not text:
-        return []
-    first, *rest = text.split(BLANK)
-    out = v.processor.encode(first) if first or not rest else []
-    if rest and not first:  # the mark that starts every text
-        out = [v.processor.piece_to_id(BLANK)]
-    for part in rest:
-        out += v.bytes[list(BLANK.encode())].tolist()
-        if part:  # a line break keeps the part from getting a mark of its own
-            out += v.processor.encode("\n" + part)[2:]
-    return out
+    """Best segmentation of one text."""
+    return [i for ids in best_pieces(WORD.findall(marked(text, v)), v) for i in ids]
 
 
 def decode(ids: Sequence[int], v: Vocabulary) -> str:
@@ -109,227 +173,295 @@ def decode(ids: Sequence[int], v: Vocabulary) -> str:
     return v.processor.decode([int(i) for i in ids]) if len(ids) else ""
 
 
-def expand(ids: np.ndarray, choice: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """Ids along the chosen edges."""
-    length = v.length[ids, choice]
-    ends = np.cumsum(length)
-    return v.flat[np.repeat(v.offset[ids, choice] - ends + length, length) + np.arange(ends[-1])]
-
-
-def sample(ids: list[int], key: int, k: int, v: Vocabulary) -> list[tuple[np.ndarray, float, float]]:
-    """Up to ``k`` distinct paths (ids, log-probability, inclusion score), in perturbed order.
+class Lattice:
+    """Lattices of words: a state is a position in a word, an edge a piece that matches there.
 
-    Only over the best pieces and their likeliest splits; ``encode_documents`` samples
-    the whole lattice with ``sample_lattice``.
-    A text without pieces has one path, the empty one.
+    States are numbered by their distance from the end of their word; a word's first
+    state is in ``start``, and all words end in the state ``end``.  The edges of a
+    state are ``first`` to ``last``, shortest piece first.  ``p`` is an edge's
+    probability among all ways to spell the rest of the word.
     """
-    if not len(ids):
-        return [(np.empty(0, np.int32), 0.0, 1.0)]
-    a, n = np.array(ids), len(ids)
-    draw = np.random.Generator(np.random.Philox(key=key & (2**64 - 1)))
-    cumulated = v.cumulated[:, a]
-
-    def free(start: int) -> np.ndarray:
-        """Edges of the best path of an open set, from ``start`` on."""
-        u, out = draw.random(n - start), np.zeros(n - start, np.int64)
-        for c in cumulated[:, start:]:
-            out += u > c
-        return out
 
-    # Opened paths: edges, log-probability before each piece, value of the path, and for the
-    # sets that branch off an untruncated perturbed value that orders them as the true one does.
-    opened: list[tuple[np.ndarray, np.ndarray, float, np.ndarray, int, set[int]]] = []
-
-    def open_path(choice: np.ndarray, start: int, top: float, barred: set[int]) -> None:
-        before = np.concatenate(([0.0], np.cumsum(v.logp[a, choice])))
-        barred = barred | {int(choice[start])}
-        mass = before[start:-1] + v.others[a[start:], choice[start:]]
-        left = [x for c, x in enumerate(v.logp[a[start]]) if c not in barred and x > -math.inf]
-        mass[0] = before[start] + np.logaddexp.reduce(left) if left else -math.inf
-        branch = np.full(n, -np.inf)
-        branch[start:] = mass - np.log(draw.standard_exponential(n - start))
-        opened.append((choice, before, top, branch, start, barred))
-
-    top = -math.log(draw.standard_exponential())
-    open_path(free(0), 0, top, set())
-    threshold = -math.inf
-    while True:
-        best = [int(o[3].argmax()) for o in opened]
-        values = [-float(np.logaddexp(-o[2], -o[3][i])) for o, i in zip(opened, best, strict=True)]
-        which = max(range(len(opened)), key=values.__getitem__)
-        top = values[which]
-        if len(opened) == k or top == -math.inf:
-            threshold = top
-            break
-        choice, _, _, branch, first, barred = opened[which]
-        start = best[which]
-        branch[start] = -np.inf
-        out = barred if start == first else {int(choice[start])}
-        weights = np.array([0.0 if c in out else math.exp(x) for c, x in enumerate(v.logp[a[start]])])
-        new = choice.copy()
-        new[start] = min(np.searchsorted(weights.cumsum(), draw.random() * weights.sum(), side="right"), np.nonzero(weights)[0][-1])
-        new[start + 1 :] = free(start + 1)
-        open_path(new, start, top, out)
-    result = []
-    for choice, before, *_ in opened:
-        z = float(before[-1]) - threshold
-        result.append((expand(a, choice, v), float(before[-1]), 1.0 if z > 5 else -math.expm1(-math.exp(z))))
-    return result
-
-
-#: States after which the kept words are dropped.
-KEPT = 400_000
-#: Bytes of the vocabulary as characters that no piece holds.
-BYTES = 0xF0000
-WORD = re.compile(f"{BLANK}+[^{BLANK}\U000F0000-\U000F00FF]*|[^{BLANK}\U000F0000-\U000F00FF]+|[\U000F0000-\U000F00FF]")
+    def __init__(self, words: list[str], v: Vocabulary) -> None:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = self.end = len(codes)
+        begins = np.cumsum(size) - size
+        word_end = np.repeat(begins + size, size)
+        left = word_end - np.arange(n)
+        order = np.argsort(left.astype(np.int16) if n and left.max() < 1 << 15 else left, kind="stable")  # short keys sort faster
+        number = np.empty(n, np.int64)
+        number[order] = np.arange(n)
+        self.start = number[begins]
+        count = np.zeros(n, np.int64)
+        found, at, length, prefix = [], np.arange(n), 1, v.single[codes]
+        while len(at):
+            there = v.piece[prefix]
+            hit = there >= 0
+            to = at[hit] + length
+            state = number[at[hit]]
+            found.append((state, there[hit], np.where(to == word_end[at[hit]], n, number[np.minimum(to, n - 1)])))
+            count[state] += 1
+            on = at + length < word_end[at]
+            at, prefix = at[on], v.child(prefix[on], codes[at[on] + length])
+            on, length = prefix >= 0, length + 1
+            at, prefix = at[on], prefix[on]
+        ends = np.cumsum(count)
+        self.first, self.last = ends - count, ends - 1
+        edges = int(ends[-1]) if n else 0
+        self.piece, self.then = np.empty(edges, np.int32), np.empty(edges, np.int32)
+        filled = self.first.copy()
+        for state, piece, then in found:
+            e = filled[state]
+            self.piece[e], self.then[e] = piece, then
+            filled[state] += 1
+        self.weigh(v.weight, np.bincount(left), count)
+
+    def weigh(self, weight: np.ndarray, at_distance: np.ndarray, count: np.ndarray) -> None:
+        """Backward sums, all states at one distance from their word's end together.
+
+        Near the end they are plain sums of products, further off sums of logarithms.
+        """
+        n, linear = self.end, len(at_distance) <= PLAIN or int(at_distance[:PLAIN].sum())
+        near = n if linear is True else linear
+        plain, beta, w = np.exp(weight)[self.piece], np.ones(n + 1), None
+        states = np.cumsum(at_distance)
+        for d, (a, b) in enumerate(zip(states[:-1].tolist(), states[1:].tolist(), strict=True), 1):
+            if a == b:
+                continue
+            lo, hi = int(self.first[a]), int(self.last[b - 1]) + 1
+            firsts = self.first[a:b] - lo
+            if b <= near:
+                beta[a:b] = np.add.reduceat(plain[lo:hi] * beta[self.then[lo:hi]], firsts)
+                continue
+            if w is None:
+                w, logs = weight[self.piece], np.log(beta)
+            x = w[lo:hi] + logs[self.then[lo:hi]]
+            top = np.maximum.reduceat(x, firsts)
+            logs[a:b] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[a:b])), firsts))
+        cut = int(self.first[near]) if near < n else len(plain)
+        self.p = plain[:cut] * beta[self.then[:cut]] / np.repeat(beta[:near], count[:near])
+        if near < n:
+            far = np.exp(w[cut:] + logs[self.then[cut:]] - np.repeat(logs[near:n], count[near:]))
+            self.p = np.concatenate((self.p, far))
+        self.p = np.minimum(self.p, 1 - 2.0**-53)
+        self.p[self.first[count == 1]] = 1.0  # where there is no other edge, and only there
+
+    def walk(self, state: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of a random path from each state to its word's end, path after path, and where each begins."""
+        who, count, steps = np.arange(len(state)), np.zeros(len(state), np.int64), []
+        while len(state):
+            u, e, last = uniform(seed), self.first[state], self.last[state]
+            u -= self.p[e]
+            on = np.nonzero((u > 0) & (e < last))[0]
+            while len(on):
+                e[on] += 1
+                u[on] -= self.p[e[on]]
+                on = on[(u[on] > 0) & (e[on] < last[on])]
+            steps.append((who, e))
+            count[who] += 1
+            state = self.then[e]
+            on = np.nonzero(state != self.end)[0]
+            state, who, seed = state[on], who[on], seed[on] + STEP
+        begins = np.concatenate(([0], np.cumsum(count)))
+        out = np.empty(begins[-1], np.int64)
+        for j, (who, e) in enumerate(steps):
+            out[begins[who] + j] = e
+        return out, begins
+
+    def left(self, edge: int, out: set[int]) -> np.ndarray:
+        """The edges of an edge's state less those in ``out``."""
+        state = int(np.searchsorted(self.first, edge, side="right")) - 1
+        return np.array([e for e in range(self.first[state], self.last[state] + 1) if e not in out], np.int64)
+
+    def others(self, edges: np.ndarray) -> np.ndarray:
+        """Log-probability of the other edges of each edge's state."""
+        p = self.p[edges]
+        with np.errstate(divide="ignore"):
+            out = np.log1p(-p)
+            for i in np.nonzero((p > 1 - 1e-6) & (p < 1))[0].tolist():  # summed, as 1 - p has few digits
+                out[i] = np.log(self.p[self.left(edges[i], {int(edges[i])})].sum())
+        return out
 
 
-class Lattice:
-    """Words' lattices: a state is a position in a word, an edge a piece that matches there.
+@dataclass
+class Opened:
+    """A path of edges, their log-probabilities, the step at which each word begins, and the sets that branch off.
 
-    Edges are stored state by state.  ``logp`` is an edge's probability among all ways
-    to spell the rest of the word, ``others`` that of the state's other edges, and
-    ``cum`` the number of the state plus the cumulated probability.  ``then`` is the
-    next state, -1 at the end of the word.
+    ``before`` is the log-probability up to each step.  From step ``start`` on, the
+    paths that leave at step ``start + j`` are a set with the untruncated perturbed
+    value ``branch[j]``; the last value stands for all later steps if ``tail``.
     """
 
-    def __init__(self, v: Vocabulary, temper: float = TEMPER) -> None:
-        p, n = v.processor, v.processor.get_piece_size()
-        plain = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))]
-        self.names = [p.id_to_piece(i) for i in range(n)]
-        for b, i in enumerate(v.bytes.tolist()):
-            self.names[i] = chr(BYTES + b)
-        self.ids = {self.names[i]: i for i in [*plain, *v.bytes.tolist()]}
-        self.weight = [-temper * math.log(10 + max(0.0, -p.get_score(i))) for i in range(n)]
-        self.longest = max(map(len, self.ids))
-        if any(not set(w) <= self.ids.keys() or len(WORD.findall(w)) > 1 for w in self.ids):
-            raise ValueError("a piece of the model goes past a word or holds a character that is no piece")
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.states = self.edges = 0
-        self.cum, self.logp, self.others = np.empty(1024), np.empty(1024), np.empty(1024)
-        self.piece, self.then, self.state = (np.empty(1024, np.int64) for _ in range(3))
-        self.first = np.zeros(1024, np.int64)
-
-    def starts(self, words: list[str]) -> np.ndarray:
-        """First states of the words."""
-        if self.states > KEPT:
-            self.clear()
-        return np.array([self.words[w] if w in self.words else self.build(w) for w in words])
-
-    def build(self, word: str) -> int:
-        n, ids, weight, base = len(word), self.ids, self.weight, self.states
-        found = [[(k, m) for m in range(at + 1, min(n, at + self.longest) + 1) if (k := ids.get(word[at:m])) is not None] for at in range(n)]
-        beta, rows = [0.0] * (n + 1), [None] * n
-        for at in range(n - 1, -1, -1):
-            x = [weight[k] + beta[m] for k, m in found[at]]
-            top = max(x)
-            beta[at] = top + math.log(sum([math.exp(y - top) for y in x]))
-            rows[at] = [y - beta[at] for y in x]
-        size = sum(map(len, found))
-        self.grow(self.edges + size, base + n + 1)
-        e = self.edges
-        for at in range(n):
-            chance = [math.exp(x) for x in rows[at]]
-            total, cumulated = sum(chance), 0.0
-            self.first[base + at] = e
-            for j, (k, m) in enumerate(found[at]):
-                cumulated += chance[j]
-                rest = sum(chance[:j]) + sum(chance[j + 1 :])
-                self.cum[e] = base + at + cumulated / total if j + 1 < len(chance) else base + at + 1
-                self.logp[e], self.others[e] = rows[at][j], math.log(rest / total) if rest else -math.inf
-                self.piece[e], self.then[e], self.state[e] = k, base + m if m < n else -1, base + at
-                e += 1
-        self.first[base + n] = e
-        self.edges, self.states, self.words[word] = e, base + n, base
-        return base
-
-    def grow(self, edges: int, states: int) -> None:
-        for name, need in [*((x, edges) for x in ("cum", "logp", "others", "piece", "then", "state")), ("first", states)]:
-            old = getattr(self, name)
-            if need > len(old):
-                setattr(self, name, np.concatenate((old, np.empty(max(need, 2 * len(old)) - len(old), old.dtype))))
-
-    def walk(self, cur: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of a random path from each state to its word's end, in order, and the index of the state each comes from."""
-        who, cum = np.arange(len(cur)), self.cum[: self.edges]
-        edges, whose = [who[:0]], [who[:0]]
-        while len(cur):
-            e = np.minimum(np.searchsorted(cum, cur + draw.random(len(cur)), side="right"), self.first[cur + 1] - 1)
-            edges.append(e)
-            whose.append(who)
-            cur = self.then[e]
-            on = cur >= 0
-            cur, who = cur[on], who[on]
-        whose = np.concatenate(whose)
-        order = np.argsort(whose, kind="stable")
-        return np.concatenate(edges)[order], whose[order]
-
+    edges: np.ndarray
+    logs: np.ndarray
+    begins: np.ndarray
+    before: np.ndarray
+    top: float
+    start: int
+    barred: set[int]
+    branch: np.ndarray
+    tail: bool
+
+
+class Search:
+    """The perturbed A-star search of one text."""
+
+    def __init__(self, lattice: Lattice, key: int) -> None:
+        self.t, self.key = lattice, key
+        self.opened: list[Opened] = []
+        self.threshold = -math.inf
+        self.drawn, self.draws = 0, np.empty(0)
+
+    def uniform(self, n: int) -> np.ndarray:
+        """The next ``n`` numbers of the text; ``draws`` holds those drawn ahead, from number ``drawn`` on."""
+        if len(self.draws) < n:
+            self.draws = np.concatenate((self.draws, ahead([self.key], self.drawn + len(self.draws), n)[0]))
+        out, self.draws, self.drawn = self.draws[:n], self.draws[n:], self.drawn + n
+        return out
 
-@lru_cache(maxsize=2)
-def lattice(model: str = MODEL) -> Lattice:
-    return Lattice(vocabulary(model))
-
-
-def sample_lattice(ids: list[int], key: int, k: int, t: Lattice) -> list[tuple[np.ndarray, float, float]]:
-    """As ``sample``, over every segmentation of the text that ``ids`` spell."""
-    if not len(ids):
-        return [(np.empty(0, np.int32), 0.0, 1.0)]
-    names = t.names
-    starts = t.starts(WORD.findall("".join([names[i] for i in ids])))
-    draw = np.random.Generator(np.random.Philox(key=key & (2**64 - 1)))
-    # as in sample(), with the word of each step
-    opened: list[tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray, int, set[int]]] = []
-
-    def left(state: int, out: set[int]) -> np.ndarray:
-        """Edges of a state less those in ``out``."""
-        return np.array([e for e in range(t.first[state], t.first[state + 1]) if e not in out], np.int64)
-
-    def open_path(edges: np.ndarray, words: np.ndarray, start: int, top: float, barred: set[int]) -> None:
-        before = np.concatenate(([0.0], np.cumsum(t.logp[edges])))
-        barred = barred | {int(edges[start])}
-        mass = before[start:-1] + t.others[edges[start:]]
-        rest = left(t.state[edges[start]], barred)
-        mass[0] = before[start] + np.logaddexp.reduce(t.logp[rest]) if len(rest) else -math.inf
-        branch = np.full(len(edges), -np.inf)
-        branch[start:] = mass - np.log(draw.standard_exponential(len(edges) - start))
-        opened.append((edges, words, before, top, branch, start, barred))
-
-    top = -math.log(draw.standard_exponential())
-    open_path(*t.walk(starts, draw), 0, top, set())
-    threshold = -math.inf
-    while True:
-        best = [int(o[4].argmax()) for o in opened]
-        values = [-float(np.logaddexp(-o[3], -o[4][i])) for o, i in zip(opened, best, strict=True)]
-        which = max(range(len(opened)), key=values.__getitem__)
-        top = values[which]
-        if len(opened) == k or top == -math.inf:
-            threshold = top
+    def exponential(self, n: int) -> np.ndarray:
+        return -np.log(self.uniform(n))
+
+    def masses(self, o: Opened, first: int, stop: int) -> np.ndarray:
+        """Log-probabilities of the sets that leave a path at steps from ``first`` on."""
+        return o.before[first:stop] + self.t.others(o.edges[first:stop])
+
+    def open(self, edges: np.ndarray, logs: np.ndarray, begins: np.ndarray, start: int, top: float, barred: set[int]) -> None:
+        n, barred = len(edges), barred | {int(edges[start])}
+        before = np.zeros(n + 1)
+        np.cumsum(logs, out=before[1:])
+        stop = start + max(1, int(np.searchsorted(-before[start:n], DEPTH - before[start], side="right")))
+        o = Opened(edges, logs, begins, before, top, start, barred, before[:0], stop < n)
+        mass = self.masses(o, start, stop)
+        if len(barred) > 1:
+            rest = self.t.p[self.t.left(edges[start], barred)].sum()
+            mass[0] = before[start] + math.log(rest) if rest else -math.inf
+        if o.tail:
+            gone = before[n] - before[stop]
+            late = before[stop] + math.log1p(-math.exp(gone)) if gone < -1e-6 else np.logaddexp.reduce(self.masses(o, stop, n))
+            mass = np.append(mass, late)
+        o.branch = mass - np.log(self.exponential(len(mass)))
+        self.opened.append(o)
+
+    def split_tail(self, o: Opened) -> None:
+        """Values of the single later steps, given that of the best of them."""
+        value, n = o.branch[-1], len(o.edges)
+        mass = self.masses(o, o.start + len(o.branch) - 1, n)
+        g = mass - np.log(self.exponential(len(mass)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = value - g + np.log(-np.expm1(g - g.max()))
+        single = value - np.maximum(0, x) - np.log1p(np.exp(-np.abs(x)))
+        single[mass == -np.inf] = -np.inf
+        o.branch, o.tail = np.concatenate((o.branch[:-1], single)), False
+
+    def next(self, k: int) -> tuple[Opened, int, int, float, set[int]] | None:
+        """The path, step and edge at which the next path leaves, its value and the edges barred there; None at the end."""
+        while True:
+            best = [int(o.branch.argmax()) for o in self.opened]
+            values = [-float(np.logaddexp(-o.top, -o.branch[i])) for o, i in zip(self.opened, best, strict=True)]
+            which = max(range(len(values)), key=values.__getitem__)
+            top = values[which]
+            if len(self.opened) == k or top == -math.inf:
+                self.threshold = top
+                return None
+            o, at = self.opened[which], best[which]
+            if not (o.tail and at == len(o.branch) - 1):
+                break
+            self.split_tail(o)
+        step = o.start + at
+        out = o.barred if at == 0 else {int(o.edges[step])}
+        o.branch[at] = -np.inf
+        rest = self.t.left(o.edges[step], out)
+        sums = self.t.p[rest].cumsum()
+        new = rest[min(int(np.searchsorted(sums, self.uniform(1)[0] * sums[-1], side="right")), len(rest) - 1)]
+        return o, step, int(new), top, out
+
+    def inclusion(self, o: Opened) -> float:
+        z = float(o.before[-1]) - self.threshold
+        return 1.0 if z > 5 else -math.expm1(-math.exp(z))
+
+
+def ahead(keys: list[int], first: int, n: int) -> np.ndarray:
+    """Numbers ``first`` to ``first + n`` of the texts with these keys."""
+    at = np.arange(first, first + n).astype(np.uint64) * STEP
+    return uniform(mixed(np.array(keys, np.uint64) ^ MIX[1])[:, None] + at)
+
+
+def sample(words: np.ndarray, bounds: np.ndarray, keys: list[int], k: int, t: Lattice) -> list[Search]:
+    """Up to ``k`` distinct paths of every text, in perturbed order.
+
+    ``words`` are the numbers of all texts' words in the lattice, text by text;
+    ``bounds`` say where each text begins.  The walks of all texts go together.
+    """
+    starts, counts = t.start[words], np.diff(bounds)
+    seeds = np.repeat(np.array(keys, np.uint64), counts) + (np.arange(len(words)) - np.repeat(bounds[:-1], counts)).astype(np.uint64) * MIX[0]
+    found = [Search(t, key) for key in keys]
+    wanted, at = [], 0
+    for i, (s, draws) in enumerate(zip(found, ahead(keys, 0, AHEAD * k), strict=True)):
+        s.draws = draws
+        if counts[i]:
+            wanted.append((i, None, 0, 0, at, at + counts[i]))
+            at += counts[i]
+    states, seed_parts = [starts], [seeds]
+    for r in range(k + 1):
+        if not wanted:
             break
-        edges, words, _, _, branch, first, barred = opened[which]
-        start = best[which]
-        branch[start] = -np.inf
-        out = barred if start == first else {int(edges[start])}
-        rest = left(t.state[edges[start]], out)
-        weights = np.exp(t.logp[rest]).cumsum()
-        new = rest[min(np.searchsorted(weights, draw.random() * weights[-1], side="right"), len(rest) - 1)]
-        word = int(words[start])
-        inside = t.then[new] >= 0
-        more, whose = t.walk(np.concatenate(([t.then[new]], starts[word + 1 :])) if inside else starts[word + 1 :], draw)
-        open_path(np.concatenate((edges[:start], [new], more)), np.concatenate((words[:start], [word], whose + word + (not inside))), start, top, out)
-    result = []
-    for edges, _, before, *_ in opened:
-        z = float(before[-1]) - threshold
-        result.append((t.piece[edges].astype(np.int32), float(before[-1]), 1.0 if z > 5 else -math.expm1(-math.exp(z))))
-    return result
+        edges, begins = t.walk(np.concatenate(states), mixed(np.concatenate(seed_parts) + np.array([r], np.uint64) * STEP))
+        logs = np.log(t.p[edges])
+        for i, leaves, word, inside, a, b in wanted:
+            x, y = begins[a], begins[b]
+            if leaves is None:
+                found[i].open(edges[x:y], logs[x:y], begins[a:b] - x, 0, -math.log(found[i].exponential(1)[0]), set())
+                continue
+            o, step, new, top, out = leaves
+            later = begins[a + inside : b] - x + step + 1
+            path, path_logs = np.concatenate((o.edges[:step], [new], edges[x:y])), np.concatenate((o.logs[:step], np.log(t.p[[new]]), logs[x:y]))
+            found[i].open(path, path_logs, np.concatenate((o.begins[: word + 1], later)), step, top, out)
+        going, wanted, states, seed_parts, at = [w[0] for w in wanted], [], [], [], 0
+        for i in going:
+            leaves = found[i].next(k)
+            if leaves is None:
+                continue
+            o, step, new = leaves[:3]
+            word, inside = int(np.searchsorted(o.begins, step, side="right")) - 1, int(t.then[new] != t.end)
+            a, b = int(bounds[i]) + word, int(bounds[i + 1])
+            if inside:
+                states.append(t.then[new : new + 1])
+            states.append(starts[a + 1 : b])
+            seed_parts.append(seeds[a + 1 - inside : b])
+            wanted.append((i, leaves, word, inside, at, at + inside + b - a - 1))
+            at = wanted[-1][-1]
+    return found
+
+
+class Numbers(dict):
+    """Numbers words as they come up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def key_of(doc_id: int | None, seed: int) -> int:
     return xxhash.xxh64_intdigest(str(doc_id).encode(), seed)
 
 
+def segment(texts: list[str | None], keys: list[int], k: int, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[Search]]:
+    """Best ids of all texts end to end, where each text's begin, and the searches with their paths."""
+    numbers = Numbers()
+    per = [np.array([numbers[w] for w in WORD.findall(marked(t, v))], np.int64) for t in texts]
+    bounds = np.concatenate(([0], np.cumsum([len(p) for p in per]))).astype(np.int64)
+    words, kinds = np.concatenate(per), list(numbers)
+    best = best_pieces(kinds, v)
+    size = np.fromiter(map(len, best), np.int64, len(best))
+    flat = np.fromiter(chain.from_iterable(best), np.int32, size.sum())
+    own = size[words]
+    ends = np.cumsum(own)
+    ids = flat[np.repeat((np.cumsum(size) - size)[words] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+    return ids, np.concatenate(([0], ends))[bounds], sample(words, bounds, keys, k, Lattice(kinds, v))
+
+
 def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: the ``keep`` columns, ``ids`` (best segmentation), ``samples`` and their figures.
 
@@ -338,33 +470,37 @@ def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: st
     text (the splits of a piece spell that piece).  Null and empty texts have no
     ids and one empty sample.  The noise comes from doc_id and ``seed``: repeated
     rows give repeated results, an empty table an empty result.  Very long texts
-    are encoded whole, one at a time.
+    are encoded whole, one at a time.  A column of ``keep`` must not have the name of
+    a result.
     """
     if "doc_id" not in keep:
         raise ValueError("keep must hold doc_id, the key of the noise")
-    source = documents.select(*keep, "text")
+    source = documents.select(*dict.fromkeys((*keep, "text")))
     fields = ["ids", "samples", "log_probs", "inclusion", "round_trip"]
 
-    def work(batches):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in batches:
             at, size = 0, 0
             texts, docs = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             for end in range(b.num_rows):
                 size += len(texts[end] or "")
-                if size > 4_000_000 or end + 1 == b.num_rows:
+                if size > TOGETHER or end + 1 == b.num_rows:
                     yield part(b.slice(at, end + 1 - at), texts[at : end + 1], docs[at : end + 1], v)
                     at, size = end + 1, 0
 
-    def part(b, texts, docs, v):
-        ids = [encode(t, v) for t in texts]
-        found = [sample_lattice(i, key_of(d, seed), k, lattice(model)) for i, d in zip(ids, docs, strict=True)]
-        same = [decode(i, v) == (t or "") for i, t in zip(ids, texts, strict=True)]
-        per_row = offsets([len(f) for f in found])
-        paths = [s for f in found for s in f]
-        inner = pa.ListArray.from_arrays(offsets([len(s[0]) for s in paths]), np.concatenate([s[0] for s in paths]))
-        figures = [pa.ListArray.from_arrays(per_row, np.array([s[j] for s in paths])) for j in (1, 2)]
-        columns = [pa.array(ids, pa.list_(pa.int32())), pa.ListArray.from_arrays(per_row, inner), *figures, pa.array(same)]
+    def part(b: pa.RecordBatch, texts: list[str | None], docs: list[int | None], v: Vocabulary) -> pa.RecordBatch:
+        ids, bounds, found = segment(texts, [key_of(d, seed) for d in docs], k, v)
+        flat, cuts = ids.tolist(), bounds.tolist()
+        back = v.processor.decode([flat[x:y] for x, y in zip(cuts, cuts[1:], strict=False)])
+        same = [x == (t or "") for x, t in zip(back, texts, strict=True)]
+        empty = np.empty(0, np.int64)
+        paths = [p for s in found for p in ([(o.edges, float(o.before[-1]), s.inclusion(o)) for o in s.opened] or [(empty, 0.0, 1.0)])]
+        per_row = offsets([len(s.opened) or 1 for s in found])
+        pieces = found[0].t.piece[np.concatenate([p[0] for p in paths])]
+        inner = pa.ListArray.from_arrays(offsets([len(p[0]) for p in paths]), pa.array(pieces))
+        figures = [pa.ListArray.from_arrays(per_row, pa.array([p[j] for p in paths], pa.float64())) for j in (1, 2)]
+        columns = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.ListArray.from_arrays(per_row, inner), *figures, pa.array(same)]
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *columns], [*keep, *fields])
 
     def offsets(sizes: list[int]) -> pa.Array:
@@ -377,7 +513,6 @@ def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: st
 
 def decode_documents(encoded: DataFrame, column: str = "ids", model: str = MODEL) -> DataFrame:
     """Add ``text``, decoded from the ids in ``column``; null ids give null."""
-    from pyspark.sql import functions as F
 
     @F.pandas_udf("string")
     def spell(ids):

@@ -318,34 +318,30 @@ def vocab():
     return pieces.vocabulary()
 
 
-def test_round_trip_of_all_paths(vocab):
-    for t in ["  Hello  wörld\n\nfoo\tbar ✨ ▁x▁▁", "▁", "a▁", "▁ab c", "", " ", "the thing\x00", "日本語 text", "x" * 3000]:
-        ids = pieces.encode(t, vocab)
-        assert pieces.decode(ids, vocab) == t
-        paths = pieces.sample(ids, 11, 4, vocab)
-        assert len({tuple(p[0]) for p in paths}) == len(paths)
-        assert all(pieces.decode(p[0], vocab) == t for p in paths)
+ODD = ["  Hello  wörld\n\nfoo\tbar ✨ ▁x▁▁", "▁", "a▁", "▁ab c", " ", "  ", "the thing\x00", "日本語 text", "x" * 3000, "\n", "\n x", "a\n▁\n b", "\U000F0041 b", "the " * 400]
+
+
+def paths_of(text, key, k, v):
+    """All paths of one text: ids, log-probability and inclusion score."""
+    _, _, (found,) = pieces.segment([text], [key], k, v)
+    return [(tuple(found.t.piece[o.edges].tolist()), float(o.before[-1]), found.inclusion(o)) for o in found.opened]
 
 
-def test_sampling_matches_its_distribution(vocab):
-    ids = pieces.encode("the cat", vocab)
-    first, weight, prob = collections.Counter(), collections.defaultdict(float), {}
-    n = 4000
-    for key in range(n):
-        for j, (p, logp, inclusion) in enumerate(pieces.sample(ids, key * 7919 + 1, 3, vocab)):
-            first[tuple(p)] += j == 0
-            weight[tuple(p)] += math.exp(logp) / inclusion
-            prob[tuple(p)] = math.exp(logp)
-    assert 0.999 < sum(prob.values()) < 1 + 1e-9 and 12 < len(prob) <= 16
-    for p, x in prob.items():
-        assert abs(first[p] / n - x) < 4 * math.sqrt(x / n) + 0.002
-    assert abs(sum(weight.values()) / n - 1) < 0.05  # unbiased estimate of the total probability
+def test_round_trip_of_all_paths(vocab):
+    assert pieces.encode("", vocab) == pieces.encode(None, vocab) == [] and pieces.decode([], vocab) == ""
+    for t in ODD:
+        assert pieces.decode(pieces.encode(t, vocab), vocab) == t
+        paths = paths_of(t, 11, 4, vocab)
+        assert len({p[0] for p in paths}) == len(paths)
+        assert all(pieces.decode(p[0], vocab) == t for p in paths)
 
 
-def test_all_paths_run_out(vocab):
-    ids = pieces.encode("the", vocab)
-    paths = pieces.sample(ids, 1, 50, vocab)
-    assert 1 < len(paths) <= pieces.EDGES and all(p[2] == 1.0 for p in paths)
+def test_best_segmentation_by_words_is_that_of_the_whole_text(vocab):
+    rng = random.Random(6)
+    texts = [t for t in (*[t for _, t in corpus(9)], "plain words only", "  two  blanks ") if t and "▁" not in t]
+    texts += ["".join(rng.choice("abcdetoin  \n.,é日") for _ in range(200)) for _ in range(200)]
+    ids, bounds, _ = pieces.segment(texts, list(range(len(texts))), 1, vocab)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == vocab.processor.encode(texts)
 
 
 def test_encode_documents(spark):
@@ -359,33 +355,46 @@ def test_encode_documents(spark):
     assert pieces.encode_documents(frame(spark, [])).count() == 0
 
 
-def ways(text, t):
-    return [[k, *w] for m in range(1, len(text) + 1) if (k := t.ids.get(text[:m])) is not None for w in ways(text[m:], t)] if text else [[]]
+def ways(text, v):
+    return [[k, *w] for m in range(1, len(text) + 1) if (k := v.ids.get(text[:m])) is not None for w in ways(text[m:], v)] if text else [[]]
 
 
-def test_samples_come_from_the_whole_lattice(spark, vocab):
-    t = pieces.lattice()
-    ids = pieces.encode("the cat", vocab)
-    every = {tuple(w): math.exp(sum(t.weight[k] for k in w)) for w in ways("▁the▁cat", t)}
-    total, first, weight, n = sum(every.values()), collections.Counter(), 0.0, 4000
+@pytest.mark.parametrize("depth,plain", [(20.0, 150), (0.0, 2)])
+def test_samples_come_from_the_whole_lattice(spark, vocab, monkeypatch, depth, plain):
+    """Every segmentation with its probability and inclusion; also with late sets drawn as one, and sums of logarithms."""
+    monkeypatch.setattr(pieces, "DEPTH", depth)
+    monkeypatch.setattr(pieces, "PLAIN", plain)
+    every = {tuple(w): math.exp(sum(vocab.weight[k] for k in w)) for w in ways("▁the▁cat", vocab)}
+    total, first, second, weight, n = sum(every.values()), collections.Counter(), collections.Counter(), 0.0, 4000
     assert len(every) > 16
-    for key in range(n):
-        paths = pieces.sample_lattice(ids, key * 7919 + 1, 3, t)
-        first[tuple(paths[0][0])] += 1
-        for p, logp, inclusion in paths:
-            assert abs(math.exp(logp) - every[tuple(p)] / total) < 1e-12
-            weight += math.exp(logp) / inclusion
-    for p, x in every.items():
-        assert abs(first[p] / n - x / total) < 4 * math.sqrt(x / total / n) + 0.002
-    assert abs(weight / n - 1) < 0.05
-    assert {tuple(p[0]) for p in pieces.sample_lattice(ids, 5, len(every) + 9, t)} == every.keys()
-    for text in ["  Hello  wörld\n\nfoo\tbar ✨ ▁x▁▁", "▁", "the thing\x00", "日本語 text", "x" * 3000]:
-        paths = pieces.sample_lattice(pieces.encode(text, vocab), 11, 4, t)
-        assert len({tuple(p[0]) for p in paths}) == len(paths) and all(pieces.decode(p[0], vocab) == text for p in paths)
+    words, bounds = np.tile([0, 1], n), np.arange(0, 2 * n + 1, 2)
+    for s in pieces.sample(words, bounds, [key * 7919 + 1 for key in range(n)], 3, pieces.Lattice(["▁the", "▁cat"], vocab)):
+        for j, o in enumerate(s.opened):
+            p, logp = tuple(s.t.piece[o.edges].tolist()), float(o.before[-1])
+            first[p] += j == 0
+            second[p] += j == 1
+            assert abs(math.exp(logp) - every[p] / total) < 1e-12
+            weight += math.exp(logp) / s.inclusion(o)
+    share = {p: x / total for p, x in every.items()}
+    after = {p: sum(y * share[p] / (1 - y) for q, y in share.items() if q != p) for p in share}  # drawn second, without replacement
+    for got, want in ((first, share), (second, after)):
+        for p, x in want.items():
+            assert abs(got[p] / n - x) < 4 * math.sqrt(x / n) + 0.002
+    assert abs(weight / n - 1) < 0.05  # unbiased estimate of the total probability
+    paths = paths_of("the cat", 5, len(every) + 9, vocab)
+    assert {p[0] for p in paths} == every.keys() and len(paths) == len(every) and all(p[2] == 1.0 for p in paths)
     got = pieces.encode_documents(frame(spark, [(1, "the cat")]), k=len(every)).first()
     assert {tuple(x) for x in got.samples} == every.keys()
 
 
+def test_a_text_gets_the_same_sample_in_any_company(vocab):
+    texts = [*ODD, *[t for _, t in corpus(4)]]
+    keys = [pieces.key_of(i, 1) for i in range(len(texts))]
+    together = pieces.segment(texts, keys, 3, vocab)[2]
+    for i, (t, s) in enumerate(zip(texts, together)):
+        assert [p[0] for p in paths_of(t, keys[i], 3, vocab)] == [tuple(s.t.piece[o.edges].tolist()) for o in s.opened]
+
+
 # 6 ---------------------------------------------------------------------------
 
 
