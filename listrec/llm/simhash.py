@@ -18,6 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,19 +105,18 @@ def passed(count: list[np.ndarray], radius: int) -> np.ndarray:
     return out
 
 
-def forest(fp: np.ndarray, bucket: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that span the links (same bucket, distance within the radius) of a sorted block.
+def close_pairs(fp: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The links (same bucket, distance within the radius) of a sorted block, one offset after the other.
 
-    A fingerprint is one 64-bit word or a row of them.  With ``alike`` a pair of rows
-    links only if that holds as well; it is asked of every pair not yet joined.
+    Yields the rows still in play, their buckets, and the two rows of each pair found.
+    A fingerprint is one 64-bit word or a row of them.
     """
-    root = np.arange(len(fp))
     rows, planes, d = np.arange(len(fp)), planes_of(fp), 1
     while d < len(rows):
         b = bucket[rows]
         same = b[:-d] == b[d:]
         if not same.any():
-            break
+            return
         if len(rows) > 256 and 4 * same.sum() < len(rows):
             longer = np.bincount(b - b[0])[b - b[0]] > d
             if not longer.all():
@@ -128,7 +128,21 @@ def forest(fp: np.ndarray, bucket: np.ndarray, radius: int, alike: Callable[[int
         valid[: len(packed)] = packed
         found = near(planes, d, valid.view(np.uint64), radius)
         i = np.nonzero(np.unpackbits(found.view(np.uint8), bitorder="little")[: len(rows) - d])[0]
-        x, y = rows[i], rows[i + d]
+        yield rows, b, rows[i], rows[i + d]
+        d += 1
+
+
+def forest(fp: np.ndarray, bucket: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that span the links of a sorted block.
+
+    With ``alike`` a pair of rows links only if that holds as well; it is asked of
+    every pair not yet joined.  Rows of one ``group`` are joined from the start.
+    """
+    root = np.arange(len(fp))
+    if group is not None and len(fp):
+        _, first, which = np.unique(group, return_index=True, return_inverse=True)
+        root = first[which]
+    for rows, b, x, y in close_pairs(fp, bucket, radius):
         apart = root[x] != root[y]
         if apart.any():
             for x_, y_ in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
@@ -141,14 +155,23 @@ def forest(fp: np.ndarray, bucket: np.ndarray, radius: int, alike: Callable[[int
                     root[max(p, q)] = min(p, q)
             while (root != (up := root[root])).any():
                 root = up
-        left = root[rows] != root[rows[np.searchsorted(b, b)]]
-        if not left.any():
+        if not (root[rows] != root[rows[np.searchsorted(b, b)]]).any():
             break
-        d += 1
     at = np.nonzero(root != np.arange(len(fp)))[0]
     return at, root[at]
 
 
+def crossing(fp: np.ndarray, bucket: np.ndarray, radius: int, group: np.ndarray) -> np.ndarray:
+    """Rows of a sorted block that have a link to a row of another group."""
+    mixed = np.bincount(bucket, group != group[np.searchsorted(bucket, bucket)])[bucket] > 0
+    at, out = np.nonzero(mixed)[0], np.zeros(len(fp), bool)
+    for _, _, x, y in close_pairs(fp[at], np.unique(bucket[at], return_inverse=True)[1], radius) if len(at) else ():
+        x, y = at[x], at[y]
+        other = group[x] != group[y]
+        out[x[other]] = out[y[other]] = True
+    return np.nonzero(out)[0]
+
+
 def bucket_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints whose components are those of all links.
 
@@ -250,19 +273,15 @@ SPREAD = splitmix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1
 BUCKET = 4096
 
 
-def block_links(rows: DataFrame, radius: int, texts: DataFrame | None = None, width: int = 5, least: float = 0.8) -> DataFrame:
-    """Links of rows (c, key, node, sim) that share a bucket (c, key), as pairs (a, b) of nodes.
-
-    With ``texts`` (node, digest, text; ``rows`` have the digest too) a pair within
-    the radius links only if the shingle sets' similarity is ``least`` or more.
-    This is asked before two groups are joined, so a pair that fails hides no other.
+def in_blocks(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Rows (c, key, node, sim[, digest][, group]) dealt so that any two of a bucket (c, key) meet in a block pair (i, j).
 
-    Every pair of a bucket is compared, whatever the partitions.  A bucket of over
-    ``BUCKET`` rows is dealt into blocks by a hash of the row, and each pair of
-    blocks is a task's key of its own (a block meets itself there too).  Such
-    buckets are at most one in ``BUCKET`` rows, so their sizes are broadcast.
+    A bucket of over ``BUCKET`` rows is dealt into blocks by a hash of the row, and
+    each pair of blocks is a key of its own (a block meets itself there too).  Such
+    buckets are at most one in ``BUCKET`` rows, so their sizes are broadcast.  With
+    ``texts`` (node, digest, z) each row comes with its text.
     """
-    parts, limit = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKET
+    limit = BUCKET
     sizes = rows.groupBy("c", "key").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
     sizes = sizes.select("c", "key", F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
     dealt = rows.join(F.broadcast(sizes), ["c", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -270,42 +289,99 @@ def block_links(rows: DataFrame, radius: int, texts: DataFrame | None = None, wi
     if texts is not None:
         dealt = dealt.join(texts, ["node", "digest"])
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("own")))
-    dealt = dealt.withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    order = ["c", "key", "i", "j"]
-    carried = ["node", "sim", *(["text"] if texts is not None else [])]
+    return dealt.withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
-    texts_too = texts is not None
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+ORDER = ["c", "key", "i", "j"]
+
 
-        def solve(where, node, sim, text=None):
-            starts, sets = np.concatenate(([True], (where[1:] != where[:-1]).any(1))), {}
+def by_blocks(dealt: DataFrame, columns: list[str], solve: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
+    """Run ``solve`` on whole block pairs: their keys, then ``columns`` as arrays; it returns columns of ``schema``."""
+    parts, limit = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKET
+    names = [f.split()[0] for f in schema.split(", ")]
 
-            def set_of(row):
-                if row not in sets:
-                    sets[row] = shingle_set(text[row], width)
-                return sets[row]
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = [np.stack([batch.column(n).to_numpy().astype(np.int64) for n in ORDER], 1)]
+        for n in columns:
+            if n == "sim":
+                out.append(np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint64).reshape(-1, WORDS))
+            elif n == "z":
+                out.append(np.array([*batch.column(n).to_pylist(), None], object)[:-1])
+            else:
+                out.append(batch.column(n).to_numpy().astype(np.int64))
+        return out
 
-            a, b = forest(sim, np.cumsum(starts) - 1, radius, None if text is None else lambda x, y: at_least(set_of(x), set_of(y), least))
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+    def done(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in solve(*held)], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            new = [np.stack([batch.column(n).to_numpy().astype(np.int64) for n in order], 1), batch.column("node").to_numpy().astype(np.int64)]
-            new.append(np.frombuffer(b"".join(batch.column("sim").to_pylist()), np.uint64).reshape(-1, WORDS))
-            if texts_too:
-                new.append(np.array(batch.column("text").to_pylist(), object))
+            new = arrays(batch)
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if len(held[0]) >= limit:
                 on = (held[0] != held[0][-1]).any(1)
                 end = int(np.nonzero(on)[0][-1]) + 1 if on.any() else 0
                 if end:
-                    yield solve(*(h[:end] for h in held))
+                    yield done([h[:end] for h in held])
                     held = [h[end:] for h in held]
         if held and len(held[0]):
-            yield solve(*held)
+            yield done(held)
 
-    return dealt.select(*order, *carried).repartition(parts, *order).sortWithinPartitions(*order, "node").mapInArrow(link, "a long, b long").distinct()
+    return dealt.select(*ORDER, *columns).repartition(parts, *ORDER).sortWithinPartitions(*ORDER, "node").mapInArrow(run, schema).distinct()
+
+
+def numbered(where: np.ndarray) -> np.ndarray:
+    """Numbers of the block pairs, one for each row."""
+    return np.cumsum(np.concatenate(([True], (where[1:] != where[:-1]).any(1)))) - 1
+
+
+def block_links(rows: DataFrame, radius: int, texts: DataFrame | None = None, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Links of rows (c, key, node, sim) that share a bucket (c, key), as pairs (a, b) of nodes.
+
+    With ``texts`` (node, digest, z; ``rows`` have the digest too) a pair within the
+    radius links only if the shingle sets' similarity is ``least`` or more.  This is
+    asked before two groups are joined, so a pair that fails hides no other.  Every
+    pair of a bucket is compared, whatever the partitions, but for rows of one
+    ``group``, a column that ``rows`` may have.
+    """
+    grouped, checked = "group" in rows.columns, texts is not None
+
+    def solve(where: np.ndarray, node: np.ndarray, sim: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(row: int) -> np.ndarray:
+            if row not in sets:
+                sets[row] = shingle_set(unpacked(more[-1][row]), width)
+            return sets[row]
+
+        alike = (lambda x, y: at_least(set_of(x), set_of(y), least)) if checked else None
+        a, b = forest(sim, numbered(where), radius, alike, more[0] if grouped else None)
+        return [node[a], node[b]]
+
+    return by_blocks(in_blocks(rows, texts), ["node", "sim", *["group"] * grouped, *["z"] * checked], solve, "a long, b long")
+
+
+def crossing_rows(rows: DataFrame, radius: int) -> DataFrame:
+    """The rows (c, key, node) with a row of another ``group`` within the radius in their bucket."""
+
+    def solve(where: np.ndarray, node: np.ndarray, sim: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+        at = crossing(sim, numbered(where), radius, group)
+        return [where[at, 0].astype(np.int32), where[at, 1], node[at]]
+
+    return by_blocks(in_blocks(rows), ["node", "sim", "group"], solve, "c int, key long, node long")
+
+
+def packed(text: str | None) -> bytes | None:
+    return None if text is None else zstandard.ZstdCompressor(level=3).compress(text.encode("utf-8", "replace"))
+
+
+def unpacked(z: bytes | None) -> str | None:
+    return None if z is None else zstandard.ZstdDecompressor().decompress(z).decode("utf-8")
+
+
+#: Bands whose buckets are checked first; those of the others only where groups still meet.
+FIRST = 2
 
 
 def near_groups(documents: DataFrame, width: int = 5, radius: int = 76, least: float = 0.8) -> DataFrame:
@@ -317,8 +393,13 @@ def near_groups(documents: DataFrame, width: int = 5, radius: int = 76, least: f
     ``radius`` are checked: at 0.8 the expected distance of the 256 bits is 39 with a
     deviation of 6 (48 for texts of eight and nine words), far inside.  Equal shingle
     sets collapse first.  Null ids take no part.  Texts without words are equal to
-    each other.
+    each other.  Repeated rows give repeated results, an empty table an empty one.
+
+    The buckets of the first bands are checked with their texts.  In those of the
+    other bands the SimHashes show which rows come near a row of another group
+    found so far, and only these are checked with their texts too.
     """
+
     def digest(h: np.ndarray) -> bytes:
         return xxhash.xxh3_128_digest(h.tobytes())
 
@@ -327,23 +408,36 @@ def near_groups(documents: DataFrame, width: int = 5, radius: int = 76, least: f
         found = [sketch(h) for h in sets]
         return {"digest": [digest(h) for h in sets], "sim": [s for s, _ in found], "keys": [k for _, k in found]}
 
-    named_rows = documents.filter("doc_id is not null")
+    def pack(texts: list[str | None]) -> dict[str, list]:
+        return {"digest": [digest(shingle_set(t, width)) for t in texts], "z": [packed(t) for t in texts]}
+
+    named_rows = documents.filter("doc_id is not null").select("doc_id", "text")
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        """The texts of rows' nodes; a repeated id's texts are told apart by their digest."""
+        firsts = named_rows.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return map_texts(firsts, pack, "digest binary, z binary").withColumnRenamed("doc_id", "node").dropDuplicates(["node", "digest"])
+
     prints = cut(map_texts(named_rows, work, "digest binary, sim binary, keys array<bigint>"), "sketches")
     distinct = cut(prints.groupBy("digest", "sim", "keys").agg(F.min("doc_id").alias("node")), "distinct")
     rows = distinct.select("node", "digest", "sim", F.posexplode("keys").alias("c", "key"))
     # written before the join, so that the skew join can split a hot bucket
     met = cut(rows.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1").select("c", "key"), "buckets")
     shared = cut(rows.join(met, ["c", "key"]), "shared")
-    # only texts that meet another are read again; a repeated id's texts are told apart by their digest
-    firsts = named_rows.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = map_texts(firsts, lambda t: {"digest": [digest(shingle_set(x, width)) for x in t]}, "digest binary", keep=("doc_id", "text"))
-    texts = texts.withColumnRenamed("doc_id", "node").dropDuplicates(["node", "digest"])
-    roots = components(block_links(shared, radius, texts, width, least))
+    early = shared.filter(F.col("c") < FIRST)
+    links = cut(block_links(early, radius, texts_of(early), width, least), "links")
+    known = components(links).select("node", F.col("root").alias("group"))
+    late = shared.filter(F.col("c") >= FIRST).join(known, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    late = cut(late.join(crossing_rows(late, radius), ["c", "key", "node"], "left_semi"), "crossing")
+    roots = components(links.unionByName(block_links(late, radius, texts_of(late), width, least)))
     named = distinct.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return prints.select("doc_id", "digest").join(named, "digest").filter("doc_id <> component_id").select("doc_id", "component_id")
 
 
 def without_near_duplicates(documents: DataFrame, width: int = 5, radius: int = 76, least: float = 0.8) -> DataFrame:
-    """The documents less all but the least doc_id of each group; rows without an id stay."""
+    """The documents less all but the least doc_id of each group; rows without an id stay.
+
+    Rows that repeat an id go together if one of their texts belongs to another's group.
+    """
     gone = near_groups(documents, width, radius, least).select("doc_id").distinct()
     return documents.join(gone, "doc_id", "left_anti")
