@@ -19,12 +19,14 @@ LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests in local mode) a temporary folder is chosen and remembered.
+    A cluster names it in ``spark.checkpoint.dir``.  Only in local mode (tests) may
+    that be unset: then a temporary folder is chosen and remembered.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     app = spark.sparkContext.applicationId
     if app not in LOCAL:
         LOCAL[app] = tempfile.mkdtemp(prefix="spark-")

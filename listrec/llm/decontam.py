@@ -2,13 +2,14 @@
 
 Only DataFrame functions run here.  Every benchmark item gives windows of
 ``width`` consecutive words (an item of fewer words gives one window of all its
-words).  Windows are keyed by a 64-bit hash; the distinct ones form the
-broadcast side of a hash join that every document window probes, and a hit is
-kept only when its words equal the window's words.  A smaller set, the hashes of
-the windows' first three words, is probed before, so that few document windows are
-cut out and hashed whole.  Both sets are broadcast only below a checked number of
-windows and bytes; beyond it the same keys are joined by a shuffle that carries
-each window's own words.
+words).  A window's sign is a 64-bit hash of four of its words; the distinct signs
+form the broadcast side of a hash join that every document window probes with its
+place and sign alone, so the work is linear in a text's length.  The texts of the
+documents with a match are read again, the matching windows are cut out, and a hit
+is kept only when its words equal the benchmark window's words.  The signs are
+broadcast only below a checked number of windows and bytes; beyond it the same
+rows are joined by a shuffle.  The matches are broadcast to the second read below
+a checked number too.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HEAD = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -27,16 +29,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(folded, SEPARATORS), lambda w: w != "")
 
 
-def _head(w: Column, first: Column, length: int) -> Column:
-    """Hash of the first words of a window that starts at the 0-based position ``first``."""
-    return F.xxhash64(*[F.get(w, first + k) for k in range(min(HEAD, length))])
+def _sign(w: Column, first: Column, length: int) -> Column:
+    """Hash of four words, spread over a window that starts at the 0-based position ``first``."""
+    places = sorted({0, length // 3, 2 * length // 3, length - 1})
+    return F.xxhash64(*[F.get(w, first + k) for k in places])
 
 
 def _windows(w: Column, n: Column, length: int) -> Column:
-    """Position (from 1), length and head of each window of ``length`` words."""
+    """Position (from 1), length and sign of each window of ``length`` words."""
     starts = F.when(n >= length, F.sequence(F.lit(1), n - F.lit(length - 1)))
     starts = F.coalesce(starts, F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), _head(w, i - 1, length).alias("head")))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), _sign(w, i - 1, length).alias("sign")))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -55,22 +58,26 @@ def hits(documents: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_
     ``key`` is (doc_id, hash of the text), so rows that share an id but not a
     text stay apart.  Positions count words from 1.
     """
-    bench = benchmark_windows(benchmark, width)
+    bench = cut(benchmark_windows(benchmark, width), "windows")
     size = bench.agg(F.count("*").alias("n"), F.sum(F.length(F.concat_ws(" ", "window")) + 48 + 16 * F.size("items")).alias("b"), F.collect_set("len").alias("lens")).first()
     lens, small = sorted(size["lens"]), size["n"] <= broadcast_windows and (size["b"] or 0) <= broadcast_bytes
-    docs = documents.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("key"), words(F.col("text")).alias("w"))
-    docs = docs.withColumn("n", F.size("w"))
-    each = docs.select("key", "w", F.explode(F.concat(*[_windows(F.col("w"), F.col("n"), m) for m in lens or [width]])).alias("x"))
-    each = each.select("key", "w", F.col("x.pos").alias("pos"), F.col("x.len").alias("len"), F.col("x.head").alias("head"))
-    heads = F.coalesce(*[F.when(F.col("len") >= k, _head(F.col("window"), F.lit(0), k)) for k in range(HEAD, 0, -1)])
-    heads = bench.select("len", heads.alias("head"))
     put = F.broadcast if small else (lambda side: side)
-    if not small:  # what a shuffle carries is the window, not the text
-        each = each.withColumn("w", F.slice("w", F.col("pos"), F.col("len"))).withColumn("at", F.lit(1))
-    else:
-        each = each.withColumn("at", F.col("pos"))
-    near = each.join(put(heads.distinct()), ["len", "head"], "left_semi")
-    own = near.select("key", "pos", "len", F.slice("w", F.col("at"), F.col("len")).alias("own")).withColumn("h", F.xxhash64("own"))
+    docs = documents.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    each = docs.select("doc_id", "t", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    each = each.select("doc_id", "t", F.explode(F.concat(*[_windows(F.col("w"), F.col("n"), m) for m in lens or [width]])).alias("x"))
+    each = each.select("doc_id", "t", F.col("x.pos").alias("pos"), F.col("x.len").alias("len"), F.col("x.sign").alias("sign"))
+    sign = F.lit(None).cast("long")
+    for m in lens:
+        sign = F.when(F.col("len") == m, _sign(F.col("window"), F.lit(0), m)).otherwise(sign)
+    near = each.join(put(bench.select("len", sign.alias("sign")).distinct()), ["len", "sign"], "left_semi")
+    places = near.groupBy(F.col("doc_id").alias("k"), F.col("t").alias("u")).agg(F.collect_set(F.struct("pos", "len")).alias("at"))
+    places = cut(places, "places")
+    found = places.agg(F.count("*").alias("n"), F.sum(F.size("at")).alias("m")).first()
+    few = found["n"] <= broadcast_windows and (found["m"] or 0) <= broadcast_windows
+    again = docs.join(F.broadcast(places) if few else places, docs["doc_id"].eqNullSafe(places["k"]) & (docs["t"] == places["u"]))
+    cut_out = F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len"), F.slice("w", x["pos"], x["len"]).alias("own")))
+    own = again.select(F.struct("doc_id", "t").alias("key"), "at", words(F.col("text")).alias("w")).select("key", F.explode(cut_out).alias("x"))
+    own = own.select("key", F.col("x.pos").alias("pos"), F.col("x.len").alias("len"), F.col("x.own").alias("own")).withColumn("h", F.xxhash64("own"))
     return own.join(put(bench), ["h", "len"]).filter(F.col("own") == F.col("window")).select("key", "pos", "len", "items")
 
 
@@ -92,6 +99,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The documents without any benchmark window, with all their columns."""
-    dirty = hits(documents, benchmark, width).select("key").distinct().select(F.col("key.doc_id").alias("_k"), F.col("key.t").alias("_t"))
-    return documents.join(dirty, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    """The documents without any benchmark window, with all their columns.
+
+    Null and empty texts and rows without an id stay or go by the same rule: without
+    words there is no window.  Repeated rows stay or go together.
+    """
+    dirty = hits(documents, benchmark, width).select("key").distinct().select(F.col("key.doc_id").alias("k"), F.col("key.t").alias("t"))
+    return documents.join(dirty, documents["doc_id"].eqNullSafe(dirty["k"]) & (F.xxhash64(documents["text"]) == dirty["t"]), "left_anti")
