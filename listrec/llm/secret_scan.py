@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, span_key
@@ -27,8 +27,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CHECKED = re.compile(r"(ghp|gho|ghu|ghs|ghr|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}-----END [A-Z ]{0,30}PRIVATE KEY-----")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,16384}\.[A-Za-z0-9_-]{16,4096}")
+PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*?PRIVATE KEY-----(?:[^-]|-(?!----))*+-----END [A-Z ]*?PRIVATE KEY-----")
+JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+")
+JWT_PART = re.compile(r"[A-Za-z0-9_-]*+")
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access",
@@ -83,10 +84,14 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     spans, after = [], dict.fromkeys(PATTERNS, 0)
     for last, (n, kind) in automaton().iter(low):
         at = last + 1 - n
-        if at >= after[kind] and (m := PATTERNS[kind].match(text, at)):
+        if at < after[kind]:
+            continue
+        if m := PATTERNS[kind].match(text, at):
             after[kind] = m.end()
             if accepted(kind, m):
                 spans.append((at, KINDS.index(kind), m.end()))
+        elif kind == "jwt":  # what follows this part fits no token, wherever in the part one starts
+            after[kind] = JWT_PART.match(text, at).end()
     spans += [(m.start(), KINDS.index("hex"), m.end()) for m in HEX.finditer(text)]
     return sorted(spans)
 
@@ -110,8 +115,7 @@ def scan(documents: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans; rows are independent, so repeated rows
     give repeated results and an empty table an empty result.  Other columns are
-    not read.  Matches of a checked format are bounded in length, those of the
-    base kinds are not.
+    not read.  No match is bounded in length, and the work is linear in it.
     """
 
     def work(texts: list[str | None]) -> dict[str, list]:
@@ -123,11 +127,16 @@ def scan(documents: DataFrame) -> DataFrame:
     return map_texts(documents, work, "n_assign long, n_access long, n_hex long, base string, spans string")
 
 
-def redact_documents(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every found span replaced by ``mark``; null texts stay null."""
+def redacted(text: Column, mark: str = "[SECRET]") -> Column:
+    """A text with every found span replaced by ``mark``; null stays null."""
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([redact(t, s, mark) if t and (s := find(t)) else t for t in texts], dtype=object)
 
-    return documents.withColumn("text", clean("text"))
+    return clean(text)
+
+
+def redact_documents(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """The documents with their texts redacted; all rows stay, other columns as they are."""
+    return documents.withColumn("text", redacted(F.col("text"), mark))

@@ -138,6 +138,23 @@ def test_bit_sliced_forest_equals_brute_force(n, buckets, radius):
     assert got == want and len(pairs) < n
 
 
+@pytest.mark.parametrize("n,buckets,groups", [(200, 1, 3), (400, 50, 40), (300, 6, 1)])
+def test_crossing_rows_equal_brute_force(n, buckets, groups):
+    rng = np.random.default_rng(n)
+    fp = rng.integers(0, 2**62, 12)[rng.integers(0, 12, n)]
+    for _ in range(3):
+        fp = fp ^ (np.int64(1) << rng.integers(0, 62, n)) * rng.integers(0, 2, n)
+    bucket = np.unique(np.sort(rng.integers(0, buckets, n)), return_inverse=True)[1]
+    group = rng.integers(0, groups, n)
+    near = lambda i, j: bucket[i] == bucket[j] and group[i] != group[j] and int(fp[i] ^ fp[j]).bit_count() <= 2
+    want = [i for i in range(n) if any(near(i, j) for j in range(n))]
+    assert simhash.crossing(fp, bucket, 2, group).tolist() == want
+    a, b = simhash.forest(fp, bucket, 2, group=group)
+    pairs = set(zip(a.tolist(), b.tolist()))
+    joined = components_by_force(range(n), lambda i, j: (j, i) in pairs)
+    assert joined == components_by_force(range(n), lambda i, j: group[i] == group[j] or near(i, j))
+
+
 def test_simhash_groups_equal_brute_force(spark):
     rng = random.Random(8)
     rows = corpus(6)
@@ -300,6 +317,20 @@ def test_checksum_decides():
     assert not [s for s in secret_scan.find(f"x {good[:-1]}{'0' if good[-1] != '0' else '1'} y") if s[1] == 3]
 
 
+def test_long_secrets_are_found_whole():
+    import time
+
+    kinds = lambda t: [(secret_scan.KINDS[k], t[a:b]) for a, k, b in secret_scan.find(t) if k >= secret_scan.N_BASE]
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "Mz/+" * 5000 + "\n-----END RSA PRIVATE KEY-----"
+    jwt = "eyJ" + "hQ" * 3000 + ".eyJ" + "x_-Z" * 5000 + "." + "sG" * 2500
+    assert kinds(f"a {key} b {jwt}, c") == [("private_key", key), ("jwt", jwt)]
+    assert kinds("xx" + jwt) == [("jwt", jwt)] and kinds("-----BEGIN PRIVATE KEY-----abc") == []
+    began = time.process_time()
+    for t in ("eyJ" * 300_000, "eyJabcdefgh." * 80_000, "-----BEGIN " * 80_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "token " * 100_000):
+        assert kinds(t) == []
+    assert time.process_time() - began < 5
+
+
 def test_secret_scan_and_redaction(spark):
     rows = [(1, "password = abcdefghijklm and AKIA" + "A" * 20), (2, None), (3, ""), (3, ""), (None, "token:" + "z" * 50_000)]
     got = secret_scan.scan(frame(spark, rows)).collect()
@@ -436,6 +467,32 @@ def test_decontamination_equals_brute_force(spark, small):
     assert clean == sorted((x[0] for x in hits_by_force(docs, bench) if not x[2]), key=str)
 
 
+def test_decontamination_is_linear_in_a_text(spark):
+    import time
+
+    bench = frame(spark, [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")], "item_id long, text string")
+    text = lambda n: " ".join(f"w{i % 5000}" for i in range(n))
+    took = []
+    for n in (80_000, 80_000, 160_000):
+        docs = frame(spark, [(1, text(n))])
+        began = time.time()
+        assert decontam.decontaminate(docs, bench).first().n_hit == 12 * (n // 5000)
+        took.append(time.time() - began)
+    assert took[2] < 2.2 * took[1] + 1
+
+
+def test_registered_decontamination_equals_its_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    want = con.execute(queries.ORACLES["op6_benchmark_decontamination"]).fetchall()
+    got = queries.QUERIES["op6_benchmark_decontamination"](spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[2] for r in want)
+
+
 def test_decontamination_of_empty_tables(spark):
     d, b = frame(spark, [(1, "a b"), (2, None)]), frame(spark, [], "item_id long, text string")
     assert [(r.n_hit, r.contaminated) for r in decontam.decontaminate(d, b).collect()] == [(0, False)] * 2
