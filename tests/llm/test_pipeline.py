@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from listrec.llm.common import cut
@@ -47,6 +48,18 @@ def test_each_decision_takes_effect(spark, tables):
     assert ids(last) == before and last.filter("not round_trip").count() == 0
 
 
+def test_stages_take_columns_of_any_name(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    extra = ("score", "predicted", "row", "clean", "_n", "_k", "_t", "k", "t", "h", "items", "key", "label", "digest", "sim", "node", "z", "pos", "len")
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = lambda df: sorted(map(str, df.select(docs.columns).collect()))
+        got = stage(spark, wide, tables)
+        assert got.columns == wide.columns and rows(got) == rows(stage(spark, docs, tables)), name
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in got.collect() for c in extra), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, tables).count() == wide.count()
+
+
 def test_run_equals_the_stages_and_empty_tables_pass(spark, tables, tmp_path):
     assert corpus_pipeline.run(spark, tables).count() == 126 - 31 - 2 - 1
     for t in ("documents", "labels", "benchmark"):
