@@ -3,17 +3,18 @@
 Every text is cut into reference blocks that depend on content alone: each window
 of ``window`` words is anchored at its least-hashed ``gram``-word sequence, and the
 consecutive windows with one anchor form a block.  The earliest place of every
-block is the reference index.  A text is parsed greedily: a block that is indexed
-earlier is copied, and copies that continue each other in their source join to one
-factor.  Where a factor ends, a window may still match another reference than the
-block does; blocks whose anchor has several contents are therefore looked at
-window by window.  So a word is removed exactly when a window over it starts
-earlier, in a smaller document or further up in its own.
-
-Blocks are compared by two independent 64-bit hashes (anchor and block, anchor and
-window), 128 bits in all.  Only anchors that occur twice are followed further, and
-only their blocks are spread out; sums over hot passages are formed before a
-shuffle, and joins on them are split by the skew join.
+block is the reference index.  Spark looks up, for every text, the blocks that are
+indexed earlier; where blocks of one anchor differ, single windows are looked up,
+as a window at the end of a copied block may match another reference.  A text is
+then parsed greedily: the copy that reaches furthest is taken, copies that go on in
+their source join to one factor, and where a factor ends the matches that begin
+before its end are tried next.  Words under a factor of a window or more are
+removed, so a word goes exactly when a window over it starts earlier, in a smaller
+document or further up in its own.
+
+Blocks and windows are compared by a 64-bit hash among those that share an anchor,
+itself a 64-bit hash.  Only anchors that occur twice are followed further.  Sums
+are written before they are joined, so that the skew join splits hot anchors.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -166,40 +167,55 @@ def windows_of(documents: DataFrame, chosen: DataFrame, window: int) -> DataFram
     return joined.mapInArrow(work, "a long, w long, doc_id long, s int")
 
 
-def copies(rows: DataFrame, keys: list[str], start: str, length) -> DataFrame:
+def copies(rows: DataFrame, keys: list[str], start: str, length: Column, name: str) -> DataFrame:
     """Rows that an earlier row with the same keys precedes: doc_id, start, n words, source place."""
     place = F.struct("doc_id", F.col(start).alias("s"))
     first = rows.groupBy(*keys).agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = rows.join(first, keys).filter(place != F.col("f"))
+    found = rows.join(cut(first, name), keys).filter(place != F.col("f"))
     return found.select("doc_id", F.col(start).alias("start"), length.alias("n"), F.col("f.doc_id").alias("src"), F.col("f.s").alias("src_start"))
 
 
 def matches(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Copied runs: doc_id, start, n (words), src and src_start (the earliest place)."""
-    every = anchored(documents, window, gram)
-    again = every.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    """Copied blocks and windows: doc_id, start, n (words), src and src_start (the earliest place)."""
+    every = cut(anchored(documents, window, gram), "anchored")
+    again = cut(every.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "anchors")
     shared = cut(every.join(again, "a"), "blocks")
-    long = copies(shared, ["a", "p"], "l", F.col("m") + F.lit(window - 1))
+    long = copies(shared, ["a", "p"], "l", F.col("m") + F.lit(window - 1), "firsts")
     # Blocks of one anchor that differ: their first occurrences are compared window by window.
     index = cut(shared.groupBy("a", "p").agg(F.min(F.struct("doc_id", "l", "m")).alias("f")).select("a", "f.*"), "index")
-    several = index.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    several = cut(index.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "several")
     edges = cut(windows_of(documents, index.join(several, "a"), window), "windows")
-    return long.unionByName(copies(edges, ["a", "w"], "s", F.lit(window)))
+    return long.unionByName(copies(edges, ["a", "w"], "s", F.lit(window), "earliest"))
 
 
-def factors_of(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, n, source, source start): a run goes on while its source does."""
-    out: list[list[int]] = []
-    for start, n, src, at in sorted(rows, key=lambda r: (r[0], -r[1], r[2:])):
-        if out and start <= out[-1][0] + out[-1][1]:
-            last = out[-1]
-            if start + n <= last[0] + last[1]:
-                continue
-            if src == last[2] and start - last[0] == at - last[3]:
-                last[1] = start + n - last[0]
-                continue
-        out.append([start, n, src, at])
-    return [tuple(f) for f in out]
+def parse(found: list[tuple[int, int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, n, source, source start) of a text from its matches.
+
+    Of the matches that begin before the last factor's end (or, past it, at the next
+    place that has one) that which reaches furthest is taken; ties go to the source
+    that the factor copies already, then to the earliest.  It lengthens the factor
+    if it goes on in its source.  Factors may overlap at their ends by less than they
+    add, and none is shorter than a window.
+    """
+    found, out, i = sorted(m for m in found if m[1] >= window), [], 0
+    while i < len(found):
+        end = out[-1][0] + out[-1][1] if out and found[i][0] <= out[-1][0] + out[-1][1] else found[i][0]
+        best = None
+        while i < len(found) and found[i][0] <= end:
+            start, n, src, at = found[i]
+            goes_on = bool(out) and src == out[-1][2] and start - out[-1][0] == at - out[-1][3]
+            rank = (start + n, goes_on, -src, -at)
+            if best is None or rank > best[0]:
+                best = rank, found[i]
+            i += 1
+        (reach, goes_on, *_), (start, n, src, at) = best
+        if out and reach <= out[-1][0] + out[-1][1]:
+            continue
+        if goes_on and start <= out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], reach - out[-1][0], src, out[-1][3])
+        else:
+            out.append((start, n, src, at))
+    return out
 
 
 def deduplicate(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -224,16 +240,17 @@ def deduplicate(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 for i in range(part.num_rows):
                     words = unpack(part.column("z")[i])
                     rows = list(zip(*(part.column(c)[i].as_py() or [] for c in ("start", "n", "src", "src_start")), strict=True))
+                    factors = parse(rows, window)
                     gone = np.zeros(len(words) + 1, np.int64)
-                    for start, n, _, _ in rows:
+                    for start, n, _, _ in factors:
                         gone[min(start, len(words))] += 1
                         gone[min(start + n, len(words))] -= 1
                     stays = np.cumsum(gone[:-1]) == 0
                     out["n_words"].append(len(words))
                     out["n_removed"].append(int(len(words) - stays.sum()))
-                    kept = [w for w, s in zip(words, stays.tolist(), strict=True) if s] if rows else words
+                    kept = [w for w, s in zip(words, stays.tolist(), strict=True) if s] if factors else words
                     out["kept"].append(b" ".join(kept).decode("utf-8"))
-                    out["factors"].append(",".join(":".join(map(str, f)) for f in factors_of(rows)))
+                    out["factors"].append(",".join(":".join(map(str, f)) for f in factors))
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], ["doc_id", *out])
 
