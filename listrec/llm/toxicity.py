@@ -10,14 +10,16 @@ mention of a group carries no weight of its own.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import cut, map_texts
 
 # Identity terms; a term is swapped for the next of its list.
 IDENTITY = (
@@ -82,54 +84,72 @@ class Linear:
 
 
 def sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """The labelled rows to learn from: at most ``rows``, the first by hash of the id."""
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    """The labelled texts to learn from, one an id: at most ``rows``, the first by hash of the id.
+
+    Of texts that share an id the least is taken.
+    """
+    chosen = labels.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def chosen_features(found: DataFrame, n: int, pos: int, features: int) -> np.ndarray:
+    """(id, texts with it, toxic texts with it) of the features with the largest chi-square, by id.
+
+    The counts are summed on the executors; only the chosen rows reach the driver.
+    """
+    counts = found.select("label", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").cast("double").alias("df"), F.sum("label").cast("double").alias("hit"))
+    expect = F.col("df") * F.lit(pos / n)
+    off = (F.col("hit") - expect) ** 2
+    chi = off / F.greatest(expect, F.lit(1e-9)) + off / F.greatest(F.col("df") - expect, F.lit(1e-9))
+    best = counts.filter("df >= 3").withColumn("chi", chi).filter("chi > 3.8").orderBy(F.desc("chi"), "id").limit(features)
+    return np.array(sorted(map(tuple, best.select("id", "df", "hit").collect())), float).reshape(-1, 3)
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = 6_000, features: int = 20_000, ridge: float = 0.02, swap: float = 1.0, steps: int = 300) -> Linear:
+def fit(documents: DataFrame, labels: DataFrame, rows: int = 8_000, features: int = 20_000, ridge: float = 0.02, swap: float = 1.0, steps: int = 300) -> Linear:
     """Fit on at most ``rows`` labelled texts (``labels``: doc_id, label).
 
-    Executors turn the texts to feature ids; the driver gets ids only.  The
-    ``features`` with the largest chi-square among those in three texts or more are
-    kept, scaled by their smoothed log-odds, and accelerated gradient steps
-    minimise the loss.  Without labels of both kinds every score is the smoothed
-    share of label 1, 0.5 without any.
+    Executors turn the texts to feature ids and count them; the driver gets the
+    ids of chosen features only.  The ``features`` with the largest chi-square among
+    those in three texts or more are kept, scaled by their smoothed log-odds, and
+    accelerated gradient steps minimise the loss.  An id counts once, with its highest
+    label.  Without labels of both kinds every score is the smoothed share of label
+    1, 0.5 without any.
     """
     hasher = Hasher()
 
     def work(texts: list[str | None]) -> dict[str, list]:
         words = [words_of(t) for t in texts]
         other = [swapped(w) for w in words]
-        return {"ids": [hasher.ids(w).tobytes() for w in words], "other": [hasher.ids(w).tobytes() if w is not None else None for w in other]}
+        return {"ids": [hasher.ids(w).tolist() for w in words], "other": [hasher.ids(w).tolist() if w is not None else None for w in other]}
 
-    found = map_texts(sample(documents, labels, rows), work, "ids binary, other binary", keep=("doc_id", "label")).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["label"]))
-    y = np.array([r["label"] for r in found], float)
-    n, pos = len(y), float(y.sum())
+    found = cut(map_texts(sample(documents, labels, rows), work, "ids array<int>, other array<int>", keep=("doc_id", "label")), "labelled")
+    size = found.agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
+    n, pos = size["n"], size["pos"] or 0
     prior = float(np.log((pos + 0.5) / (n - pos + 0.5)))
     if pos in (0, n):
         return Linear(np.empty(0, np.int32), np.empty(0), prior)
-    ids = [np.frombuffer(r["ids"], np.int32) for r in found]
-    flat, of = np.concatenate(ids), np.repeat(np.arange(n, dtype=np.int32), [len(i) for i in ids])
-    size = 1 << BITS
-    df, hit = np.bincount(flat, minlength=size), np.bincount(flat, y[of], size)
-    expect = df * pos / n
-    chi = np.where(df >= 3, (hit - expect) ** 2 / np.maximum(expect, 1e-9) + (hit - expect) ** 2 / np.maximum(df - expect, 1e-9), 0)
-    best = np.sort(np.lexsort((np.arange(size), -chi))[:features])
-    best = best[chi[best] > 3.8]
-    odds = np.log((hit[best] + 0.5) / (pos + 1)) - np.log((df[best] - hit[best] + 0.5) / (n - pos + 1))
-    where = np.full(size, -1, np.int32)
-    where[best] = np.arange(len(best))
+    best, df, hit = chosen_features(found, n, pos, features).T
+    best = best.astype(np.int32)
+    odds = np.log((hit + 0.5) / (pos + 1)) - np.log((df - hit + 0.5) / (n - pos + 1))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [[None if x is None else np.nonzero(np.isin(best, x))[0].astype(np.int32).tobytes() for x in b.column(c).to_pylist()] for c in ("ids", "other")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "label", "ids", "other"])
+
+    taken = found.mapInArrow(known, "doc_id long, label int, ids binary, other binary").collect()
+    taken.sort(key=lambda r: r["doc_id"])
+    y = np.array([r["label"] for r in taken], float)
+    ids = [np.frombuffer(r["ids"], np.int32) for r in taken]
 
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        c = where[np.concatenate(rows)] if rows else np.empty(0, np.int32)
-        r = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i in rows])
-        return r[c >= 0], c[c >= 0]
+        c = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        return np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i in rows]), c
 
     row, col = sparse(ids)
-    pairs = [k for k, r in enumerate(found) if r["other"] is not None]
-    minus = sparse([np.frombuffer(found[k]["other"], np.int32) for k in pairs])
+    pairs = [k for k, r in enumerate(taken) if r["other"] is not None]
+    minus = sparse([np.frombuffer(taken[k]["other"], np.int32) for k in pairs])
     plus = sparse([ids[k] for k in pairs])
     d, m = len(best), len(pairs)
     dot = lambda w, r, c, k: np.bincount(r, w[c] * odds[c], k)
@@ -148,7 +168,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 6_000, features: in
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead_w, ahead_b = new_w + (t - 1) / s * (new_w - w), new_b + (t - 1) / s * (new_b - b)
         w, b, t = new_w, new_b, s
-    return Linear(best.astype(np.int32), w * odds, float(b))
+    return Linear(best, w * odds, float(b))
 
 
 def score(documents: DataFrame, model: Linear, keep: tuple[str, ...] = ("doc_id",), text: bool = False) -> DataFrame:

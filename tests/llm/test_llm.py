@@ -80,6 +80,25 @@ def test_factors_copy_from_their_source(spark):
     assert n > 5
 
 
+def test_factors_decide_what_is_removed(spark, monkeypatch):
+    docs = frame(spark, corpus(4))
+    assert sum(r.n_removed for r in rlz.deduplicate(docs).collect()) > 100
+    monkeypatch.setattr(rlz, "parse", lambda found, window: [])
+    assert sum(r.n_removed for r in rlz.deduplicate(docs).collect()) == 0
+
+
+def test_parse_covers_its_matches_with_few_factors():
+    rng = random.Random(3)
+    for _ in range(300):
+        found = [(s, n := rng.randint(5, 12), rng.randint(0, 2), rng.randint(0, 40)) for s in rng.choices(range(60), k=rng.randint(0, 14))]
+        factors = rlz.parse(found, 5)
+        cover = lambda rows: {i for s, n, *_ in rows for i in range(s, s + n)}
+        assert cover(factors) == cover(found) and len(factors) <= len(found)
+        assert factors == sorted(factors) and all(a[0] + a[1] < b[0] + b[1] for a, b in zip(factors, factors[1:]))
+    assert rlz.parse([(0, 20, 1, 5), (10, 20, 1, 15), (10, 20, 0, 3), (31, 20, 7, 7)]) == [(0, 30, 1, 5), (31, 20, 7, 7)]
+    assert rlz.parse([(0, 19, 1, 5)]) == []
+
+
 def test_substring_dedup_edge_rows(spark):
     t = words(random.Random(1), 30)
     rows = [(None, t), (1, t), (1, t), (2, None)]
