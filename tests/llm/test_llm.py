@@ -607,6 +607,45 @@ def test_pii_scan_adds_likely_spans(spark):
     assert pii.scan(frame(spark, []), None).count() == 0
 
 
+def test_wider_forms_are_found_on_held_out_rows(spark):
+    """Disguised forms that training never saw as base matches, and numbers that are none."""
+    rng, rows, truth = random.Random(11), [], {}
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+
+    def account():
+        body = digits(18)
+        return next(c for k in range(98) if pii.account_holds(c := f"DE{k:02d}{body}"))
+
+    for i in range(600):
+        kind = i % 6
+        x = (f"mail {name()}@{name()}.com", f"tel: +1 ({digits(3)}) {digits(3)}-{digits(4)}", f"order {digits(8)} of {digits(4)}-{digits(2)}-{digits(2)}", f"meet me at {name()}. Then go", f"iban {account()}", f"part DE{digits(20)}")[kind]
+        rows.append((i, f"{name()} {name()} {x} {name()}"))
+    model = pii.fit(frame(spark, rows))
+    for kind in ("more_email", "more_number", "more_code"):
+        precision, recall, positives, n = model.report[kind]
+        assert precision >= 0.97 and positives > 5 and n > positives, (kind, model.report)
+    assert model.report["more_email"][1] > 0.9 and model.report["more_number"][1] > 0.9
+    new = [f"mail {name()} at {name()} dot com" for _ in range(50)] + [f"tel: (1{digits(2)}) {digits(3)}-{digits(4)}" for _ in range(50)]
+    assert sum(any(s[1] >= pii.N_BASE for s in pii.find(t, model)) for t in new) > 85
+    plain = [f"order {digits(8)} of {digits(4)}-{digits(2)}-{digits(2)}" for _ in range(50)] + [f"meet me at {name()}. Then go" for _ in range(50)]
+    assert sum(any(s[1] >= pii.N_BASE for s in pii.find(t, model)) for t in plain) < 8
+
+
+def test_pii_candidates_and_overlaps_are_linear():
+    import time
+
+    assert [(a, b) for a, k, b in pii.candidates("so john at example.com it is") if k == 4] == [(3, 22)]
+    began = time.process_time()
+    for t in ("+1 (212) 555-1234 " * 20_000, "0 at b.c " * 20_000, "1" * 300_000, "at " * 100_000, "a.b" * 100_000):
+        pii.find(t, None)
+        pii.candidates(t)
+        spans = pii.base_spans(t)
+        assert all(pii.overlaps(s, pii.merged(spans)) for s in spans[:5])
+        pii.examples(t, 0)
+    assert time.process_time() - began < 25
+
+
 # 9 ---------------------------------------------------------------------------
 
 
