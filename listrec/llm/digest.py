@@ -57,7 +57,8 @@ def in_order(documents: DataFrame, flagged: DataFrame, work, schema: str) -> Dat
     One range shuffle of compressed texts: partitions are ranges of ids, and the
     first row of the range below goes along at the end of each (the very first row
     at the end of the last).  ``flagged`` holds ids; their rows get a true flag.
-    Rows that share an id follow each other by text; null ids come last.
+    Rows that share an id follow each other in descending order of their compressed
+    texts; null ids come last.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -93,7 +94,7 @@ def in_order(documents: DataFrame, flagged: DataFrame, work, schema: str) -> Dat
 
     texts = documents.select("doc_id", "text").mapInArrow(spread, MARGIN)
     marks = flagged.select(F.lit(2).alias("own"), part_of(order).alias("k"), "doc_id", F.lit(None).cast("binary").alias("z"))
-    rows = texts.unionByName(marks).repartition(parts, "k")
+    rows = texts.unionByName(marks).repartitionById(parts, F.col("k"))
     rows = rows.sortWithinPartitions("k", F.least("own", F.lit(1)).desc(), F.desc_nulls_last("doc_id"), F.desc("own"), F.desc_nulls_last("z"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +135,13 @@ def compare_with_edits(documents: DataFrame) -> DataFrame:
 
     A likeness of exact digests is 1.0 when the canonical bytes are equal, else 0.0.
     Null texts count as empty.  A single document is its own next one.  Rows that
-    repeat an id are ordered by text; an empty table gives an empty result.
+    repeat an id follow each other in descending order of their compressed texts; an
+    empty table gives an empty result.  A number behind a digest that two contents
+    share goes to the texts' fingerprints, not to those of edited forms.
     """
     prints = cut(fingerprints(documents), "digests")
-    twice = prints.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    # written before the join, so that the skew join can split a hot digest
+    twice = cut(prints.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "twice")
     flagged = prints.join(twice, "digest").select("doc_id").distinct()
 
     def work(text: str, following: str, shared: bool) -> tuple:
