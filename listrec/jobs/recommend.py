@@ -1,6 +1,8 @@
 """The whole chain: retrieval by two sources, features, ranker, submission lists, recall.
 
 Training ends where the target week begins, so no later event reaches the lists.
+Lists are for users of the training log, or for listed users with a history of their
+own: these are folded in, and who has too few candidates gets popular items.
 """
 
 from __future__ import annotations
@@ -13,33 +15,85 @@ from ..operators import als, candidates, covisit, evaluate, features, ids, inter
 from ..sources import io
 
 
-def als_candidates(pairs: DataFrame, allowed: DataFrame, rank: int = 8, iterations: int = 5, n: int = 400) -> DataFrame:
-    """Train ALS on the pairs and score every user by folding in their history."""
+def item_factors(pairs: DataFrame, rank: int = 32, iterations: int = 15) -> DataFrame:
+    """(id, features) of the items of ALS trained on the pairs."""
     user_index, item_index = ids.dense_index(pairs, "user_id"), ids.dense_index(pairs, "item_id")
     model = als.fit(ids.encode(pairs, user_index, item_index), rank=rank, iterations=iterations)
-    named = model.itemFactors.join(item_index, F.col("id") == F.col("idx")).select(F.col("item_id").alias("id"), "features")
-    return als.recommend_from_history(pairs, named, allowed, n)
+    return model.itemFactors.join(item_index, F.col("id") == F.col("idx")).select(F.col("item_id").alias("id"), "features")
+
+
+def als_candidates(pairs: DataFrame, allowed: DataFrame, rank: int = 32, iterations: int = 15, n: int = 400) -> DataFrame:
+    """Train ALS on the pairs and score every user by folding in their history."""
+    return als.recommend_from_history(pairs, io.staged(item_factors(pairs, rank, iterations), "factors"), allowed, n)
+
+
+def history_of(events: DataFrame, contacts: DataFrame, cutoff_ms: int, days: int, recent: int) -> DataFrame:
+    """The latest items of each user in the window."""
+    return interactions.keep_recent(interactions.aggregate(ev.with_weight(ev.in_window(events, cutoff_ms, days), contacts)), recent)
+
 
+def covisit_lists(history: DataFrame, matrix: DataFrame, allowed: DataFrame, n: int = 400, seeds: int = 15) -> DataFrame:
+    """The best ``n`` neighbours of each user's seeds."""
+    users = history.select("user_id").distinct()
+    return candidates.covisit_top_n(candidates.covisit_scores(candidates.seed_items(history, users, seeds), matrix, allowed), n)
 
-def run(spark: SparkSession, events: DataFrame, items: DataFrame, contacts: DataFrame, threshold_ms: int, days: int = 28, recent: int = 100, min_users: int = 3, n: int = 400, k: int = 160, stage_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lists, recall): lists of at most ``k`` items a user, and recall of the validation users.
 
-    With ``stage_dir`` the candidates are written there and read again, which cuts
-    the lineage before the ranker is trained.
+def complete(ranked: DataFrame, users: DataFrame, history: DataFrame, pairs: DataFrame, allowed: DataFrame, k: int, recent: int) -> DataFrame:
+    """(user_id, item_id, pos, filled): exactly ``k`` unseen items for every listed user.
+
+    ``ranked`` needs ``rank``.  Of the pool's most popular items 2 k + ``recent`` are at
+    hand, more than a user can have seen or got; a smaller pool gives shorter lists.
     """
-    log = ev.in_window(events, threshold_ms, days)
-    pairs = interactions.keep_recent(interactions.aggregate(ev.with_weight(log, contacts)), recent)
-    allowed = pool.allowed_items(items, pairs)
-    users = pairs.select("user_id").distinct()
-    scores = candidates.covisit_scores(candidates.seed_items(pairs, users), covisit.build(log, min_users=min_users), allowed)
-    merged = candidates.merge(als_candidates(pairs, allowed, n=n), candidates.covisit_top_n(scores, n))
-    merged = candidates.exclude_seen(merged, pairs)
+    top = popularity.top_by_weight(pairs, allowed, 2 * k + recent)
+    return candidates.fill_up(ranked, top, history, k, users)
+
+
+def run(
+    spark: SparkSession,
+    events: DataFrame,
+    items: DataFrame,
+    contacts: DataFrame,
+    threshold_ms: int,
+    users: DataFrame | None = None,
+    user_events: DataFrame | None = None,
+    days: int = 28,
+    recent: int = 100,
+    min_users: int = 3,
+    n: int = 400,
+    k: int = 160,
+    rank: int = 32,
+    iterations: int = 15,
+    rounds: int = 20,
+) -> tuple[DataFrame, DataFrame]:
+    """(lists, recall): lists of items, and recall of the validation users.
+
+    Without ``users`` the lists (user_id, item_id, vertical_id, rank_score, pos) are
+    those of all users of the log, at most ``k`` items each.  With them (user_id,
+    repeats count once) the lists (user_id, item_id, pos, filled) hold exactly ``k``
+    items for each, cold ones included, as far as the pool goes; their histories are
+    read from ``user_events``, or from ``events``.  Tables that are used several times
+    are written to the shared folder and read again.
+    """
+    pairs = io.staged(history_of(events, contacts, threshold_ms, days, recent), "pairs")
+    allowed = io.staged(pool.allowed_items(items, pairs), "pool")
+    matrix = io.staged(covisit.build(ev.in_window(events, threshold_ms, days), min_users=min_users), "matrix")
+    factors = io.staged(item_factors(pairs, rank, iterations), "factors")
+    counts = popularity.item_popularity(pairs)
+
+    def table(history: DataFrame, targets: DataFrame | None) -> DataFrame:
+        merged = candidates.merge(als.recommend_from_history(history, factors, allowed, n), covisit_lists(history, matrix, allowed, n))
+        fresh = candidates.exclude_seen(merged, history)
+        return io.staged(features.build_merged(fresh, items, counts, features.user_top_vertical(history, items), targets), "features")
+
     targets = evaluate.holdout_targets(events, contacts, threshold_ms)
-    table = features.build_merged(merged, items, popularity.item_popularity(pairs), features.user_top_vertical(pairs, items), targets)
-    if stage_dir:
-        io.write_stage(table, f"{stage_dir}/features")
-        table = spark.read.parquet(f"{stage_dir}/features")
-    train, val = ranking.split_by_user(table)
-    model = ranking.fit(train)
+    known = table(pairs, targets)
+    train, val = ranking.split_by_user(known)
+    model = ranking.fit(train, rounds=rounds)
     recall = evaluate.recall_at_k(ranking.score(model, val), "rank_score", targets, k)
-    return ranking.balance_by_vertical(ranking.score(model, table), items, k), recall
+    if users is None:
+        return ranking.balance_by_vertical(ranking.score(model, known), items, k), recall
+    source = events if user_events is None else user_events
+    listed = source.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    own = io.staged(history_of(listed, contacts, threshold_ms, days, recent), "own")
+    ranked = ranking.balance_by_vertical(ranking.score(model, table(own, None)), items, k)
+    return complete(ranked.withColumn("rank", F.col("pos")), users, own, pairs, allowed, k, recent), recall

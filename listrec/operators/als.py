@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ def fit(encoded: DataFrame, rank: int = 32, reg: float = 0.1, iterations: int =
     return als.fit(encoded)
 
 
-def gram(item_factors: DataFrame) -> np.ndarray:
-    """The product of the factor matrix with itself: each task sums, the driver adds up small squares."""
+def gram(item_factors: DataFrame) -> np.ndarray | None:
+    """The product of the factor matrix with itself: each task sums, the driver adds up small squares; None without factors."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -30,6 +31,8 @@ def gram(item_factors: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"g": [total.ravel().tolist()]})
 
     rows = [np.array(r["g"]) for r in item_factors.select("features").mapInPandas(part, "g array<double>").collect()]
+    if not rows:
+        return None
     total = np.sum(rows, axis=0)
     k = int(round(len(total) ** 0.5))
     return total.reshape(k, k)
@@ -40,9 +43,12 @@ def fold_in(history: DataFrame, item_factors: DataFrame, reg: float = 0.1, alpha
 
     The user's least-squares problem is that of the training, so a training user
     gets the stored factor.  Items without a factor are dropped; a user without any
-    known item gives no row.  Histories are capped upstream, so a user's list is short.
+    known item gives no row, no factors give an empty result.  Histories are capped
+    upstream, so a user's list is short.
     """
     g = gram(item_factors)
+    if g is None:
+        return history.select(F.col("user_id").cast("long"), F.lit(None).cast("array<float>").alias("features")).limit(0)
     known = history.join(item_factors, F.col("item_id") == F.col("id"))
     per = known.groupBy("user_id").agg(F.collect_list("weight").alias("w"), F.collect_list("features").alias("y"))
 
@@ -68,42 +74,68 @@ def fold_in(history: DataFrame, item_factors: DataFrame, reg: float = 0.1, alpha
     return per.mapInPandas(solve, "user_id long, features array<float>")
 
 
-def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame | None = None, n: int = 400, user_block: int = 256, item_block: int = 4096) -> DataFrame:
+def best_of(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the ``n`` greatest scores and their ids, in no order; ties at the end go to the smaller ids."""
+    if scores.shape[1] <= n:
+        return scores, ids
+    at = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    least = np.take_along_axis(scores, at, 1).min(axis=1)
+    for row in np.nonzero((scores >= least[:, None]).sum(axis=1) > n)[0]:
+        at[row] = np.lexsort((ids[row], -scores[row]))[:n]
+    return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+
+
+def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame | None = None, n: int = 400, user_blocks: int | None = None, item_blocks: int | None = None, item_parts: int = 4) -> DataFrame:
     """The ``n`` items of the pool with the greatest dot product for each user (both: id, features).
 
-    Factors are packed to blocks; a block of users meets each block of items in one
-    matrix product and leaves ``n`` rows a user, so no pair becomes a row.  Sums are
-    in double precision; ties go to the smaller item.
+    Factors are packed to blocks.  A task holds one block of users, the item blocks of
+    one of ``item_parts`` parts stream past it, and each user's running best ``n`` are
+    kept: no pair becomes a row, and ``n`` rows a user and part are left for the last
+    ranking.  Sums are in double precision; ties go to the smaller item.  About
+    2,048 users and 4,096 items a block fit a task; without the numbers of blocks the
+    factors are counted for them, which is an action.
     """
     items = item_factors.join(pool.select(F.col("item_id").alias("id")), "id", "left_semi") if pool is not None else item_factors
+    ub = user_blocks or max(1, -(-user_factors.count() // 2048))
+    ib = item_blocks or max(1, -(-items.count() // 4096))
+    parts = min(item_parts, ib)
+
+    def packed(factors: DataFrame, count: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("block")
+        return factors.groupBy(block).agg(F.collect_list(F.col("id").cast("long")).alias("ids"), F.collect_list("features").alias("factors"))
+
+    users = packed(user_factors, ub).select(F.col("block").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("block"), "ids", "factors")
+    blocks = packed(items, ib).select(F.explode(F.sequence(F.lit(0), F.lit(ub - 1))).alias("u"), F.pmod("block", F.lit(parts)).alias("part"), "block", "ids", "factors")
 
-    def blocks(factors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        count = max(1, -(-factors.count() // size))
-        packed = factors.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(f"{name}_block"))
-        return packed.agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("features").alias(f"{name}_factors")), count
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = users = None
 
-    ub, _ = blocks(user_factors, user_block, "user")
-    ib, n_blocks = blocks(items, item_block, "item")
-    tasks = ub.withColumn("item_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(ib, "item_block")
+        def kept() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(who, scores.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["user_id", "item_id", "als_score"])
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for row in b.itertuples(index=False):
-                v = np.array(list(row.item_factors), dtype=np.float64)
-                ids, users = np.array(row.item_ids), np.array(row.user_ids)
-                s = np.array(list(row.user_factors), dtype=np.float64) @ v.T
-                keep = min(n, len(ids))
-                by_id = np.argsort(ids, kind="stable")
-                s, ids = s[:, by_id], ids[by_id]
-                order = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-                yield pd.DataFrame({"user_id": np.repeat(users, keep), "item_id": ids[order].ravel(), "als_score": np.take_along_axis(s, order, 1).ravel()})
-
-    partial = tasks.select("user_ids", "user_factors", "item_ids", "item_factors").mapInPandas(best, "user_id long, item_id long, als_score double")
+            for i in range(b.num_rows):
+                u, part, block = (b.column(c)[i].as_py() for c in ("u", "part", "block"))
+                own = np.array(b.column("ids")[i].as_py(), np.int64)
+                factors = np.array(b.column("factors")[i].as_py(), np.float64)
+                if block < 0:
+                    if key is not None:
+                        yield kept()
+                    key, who, users = (u, part), own, factors
+                    scores, ids = np.empty((len(own), 0)), np.empty((len(own), 0), np.int64)
+                elif key == (u, part):  # else a block that no user fell into
+                    new = np.concatenate((scores, users @ factors.T), axis=1)
+                    scores, ids = best_of(new, np.concatenate((ids, np.broadcast_to(own, (len(who), len(own)))), axis=1), n)
+        if key is not None:
+            yield kept()
+
+    tasks = users.unionByName(blocks).repartition(ub * parts, "u", "part").sortWithinPartitions("u", "part", "block")
+    partial = tasks.mapInArrow(best, "user_id long, item_id long, als_score double")
     order = Window.partitionBy("user_id").orderBy(F.desc("als_score"), "item_id")
     return partial.withColumn("als_rank", F.row_number().over(order) - 1).filter(F.col("als_rank") < n)
 
 
-def recommend_from_history(history: DataFrame, item_factors: DataFrame, pool: DataFrame | None, n: int = 400, reg: float = 0.1, alpha: float = 1.0) -> DataFrame:
+def recommend_from_history(history: DataFrame, item_factors: DataFrame, pool: DataFrame | None, n: int = 400, reg: float = 0.1, alpha: float = 1.0, user_blocks: int | None = None, item_blocks: int | None = None) -> DataFrame:
     """Fold users in, then score them."""
     users = fold_in(history, item_factors, reg, alpha).withColumnRenamed("user_id", "id")
-    return score_top_n(users, item_factors, pool, n)
+    return score_top_n(users, item_factors, pool, n, user_blocks, item_blocks)

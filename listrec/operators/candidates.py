@@ -48,10 +48,20 @@ def cold_users(users: DataFrame, candidates: DataFrame) -> DataFrame:
     return users.select("user_id").distinct().join(candidates.select("user_id"), "user_id", "left_anti")
 
 
+#: Longest popular list that is packed to one array and broadcast.
+LONGEST = 10_000
+
+
 def _for_each(users: DataFrame, top: DataFrame, order: list) -> DataFrame:
-    """Every user with every row of a short list, which is packed to one array."""
-    ranked = top.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
-    packed = ranked.agg(F.sort_array(F.collect_list(F.struct("pos", "item_id"))).alias("top")).withColumn("_k", F.lit(0))
+    """Every user with every row of a short list, which is packed to one array.
+
+    A list of over ``LONGEST`` rows is refused when the query runs.
+    """
+    best = top.orderBy(*order).limit(LONGEST + 1)
+    ranked = best.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    packed = ranked.agg(F.sort_array(F.collect_list(F.struct("pos", "item_id"))).alias("top"))
+    refused = F.raise_error(F.lit(f"the popular list has over {LONGEST} rows")).cast("array<struct<pos:int,item_id:bigint>>")
+    packed = packed.select(F.when(F.size("top") > LONGEST, refused).otherwise(F.col("top")).alias("top"), F.lit(0).alias("_k"))
     joined = users.select("user_id").withColumn("_k", F.lit(0)).join(F.broadcast(packed), "_k")
     return joined.select("user_id", F.explode("top").alias("t")).select("user_id", "t.item_id", "t.pos")
 
@@ -68,14 +78,21 @@ def exclude_seen(candidates: DataFrame, interactions: DataFrame) -> DataFrame:
     return candidates.join(interactions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
-def fill_up(candidates: DataFrame, popular: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+def fill_up(candidates: DataFrame, popular: DataFrame, seen: DataFrame, n: int, users: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, pos, filled): users below ``n`` candidates get popular unseen items.
 
-    ``candidates`` needs ``rank``; users without candidates are not added.
+    ``candidates`` needs ``rank``.  Without ``users`` those without candidates are not
+    added; with them every listed user gets a list, and no other.
     """
     order = Window.partitionBy("user_id").orderBy("rank", "item_id")
+    if users is not None:
+        users = users.select("user_id").distinct()
+        candidates = candidates.join(users, "user_id", "left_semi")
     own = candidates.select("user_id", "item_id", (F.row_number().over(order) - 1).alias("pos")).filter(F.col("pos") < n)
-    have = own.groupBy("user_id").agg(F.count("*").alias("have")).filter(F.col("have") < n)
+    have = own.groupBy("user_id").agg(F.count("*").alias("have"))
+    if users is not None:
+        have = users.join(have, "user_id", "left").select("user_id", F.coalesce("have", F.lit(0)).alias("have"))
+    have = have.filter(F.col("have") < n)
     extra = _for_each(have, popular, [F.desc("item_popularity"), "item_id"])
     taken = reduce(DataFrame.unionByName, [x.select("user_id", "item_id") for x in (own, seen)])
     extra = extra.join(taken, ["user_id", "item_id"], "left_anti").join(have, "user_id")

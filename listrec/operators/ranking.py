@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,26 +26,38 @@ def split_by_user(df: DataFrame, fraction: float = 0.2, seed: int = 42) -> tuple
 
 
 def _prepared(df: DataFrame) -> DataFrame:
-    """Numbers without gaps, categories folded to ``BUCKETS`` values, positives weighted up."""
-    known = [c for c in NUMBERS if c in df.columns]
-    cols = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"n_{c}") for c in known]
-    cols += [F.when(F.col(c).isNull(), float(BUCKETS)).otherwise(F.pmod(F.col(c), F.lit(BUCKETS)).cast("double")).alias(f"c_{c}") for c in CATEGORIES]
-    label = [F.col("target").cast("double").alias("label")] if "target" in df.columns else []
-    return df.select("*", *cols, *label)
+    """The pair, numbers without gaps, categories as text, and the label if there is a target."""
+    cols = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"n_{c}") for c in NUMBERS if c in df.columns]
+    cols += [F.col(c).cast("string").alias(f"s_{c}") for c in CATEGORIES]
+    label = ["target", F.col("target").cast("double").alias("label")] if "target" in df.columns else []
+    return df.select("user_id", "item_id", *cols, *label)
+
+
+def _frequent(data: DataFrame) -> list[list[str]]:
+    """The ``BUCKETS`` - 1 most frequent values of each category; all others and gaps share one."""
+    out = []
+    for c in CATEGORIES:
+        counts = data.filter(F.col(f"s_{c}").isNotNull()).groupBy(F.col(f"s_{c}").alias("v")).agg(F.count("*").alias("n"))
+        out.append([r["v"] for r in counts.orderBy(F.desc("n"), "v").limit(BUCKETS - 1).collect()])
+    return out
 
 
 def fit(train: DataFrame, rounds: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
     """Boosted trees for the probability of a contact; positives weigh as much as negatives.
 
-    A pointwise ranker: it orders a user's candidates, it is no listwise learner.
+    A pointwise ranker: it orders a user's candidates, it is no listwise learner.  The
+    trees split categories as such, not as numbers.
     """
     data = _prepared(train)
     counts = data.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     up = max(1.0, (counts["n"] - (counts["p"] or 0)) / max(counts["p"] or 0, 1.0))
     data = data.withColumn("w", F.when(F.col("label") == 1, up).otherwise(1.0))
-    inputs = [c for c in data.columns if c.startswith(("n_", "c_")) and c not in ("n_users",)]
-    gbt = GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", maxIter=rounds, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="x"), gbt]).fit(data)
+    indexed = [f"c_{c}" for c in CATEGORIES]
+    values = [v or ["none"] for v in _frequent(data)]
+    indexer = StringIndexerModel.from_arrays_of_labels(values, inputCols=[f"s_{c}" for c in CATEGORIES], outputCols=indexed, handleInvalid="keep")
+    inputs = [f"n_{c}" for c in NUMBERS if c in train.columns] + indexed
+    gbt = GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", maxIter=rounds, maxDepth=depth, maxBins=BUCKETS, seed=seed)
+    return Pipeline(stages=[indexer, VectorAssembler(inputCols=inputs, outputCol="x"), gbt]).fit(data)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -57,8 +69,8 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def importances(model: PipelineModel, spark) -> DataFrame:
     """(feature, importance), greatest first."""
-    names = model.stages[0].getInputCols()
-    values = model.stages[1].featureImportances.toArray().tolist()
+    names = model.stages[-2].getInputCols()
+    values = model.stages[-1].featureImportances.toArray().tolist()
     rows = [(n[2:], float(v)) for n, v in zip(names, values, strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 

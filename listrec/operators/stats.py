@@ -18,10 +18,13 @@ def event_counts(**splits: DataFrame) -> DataFrame:
     return rows.rollup("split").agg(F.count("*").alias("n_events")).select(F.coalesce("split", F.lit("total")).alias("split"), "n_events")
 
 
-def covisit_coverage(matrix: DataFrame, n_items: int | None = None) -> DataFrame:
-    """Edges and items with neighbours; the share of the catalogue if its size is given."""
+def covisit_coverage(matrix: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """Edges and items with neighbours; their share of the catalogue (its distinct item_id) if that is given."""
     out = matrix.agg(F.count("*").alias("n_edges"), F.count_distinct("item_id").alias("n_items"))
-    return out if n_items is None else out.withColumn("share", F.col("n_items") / F.lit(n_items))
+    if catalogue is None:
+        return out
+    size = catalogue.agg(F.count_distinct("item_id").alias("_size")).withColumn("_k", F.lit(0))  # one row
+    return out.withColumn("_k", F.lit(0)).join(F.broadcast(size), "_k").select("n_edges", "n_items", (F.col("n_items") / F.col("_size")).alias("share"))
 
 
 def matrix_stats(interactions: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from .functions import events as ev
 from .jobs import next_items, recommend
 from .operators import als, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking, stats
 from .sources import adapters as ad
+from .sources import io
 
 RECENT, TOP, SEEDS, MIN_USERS, K = 20, 40, 15, 3, 10
 FIRST_MS = ad.CUTOFF_MS - 28 * ad.DAY_MS
@@ -32,6 +33,17 @@ class Tables:
         self.popularity = popularity.item_popularity(self.pairs)
         self.top = popularity.top_by_weight(self.pairs, self.pool, TOP)
 
+    def read_events(self) -> DataFrame:
+        """The log written in the model's schema and read by the library's reader."""
+        path = io.shared_path(self.spark, "events")
+        io.write_stage(self.events, path)
+        return io.read_events(self.spark, path)
+
+    def read_items(self) -> DataFrame:
+        path = io.shared_path(self.spark, "items")
+        io.write_stage(self.items, path)
+        return io.read_items(self.spark, path)
+
     @property
     def matrix(self) -> DataFrame:
         return covisit.build(self.log, min_users=MIN_USERS)
@@ -124,6 +136,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "per_user": (("ev",), "SELECT user_id, count(*) AS length FROM ev WHERE eid <> 7 GROUP BY user_id"),
     "evb": ((), f"""SELECT o_custkey AS user_id, l_partkey AS item_id, epoch_us(o_orderdate) // 1000 AS "timestamp", CAST(CASE l_returnflag WHEN 'N' THEN 7 WHEN 'A' THEN 1 WHEN 'R' THEN 20 END AS INTEGER) AS eid FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
     "logb": (("evb",), f"""SELECT * FROM evb WHERE eid <> 7 AND "timestamp" >= {ad.CUTOFF_B_MS - 3650 * ad.DAY_MS} AND "timestamp" < {ad.CUTOFF_B_MS}"""),
+    "pcb": (("logb",), """SELECT item_a, item_b, count(*) AS weight FROM (SELECT DISTINCT user_id, least(item_id, n) AS item_a, greatest(item_id, n) AS item_b FROM (
+        SELECT user_id, item_id, "timestamp" AS t, unnest([lead(item_id, 1) OVER w, lead(item_id, 2) OVER w, lead(item_id, 3) OVER w]) AS n, unnest([lead("timestamp", 1) OVER w, lead("timestamp", 2) OVER w, lead("timestamp", 3) OVER w]) AS nt
+        FROM logb WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", item_id)) WHERE n <> item_id AND nt - t <= 86400000) GROUP BY ALL HAVING count(*) >= 2"""),
+    "matrixb": (("pcb",), """SELECT item_id, neighbor_id, weight, CAST(row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, neighbor_id) AS INTEGER) AS neighbor_rank FROM (
+        SELECT item_a AS item_id, item_b AS neighbor_id, weight FROM pcb UNION ALL SELECT item_b, item_a, weight FROM pcb) QUALIFY neighbor_rank <= 50"""),
 }
 
 
@@ -158,12 +175,12 @@ def simple(name: str, f: Callable[[Tables], DataFrame], select: str, *ctes: str)
     register(name, select, *ctes)(lambda spark, sf_dir: f(Tables(spark, sf_dir)))
 
 
-simple("a1_read_events", lambda t: t.events, "SELECT * FROM ev", "ev")
-simple("a2_user_history", lambda t: interactions.keep_recent(interactions.aggregate(ev.with_weight(ev.in_window(t.events, ad.THRESHOLD_MS, 14), t.contacts)), RECENT), f"""
+simple("a1_read_events", lambda t: t.read_events(), "SELECT * FROM ev", "ev")
+simple("a2_user_history", lambda t: recommend.history_of(t.read_events(), t.contacts, ad.THRESHOLD_MS, 14, RECENT), f"""
   SELECT * FROM (SELECT user_id, item_id, CAST(sum(CASE WHEN eid = 20 THEN 5 ELSE 1 END) AS INTEGER) AS weight, max("timestamp") AS last_timestamp FROM ev
   WHERE eid <> 7 AND "timestamp" >= {ad.THRESHOLD_MS - 14 * ad.DAY_MS} AND "timestamp" < {ad.THRESHOLD_MS} GROUP BY user_id, item_id)
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_timestamp DESC, item_id) <= {RECENT}""", "ev")
-simple("a4_read_items", lambda t: t.items, "SELECT * FROM items", "items")
+simple("a4_read_items", lambda t: t.read_items(), "SELECT * FROM items", "items")
 simple("a6_event_counts", lambda t: stats.event_counts(train=t.events.filter(F.col("timestamp") < ad.THRESHOLD_MS), eval=t.events.filter(F.col("timestamp") >= ad.THRESHOLD_MS)), f"""
   SELECT coalesce(split, 'total') AS split, n_events FROM (SELECT CASE WHEN "timestamp" < {ad.THRESHOLD_MS} THEN 'train' ELSE 'eval' END AS split, count(*) AS n_events FROM ev GROUP BY ROLLUP (1))""", "ev")
 simple("b1_in_window", lambda t: t.log, "SELECT * FROM log", "log")
@@ -175,7 +192,7 @@ simple("c3_user_pairs", lambda t: covisit.user_pairs(t.log), "SELECT * FROM up",
 simple("c4_pair_counts", lambda t: covisit.pair_counts(covisit.user_pairs(t.log), MIN_USERS), "SELECT * FROM pc", "pc")
 simple("c5_symmetrize", lambda t: covisit.symmetrize(covisit.pair_counts(covisit.user_pairs(t.log), MIN_USERS)), "SELECT * FROM sym", "sym")
 simple("c6_top_neighbors", lambda t: t.matrix, "SELECT * FROM matrix", "matrix")
-simple("c7_covisit_coverage", lambda t: rounded(stats.covisit_coverage(t.matrix, 100), "share"), "SELECT count(*) AS n_edges, count(DISTINCT item_id) AS n_items, round(count(DISTINCT item_id) / 100.0, 6) AS share FROM matrix", "matrix")
+simple("c7_covisit_coverage", lambda t: rounded(stats.covisit_coverage(t.matrix, t.items), "share"), "SELECT count(*) AS n_edges, count(DISTINCT item_id) AS n_items, round(count(DISTINCT item_id) / (SELECT CAST(count(DISTINCT item_id) AS DOUBLE) FROM items), 6) AS share FROM matrix", "matrix", "items")
 simple("d1_dense_index", lambda t: ids.dense_index(t.pairs, "item_id"), "SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT item_id FROM pairs)", "pairs")
 simple("d2_encode", lambda t: ids.encode(t.pairs, ids.dense_index(t.pairs, "user_id"), ids.dense_index(t.pairs, "item_id")), """
   SELECT CAST(u.idx AS INTEGER) AS user_idx, CAST(i.idx AS INTEGER) AS item_idx, weight FROM pairs
@@ -241,6 +258,12 @@ simple("l2_fill_up", lambda t: candidates.fill_up(t.covisit.filter("covisit_rank
   extra AS (SELECT user_id, item_id, have + row_number() OVER (PARTITION BY user_id ORDER BY item_popularity DESC, item_id) - 1 AS pos FROM (
     SELECT * FROM have, top WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = have.user_id AND o.item_id = top.item_id) AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.user_id = have.user_id AND p.item_id = top.item_id)))
   SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM own UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extra WHERE pos < 12""", "ctop", "top", "pairs")
+simple("l2_fill_up_listed", lambda t: recommend.complete(t.covisit.withColumn("rank", F.col("covisit_rank")), t.users, t.pairs, t.pairs, t.pool, 12, RECENT), f"""
+  , own AS (SELECT user_id, item_id, covisit_rank AS pos FROM ctop WHERE covisit_rank < 12 AND user_id IN (FROM users)), have AS (SELECT user_id, count(item_id) AS have FROM users LEFT JOIN own USING (user_id) GROUP BY user_id HAVING count(item_id) < 12),
+  best AS (SELECT item_id, item_popularity FROM pop WHERE item_id IN (FROM pool) ORDER BY item_popularity DESC, item_id LIMIT {24 + RECENT}),
+  extra AS (SELECT user_id, item_id, have + row_number() OVER (PARTITION BY user_id ORDER BY item_popularity DESC, item_id) - 1 AS pos FROM (
+    SELECT * FROM have, best WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = have.user_id AND o.item_id = best.item_id) AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.user_id = have.user_id AND p.item_id = best.item_id)))
+  SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM own UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extra WHERE pos < 12""", "ctop", "pop", "pool", "pairs", "users")
 simple("l3_balance_by_vertical", lambda t: ranking.balance_by_vertical(t.covisit, t.items, k=15, quota=3, depth=30, score_col="covisit_score"), """
   SELECT user_id, item_id, vertical_id, covisit_score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY over_q, d) - 1 AS pos FROM (
     SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, vertical_id ORDER BY d) > 3 THEN 1 ELSE 0 END AS over_q FROM (
@@ -264,23 +287,15 @@ def aggregate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.aggregate(ev.with_weight(log, ad.contacts(spark)))
 
 
-@register("m2_covisit_orders", """SELECT item_id, neighbor_id, weight, CAST(row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, neighbor_id) AS INTEGER) AS neighbor_rank FROM (
-    SELECT item_a AS item_id, item_b AS neighbor_id, weight FROM pcb UNION ALL SELECT item_b, item_a, weight FROM pcb) QUALIFY neighbor_rank <= 50""", "logb")
+@register("m2_covisit_orders", "SELECT * FROM matrixb", "matrixb")
 def covisit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 to C6 on mapping B."""
     return covisit.build(ev.in_window(ad.order_log(spark, sf_dir), ad.CUTOFF_B_MS, 3650), min_users=2)
 
 
-ORACLES["m2_covisit_orders"] = ORACLES["m2_covisit_orders"].replace("\nSELECT item_id, neighbor_id", """,
-pcb AS (SELECT item_a, item_b, count(*) AS weight FROM (SELECT DISTINCT user_id, least(item_id, n) AS item_a, greatest(item_id, n) AS item_b FROM (
-  SELECT user_id, item_id, "timestamp" AS t, unnest([lead(item_id, 1) OVER w, lead(item_id, 2) OVER w, lead(item_id, 3) OVER w]) AS n, unnest([lead("timestamp", 1) OVER w, lead("timestamp", 2) OVER w, lead("timestamp", 3) OVER w]) AS nt
-  FROM logb WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", item_id)) WHERE n <> item_id AND nt - t <= 86400000) GROUP BY ALL HAVING count(*) >= 2)
-SELECT item_id, neighbor_id""", 1)
-
-
-def _factors(t: Tables, rank: int = 8, iterations: int = 5):
+def _factors(t: Tables):
     user_index, item_index = ids.dense_index(t.pairs, "user_id"), ids.dense_index(t.pairs, "item_id")
-    return als.fit(ids.encode(t.pairs, user_index, item_index), rank=rank, iterations=iterations), user_index, item_index
+    return als.fit(ids.encode(t.pairs, user_index, item_index)), user_index, item_index
 
 
 @register("e1_als_fit")
@@ -305,9 +320,41 @@ def recommend_from_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g2_rank_validation")
 def rank_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, val = ranking.split_by_user(Tables(spark, sf_dir).merged_features)
-    return ranking.score(ranking.fit(train, rounds=5), val)
+    return ranking.score(ranking.fit(train), val)
 
 
 @register("g3_importances")
 def feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.importances(ranking.fit(ranking.split_by_user(Tables(spark, sf_dir).merged_features)[0], rounds=5), spark)
+    return ranking.importances(ranking.fit(ranking.split_by_user(Tables(spark, sf_dir).merged_features)[0]), spark)
+
+
+@register("m3_lists_of_listed_users")
+def lists_of_listed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain on mapping B for all customers, those without orders included."""
+    log = ad.order_log(spark, sf_dir)
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
+    return recommend.run(spark, log, ad.items(spark, sf_dir), ad.contacts(spark), ad.CUTOFF_B_MS - 365 * ad.DAY_MS, users, days=3650, min_users=2, n=TOP, k=K)[0]
+
+
+@register("m4_covisit_lists_of_listed_users", f"""
+  , pairsb AS (SELECT user_id, item_id, CAST(sum(CASE WHEN eid = 20 THEN 5 ELSE 1 END) AS INTEGER) AS weight, max("timestamp") AS last_timestamp FROM logb GROUP BY user_id, item_id QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_timestamp DESC, item_id) <= {RECENT}),
+  poolb AS (SELECT item_id FROM items WHERE vertical_id IN (0, 2, 3, 4, 5, 7) AND item_id IN (SELECT item_id FROM pairsb GROUP BY item_id HAVING count(DISTINCT user_id) >= 2)),
+  seedsb AS (SELECT user_id, item_id AS seed_item_id FROM pairsb QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_timestamp DESC, item_id) <= {SEEDS}),
+  scoresb AS (SELECT user_id, neighbor_id AS item_id, sum(weight) AS s FROM seedsb JOIN matrixb ON seed_item_id = matrixb.item_id WHERE neighbor_id IN (FROM poolb) GROUP BY ALL),
+  freshb AS (SELECT * FROM scoresb s WHERE NOT EXISTS (SELECT 1 FROM pairsb p WHERE p.user_id = s.user_id AND p.item_id = s.item_id)),
+  usersb AS (SELECT c_custkey AS user_id FROM customer),
+  ownb AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id) - 1 AS pos FROM freshb WHERE user_id IN (FROM usersb) QUALIFY pos < {K}),
+  haveb AS (SELECT user_id, count(item_id) AS have FROM usersb LEFT JOIN ownb USING (user_id) GROUP BY user_id HAVING count(item_id) < {K}),
+  bestb AS (SELECT item_id, sum(weight) AS w FROM pairsb WHERE item_id IN (FROM poolb) GROUP BY item_id ORDER BY w DESC, item_id LIMIT {2 * K + RECENT}),
+  extrab AS (SELECT user_id, item_id, have + row_number() OVER (PARTITION BY user_id ORDER BY w DESC, item_id) - 1 AS pos FROM (
+    SELECT * FROM haveb, bestb WHERE NOT EXISTS (SELECT 1 FROM ownb o WHERE o.user_id = haveb.user_id AND o.item_id = bestb.item_id) AND NOT EXISTS (SELECT 1 FROM pairsb p WHERE p.user_id = haveb.user_id AND p.item_id = bestb.item_id)))
+  SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM ownb UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extrab WHERE pos < {K}""", "matrixb", "items")
+def covisit_lists_of_listed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-visitation lists on mapping B, without items seen, filled up for every customer."""
+    log, contacts = ad.order_log(spark, sf_dir), ad.contacts(spark)
+    history = recommend.history_of(log, contacts, ad.CUTOFF_B_MS, 3650, RECENT)
+    allowed = pool.allowed_items(ad.items(spark, sf_dir), history)
+    found = recommend.covisit_lists(history, covisit_orders(spark, sf_dir), allowed, 1_000_000, SEEDS)
+    fresh = candidates.exclude_seen(found, history).withColumn("rank", F.col("covisit_rank"))
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
+    return recommend.complete(fresh, users, history, history, allowed, K, RECENT)

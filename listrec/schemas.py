@@ -8,8 +8,5 @@ def _schema(text: str) -> T.StructType:
 
 
 EVENTS = _schema("user_id long,item_id long,timestamp long,eid int")
-CONTACTS = _schema("mapped_eid int")
 ITEMS = _schema("item_id long,vertical_id int,category_ext_y int,region_id_y int,loc_id_y int")
 TARGETS = _schema("user_id long,item_id long")
-INTERACTIONS = _schema("user_id long,item_id long,weight int,last_timestamp long")
-COVISIT = _schema("item_id long,neighbor_id long,weight long,neighbor_rank int")

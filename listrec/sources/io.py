@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,27 @@ def write_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    In local mode a temporary folder will do where the setting is missing.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage ends there."""
+    path = shared_path(df.sparkSession, name)
+    write_stage(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_submission(ranked: DataFrame, path: str, k: int = 160, score_col: str = "rank_score") -> None:
     """At most ``k`` distinct items a user as a two-column CSV with a header."""
     one = ranked.groupBy("user_id", "item_id").agg(F.max(score_col).alias(score_col))

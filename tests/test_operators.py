@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from listrec.functions import events as ev
 from listrec.operators import als, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking, stats
@@ -195,6 +196,60 @@ def test_score_blocks_equal_brute_force(spark, blocks):
     assert got == want
 
 
+def test_running_best_keeps_the_smaller_ids_of_ties():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, m = int(rng.integers(1, 6)), int(rng.integers(1, 15))
+        scores, ids = rng.integers(0, 4, (3, m)).astype(float), np.stack([rng.permutation(m) for _ in range(3)])
+        s, i = als.best_of(scores, ids, n)
+        for row in range(3):
+            want = sorted(zip(-scores[row], ids[row]))[:n]
+            assert sorted(zip(-s[row], i[row])) == want
+
+
+def test_scoring_takes_empty_tables(spark):
+    f = spark.createDataFrame([(1, [1.0, 2.0])], "id long, features array<float>")
+    h = spark.createDataFrame([(1, 1, 3)], "user_id long, item_id long, weight int")
+    assert als.fold_in(h, f.limit(0)).count() == 0 and als.fold_in(h.limit(0), f).count() == 0
+    assert als.score_top_n(f.limit(0), f).count() == 0 and als.score_top_n(f, f.limit(0)).count() == 0
+    assert als.recommend_from_history(h, f.limit(0), None).count() == 0
+    assert rows(als.score_top_n(f, f, None, 4, user_blocks=3, item_blocks=7)) == [(1, 1, 5.0, 0)]
+
+
+def test_fold_in_equals_the_closed_form(spark):
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=(6, 2)).astype(np.float32)
+    h = [(1, 0, 2), (1, 3, 5), (2, 5, 1), (2, 99, 4)]
+    got = {r.user_id: r.features for r in als.fold_in(spark.createDataFrame(h, "user_id long, item_id long, weight int"), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, features array<float>"), reg=0.2, alpha=0.5).collect()}
+    y = y.astype(float)
+    for user in (1, 2):
+        known = [(i, 0.5 * w) for u, i, w in h if u == user and i < 6]
+        left = y.T @ y + sum(w * np.outer(y[i], y[i]) for i, w in known) + 0.2 * len(known) * np.eye(2)
+        assert np.allclose(got[user], np.linalg.solve(left, sum((1 + w) * y[i] for i, w in known)), atol=1e-5)
+
+
+def test_ranker_splits_categories_as_such(spark):
+    """Only odd categories have positives: numbers in order could not tell them in one split."""
+    data = [(u, i, 0.0, 1.0, i % 40 if i % 7 else None, 0, 0, 0, 0, 0, 0, None, bool(i % 7 and i % 40 % 2)) for u in range(20) for i in range(60)]
+    cols = "user_id long, item_id long, als_score double, covisit_score double, category_ext_y int, vertical_id int, region_id_y int, loc_id_y int, in_als int, item_popularity long, item_n_users long, user_top_vertical_match int, target boolean"
+    table = spark.createDataFrame(data, cols).withColumn("n_leak", F.col("target").cast("double"))
+    model = ranking.fit(table, rounds=1, depth=1)
+    first = ranking.importances(model, spark).first()
+    assert (first.feature, round(first.importance, 6)) == ("category_ext_y", 1.0)
+    got = ranking.score(model, table).collect()
+    assert min(r.rank_score for r in got if r.target) > max(r.rank_score for r in got if not r.target)
+
+
+def test_popular_list_of_any_length_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "LONGEST", 3)
+    users = spark.createDataFrame([(1,)], "user_id long")
+    none = spark.createDataFrame([], "user_id long, item_id long, als_score double, als_rank int")
+    top = spark.createDataFrame([(i, 9 - i) for i in range(4)], "item_id long, item_popularity long")
+    assert candidates.add_popular_fallback(none, users, top.limit(3)).count() == 3
+    with pytest.raises(Exception, match="over 3 rows"):
+        candidates.add_popular_fallback(none, users, top).collect()
+
+
 def test_dense_index_and_lookup(spark):
     df = spark.createDataFrame([(x,) for x in (50, 7, 7, 1000, -3)], "item_id long")
     index = ids.dense_index(df, "item_id")
