@@ -134,6 +134,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         vertical_id, category_ext_y, region_id_y, loc_id_y, coalesce(item_popularity, 0) AS item_popularity, coalesce(item_n_users, 0) AS item_n_users, CAST(vertical_id = top_vertical AS INTEGER) AS user_top_vertical_match, t.user_id IS NOT NULL AS target
         FROM merged m LEFT JOIN items USING (item_id) LEFT JOIN pop USING (item_id) LEFT JOIN vert v ON v.user_id = m.user_id LEFT JOIN targets t ON t.user_id = m.user_id AND t.item_id = m.item_id"""),
     "per_user": (("ev",), "SELECT user_id, count(*) AS length FROM ev WHERE eid <> 7 GROUP BY user_id"),
+    "fac": ((), "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS y1, CAST(embedding[2] AS DOUBLE) AS y2 FROM embeddings"),
+    "fold": (("pairs", "fac"), """SELECT user_id, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS x1, (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) AS x2 FROM (
+        SELECT user_id, any_value(g11) + sum(weight * y1 * y1) + 0.1 * count(*) AS a11, any_value(g12) + sum(weight * y1 * y2) AS a12, any_value(g22) + sum(weight * y2 * y2) + 0.1 * count(*) AS a22, sum((1 + weight) * y1) AS b1, sum((1 + weight) * y2) AS b2
+        FROM pairs JOIN fac ON item_id = id, (SELECT sum(y1 * y1) AS g11, sum(y1 * y2) AS g12, sum(y2 * y2) AS g22 FROM fac) GROUP BY user_id)"""),
     "evb": ((), f"""SELECT o_custkey AS user_id, l_partkey AS item_id, epoch_us(o_orderdate) // 1000 AS "timestamp", CAST(CASE l_returnflag WHEN 'N' THEN 7 WHEN 'A' THEN 1 WHEN 'R' THEN 20 END AS INTEGER) AS eid FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
     "logb": (("evb",), f"""SELECT * FROM evb WHERE eid <> 7 AND "timestamp" >= {ad.CUTOFF_B_MS - 3650 * ad.DAY_MS} AND "timestamp" < {ad.CUTOFF_B_MS}"""),
     "pcb": (("logb",), """SELECT item_a, item_b, count(*) AS weight FROM (SELECT DISTINCT user_id, least(item_id, n) AS item_a, greatest(item_id, n) AS item_b FROM (
@@ -317,15 +321,35 @@ def recommend_from_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.als_candidates(t.pairs, t.pool, n=TOP)
 
 
+def _given(t: Tables) -> DataFrame:
+    """Item factors of two numbers each, so that SQL can solve a user's equations."""
+    return ad.factors(t.spark, t.dir)[1].select("id", F.slice("features", 1, 2).alias("features"))
+
+
+@register("e2_fold_in_given_factors", "SELECT user_id, round(x1, 4) AS x1, round(x2, 4) AS x2 FROM fold", "fold")
+def fold_in_given_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    x = [F.round(F.col("features")[i].cast("double"), 4).alias(f"x{i + 1}") for i in range(2)]
+    return als.fold_in(t.pairs.select("user_id", "item_id", "weight"), _given(t)).select("user_id", *x)
+
+
+@register("e4_recommend_given_factors", f"""SELECT user_id, item_id, round(als_score, 4) + 0.0 AS als_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY als_score DESC, item_id) - 1 AS INTEGER) AS als_rank FROM (
+    SELECT user_id, id AS item_id, CAST(CAST(x1 AS FLOAT) AS DOUBLE) * y1 + CAST(CAST(x2 AS FLOAT) AS DOUBLE) * y2 AS als_score FROM fold, fac WHERE id IN (FROM pool)) QUALIFY als_rank < {TOP}""", "fold", "pool")
+def recommend_given_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2, then E3, for all users of the log."""
+    t = Tables(spark, sf_dir)
+    return als.recommend_from_history(t.pairs.select("user_id", "item_id", "weight"), _given(t), t.pool, TOP).withColumn("als_score", F.round("als_score", 4) + F.lit(0.0))
+
+
 @register("g2_rank_validation")
 def rank_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, val = ranking.split_by_user(Tables(spark, sf_dir).merged_features)
+    train, val = ranking.split_by_user(io.staged(Tables(spark, sf_dir).merged_features, "features"))
     return ranking.score(ranking.fit(train), val)
 
 
 @register("g3_importances")
 def feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.importances(ranking.fit(ranking.split_by_user(Tables(spark, sf_dir).merged_features)[0]), spark)
+    return ranking.importances(ranking.fit(ranking.split_by_user(io.staged(Tables(spark, sf_dir).merged_features, "features"))[0]), spark)
 
 
 @register("m3_lists_of_listed_users")
