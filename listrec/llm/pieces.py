@@ -38,7 +38,7 @@ TEMPER = 0.35
 BYTES = 0xF0000
 WORD = re.compile(f"{BLANK}+[^{BLANK}\U000F0000-\U000F00FF]*|[^{BLANK}\U000F0000-\U000F00FF]+|[\U000F0000-\U000F00FF]")
 #: Characters of texts that are worked on together; a longer text goes alone.
-TOGETHER = 1_000_000
+TOGETHER = 500_000
 #: Sets this far (in log-probability) below the first of a path are drawn as one, and split if they are ever opened.
 DEPTH = 20.0
 #: Random numbers drawn ahead for each path of a text.
