@@ -60,7 +60,8 @@ def learn_profiles(documents: DataFrame, size: int = PROFILE) -> dict[str, list[
     """Profile of each non-null ``lang``, from all the given rows.
 
     Counts are summed per (language, n-gram) after each task has added up its own.
-    The driver receives at most SALTS x ``size`` n-grams a language.
+    The driver receives at most SALTS x ``size`` n-grams a language.  Repeated rows
+    count again; null and empty texts have no n-grams; an empty table gives no profile.
     """
 
     def count(batches):
