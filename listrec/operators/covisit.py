@@ -10,7 +10,8 @@ def user_pairs(events: DataFrame, depth: int = 3, max_gap_ms: int = GAP_MS) -> D
     """Distinct (user_id, item_a, item_b), a < b, of events at most ``depth`` events and ``max_gap_ms`` apart.
 
     One window node serves all leads, and the distinct stays in its partitions.
-    The depth counts events, repeats of an item included.
+    The depth counts events, repeats of an item included.  A user's log is ordered in
+    one task, which spills; rows stay linear in the events.
     """
     order = Window.partitionBy("user_id").orderBy("timestamp", "item_id")
     after = [F.struct(F.lead("item_id", k).over(order).alias("item"), F.lead("timestamp", k).over(order).alias("time")) for k in range(1, depth + 1)]
