@@ -38,7 +38,7 @@ TEMPER = 0.35
 BYTES = 0xF0000
 WORD = re.compile(f"{BLANK}+[^{BLANK}\U000F0000-\U000F00FF]*|[^{BLANK}\U000F0000-\U000F00FF]+|[\U000F0000-\U000F00FF]")
 #: Characters of texts that are worked on together; a longer text goes alone.
-TOGETHER = 500_000
+TOGETHER = 2_000_000
 #: Sets this far (in log-probability) below the first of a path are drawn as one, and split if they are ever opened.
 DEPTH = 20.0
 #: Random numbers drawn ahead for each path of a text.
@@ -154,7 +154,7 @@ def marked(text: str | None, v: Vocabulary) -> str:
 def best_pieces(words: list[str], v: Vocabulary) -> list[list[int]]:
     """Best segmentation of each word by the processor, which puts a mark before every text."""
     inner = [w[1:].replace(BLANK, " ") if w[0] == BLANK else "\n" + w for w in words]  # no mark goes on after a line break
-    found = v.processor.encode(inner) if inner else []
+    found = v.processor.encode(inner, num_threads=1) if inner else []  # the executor has tasks for its other cores
     for i, w in enumerate(words):
         if w[0] != BLANK:
             found[i] = [v.ids[w]] if BYTES <= ord(w[0]) < BYTES + 256 else found[i][2:]
@@ -215,6 +215,7 @@ class Lattice:
             e = filled[state]
             self.piece[e], self.then[e] = piece, then
             filled[state] += 1
+        del found, codes, word_end
         self.weigh(v.weight, np.bincount(left), count)
 
     def weigh(self, weight: np.ndarray, at_distance: np.ndarray, count: np.ndarray) -> None:
@@ -450,7 +451,7 @@ def key_of(doc_id: int | None, seed: int) -> int:
 def segment(texts: list[str | None], keys: list[int], k: int, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[Search]]:
     """Best ids of all texts end to end, where each text's begin, and the searches with their paths."""
     numbers = Numbers()
-    per = [np.array([numbers[w] for w in WORD.findall(marked(t, v))], np.int64) for t in texts]
+    per = [np.array(list(map(numbers.__getitem__, WORD.findall(marked(t, v)))), np.int64) for t in texts]
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in per]))).astype(np.int64)
     words, kinds = np.concatenate(per), list(numbers)
     best = best_pieces(kinds, v)
@@ -462,7 +463,7 @@ def segment(texts: list[str | None], keys: list[int], k: int, v: Vocabulary) ->
     return ids, np.concatenate(([0], ends))[bounds], sample(words, bounds, keys, k, Lattice(kinds, v))
 
 
-def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), together: int = TOGETHER) -> DataFrame:
     """Per row: the ``keep`` columns, ``ids`` (best segmentation), ``samples`` and their figures.
 
     ``samples`` holds up to ``k`` distinct sampled segmentations, ``log_probs`` and
@@ -470,7 +471,8 @@ def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: st
     text (the splits of a piece spell that piece).  Null and empty texts have no
     ids and one empty sample.  The noise comes from doc_id and ``seed``: repeated
     rows give repeated results, an empty table an empty result.  Very long texts
-    are encoded whole, one at a time.  A column of ``keep`` must not have the name of
+    are encoded whole, one at a time; texts of ``together`` characters go at once, fewer
+    take less memory and more time, and the results are the same.  A column of ``keep`` must not have the name of
     a result.
     """
     if "doc_id" not in keep:
@@ -485,14 +487,14 @@ def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: st
             texts, docs = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             for end in range(b.num_rows):
                 size += len(texts[end] or "")
-                if size > TOGETHER or end + 1 == b.num_rows:
+                if size > together or end + 1 == b.num_rows:
                     yield part(b.slice(at, end + 1 - at), texts[at : end + 1], docs[at : end + 1], v)
                     at, size = end + 1, 0
 
     def part(b: pa.RecordBatch, texts: list[str | None], docs: list[int | None], v: Vocabulary) -> pa.RecordBatch:
         ids, bounds, found = segment(texts, [key_of(d, seed) for d in docs], k, v)
         flat, cuts = ids.tolist(), bounds.tolist()
-        back = v.processor.decode([flat[x:y] for x, y in zip(cuts, cuts[1:], strict=False)])
+        back = v.processor.decode([flat[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], num_threads=1)
         same = [x == (t or "") for x, t in zip(back, texts, strict=True)]
         empty = np.empty(0, np.int64)
         paths = [p for s in found for p in ([(o.edges, float(o.before[-1]), s.inclusion(o)) for o in s.opened] or [(empty, 0.0, 1.0)])]
