@@ -57,7 +57,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with sampled segmentations; every row stays, a null text has no ids."""
-    return pieces.encode_documents(docs, keep=("doc_id", "lang", "source", "n_chars"))
+    return pieces.encode_documents(docs, keep=("doc_id", "lang", "source", "n_chars"), together=500_000)
 
 
 STAGES = [
