@@ -1,26 +1,43 @@
 """Item co-visitation."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP_MS = 86_400_000
 
 
-def user_pairs(events: DataFrame, depth: int = 3, max_gap_ms: int = GAP_MS) -> DataFrame:
-    """Distinct (user_id, item_a, item_b), a < b, of events at most ``depth`` events and ``max_gap_ms`` apart.
+#: A user with more events than this has their log split by time.
+HEAVY = 1_000_000
 
-    One window node serves all leads, and the distinct stays in its partitions.
-    The depth counts events, repeats of an item included.  A user's log is ordered in
-    one task, which spills; rows stay linear in the events.
-    """
-    order = Window.partitionBy("user_id").orderBy("timestamp", "item_id")
+
+def _next_pairs(rows: DataFrame, keys: list[str], own: Column, depth: int, max_gap_ms: int) -> DataFrame:
+    """Distinct pairs of the ``own`` rows with the rows that follow in their partition."""
+    order = Window.partitionBy(*keys).orderBy("timestamp", "item_id")
     after = [F.struct(F.lead("item_id", k).over(order).alias("item"), F.lead("timestamp", k).over(order).alias("time")) for k in range(1, depth + 1)]
-    rows = events.select("user_id", "item_id", "timestamp", F.array(*after).alias("next"))
+    rows = rows.select(*keys, "item_id", "timestamp", F.array(*after).alias("next")).filter(own)
     rows = rows.select("user_id", "item_id", "timestamp", F.explode("next").alias("n"))
     rows = rows.filter((F.col("n.item") != F.col("item_id")) & (F.col("n.time") - F.col("timestamp") <= max_gap_ms))
     return rows.select("user_id", F.least("item_id", "n.item").alias("item_a"), F.greatest("item_id", "n.item").alias("item_b")).distinct()
 
 
+def user_pairs(events: DataFrame, depth: int = 3, max_gap_ms: int = GAP_MS, heavy: int = HEAVY) -> DataFrame:
+    """Distinct (user_id, item_a, item_b), a < b, of events at most ``depth`` events and ``max_gap_ms`` apart.
+
+    One window node serves all leads, and the distinct stays in its partitions.
+    The depth counts events, repeats of an item included; rows stay linear in the
+    events.  A user's log is ordered in one task, but that of a user with over
+    ``heavy`` events is cut into stretches as long as the gap: each row also comes
+    at the end of the stretch before its own, where the rows it may follow are.
+    Such users are fewer than events / ``heavy``, so they are broadcast.
+    """
+    log = events.select("user_id", "item_id", "timestamp")
+    many = F.broadcast(log.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select("user_id"))
+    few = _next_pairs(log.join(many, "user_id", "left_anti"), ["user_id"], F.lit(True), depth, max_gap_ms)
+    stretch = F.floor(F.col("timestamp") / F.lit(max_gap_ms + 1))
+    split = log.join(many, "user_id", "left_semi").select("*", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    return few.unionByName(_next_pairs(split, ["user_id", "stretch"], F.col("stretch") == stretch, depth, max_gap_ms))
+
+
 def pair_counts(pairs: DataFrame, min_users: int = 3) -> DataFrame:
     """Users of each pair, those with at least ``min_users``."""
     return pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_users)

@@ -71,6 +71,19 @@ def test_pairs_gap_is_inclusive_and_users_stay_apart(spark):
     assert rows(covisit.user_pairs(e)) == [(1, 1, 2), (1, 2, 3)]
 
 
+@pytest.mark.parametrize("gap,depth", [(10, 3), (25, 1), (0, 4)])
+def test_a_heavy_users_pairs_equal_brute_force(spark, gap, depth):
+    rng = np.random.default_rng(gap)
+    data = [(int(u), int(i), int(t), 1) for u, i, t in zip(rng.choice([1, 2, 3], 600, p=[0.8, 0.15, 0.05]), rng.integers(0, 9, 600), rng.integers(-50, 900, 600), strict=True)]
+    want = set()
+    for u in (1, 2, 3):
+        own = sorted((t, i) for v, i, t, _ in data if v == u)
+        for k, (t, i) in enumerate(own):
+            want |= {(u, min(i, j), max(i, j)) for s, j in own[k + 1 : k + 1 + depth] if i != j and s - t <= gap}
+    for heavy in (0, 60, 10_000):
+        assert rows(covisit.user_pairs(log(spark, data), depth, gap, heavy)) == sorted(want)
+
+
 def test_pair_threshold_counts_users(spark):
     e = log(spark, [(u, i, t, 1) for u in (1, 2, 3) for t, i in enumerate((1, 2))] + [(u, i, t + 10 * DAY, 1) for u in (1, 2) for t, i in enumerate((5, 6, 5, 6))])
     assert rows(covisit.pair_counts(covisit.user_pairs(e), 3)) == [(1, 2, 3)]
