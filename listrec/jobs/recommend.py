@@ -1,17 +1,20 @@
 """The whole chain: retrieval by two sources, features, ranker, submission lists, recall.
 
 Training ends where the target week begins, so no later event reaches the lists.
-Lists are for users of the training log, or for listed users with a history of their
-own: these are folded in, and who has too few candidates gets popular items.
+``train`` makes what inference needs, ``save`` and ``load`` keep it in files, and
+``lists`` makes lists for listed users with a history of their own: these are folded
+in, and who has too few candidates gets popular items.  ``run`` does both.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import events as ev
-from ..operators import als, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking
+from ..operators import als, boosting, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking
 from ..sources import io
 
 
@@ -38,24 +41,63 @@ def covisit_lists(history: DataFrame, matrix: DataFrame, allowed: DataFrame, n:
     return candidates.covisit_top_n(candidates.covisit_scores(candidates.seed_items(history, users, seeds), matrix, allowed), n)
 
 
-def complete(ranked: DataFrame, users: DataFrame, history: DataFrame, pairs: DataFrame, allowed: DataFrame, k: int, recent: int) -> DataFrame:
-    """(user_id, item_id, pos, filled): exactly ``k`` unseen items for every listed user.
+def complete(ranked: DataFrame, users: DataFrame, seen: DataFrame, pairs: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
+    """(user_id, item_id, pos, filled): exactly ``k`` unseen items for every listed user, as far as the pool goes.
 
-    ``ranked`` needs ``rank``.  Of the pool's most popular items 2 k + ``recent`` are at
-    hand, more than a user can have seen or got; a smaller pool gives shorter lists.
+    ``ranked`` needs ``rank``; ``seen`` holds all that the users ever touched.
     """
-    top = popularity.top_by_weight(pairs, allowed, 2 * k + recent)
-    return candidates.fill_up(ranked, top, history, k, users)
+    popular = pool.restrict_to(popularity.item_popularity(pairs), allowed, "item_id")
+    return candidates.fill_up(ranked, popular, seen, k, users)
+
+
+#: The tables of a trained model, all by original ids.
+TABLES = ("pairs", "pool", "matrix", "factors")
+
+
+@dataclass
+class Trained:
+    """What inference needs: capped interactions, pool, co-visitation, item factors and the ranker."""
+
+    pairs: DataFrame
+    pool: DataFrame
+    matrix: DataFrame
+    factors: DataFrame
+    ranker: boosting.Ranker
+    threshold_ms: int
+    days: int
+    recent: int
+    n: int
+
+
+def save(model: Trained, spark: SparkSession, path: str) -> None:
+    """Write the model's tables, ranker and settings under ``path``."""
+    for name in TABLES:
+        io.write_stage(getattr(model, name), f"{path}/{name}")
+    boosting.save(model.ranker, spark, f"{path}/ranker")
+    settings = [(model.threshold_ms, model.days, model.recent, model.n)]
+    io.write_stage(spark.createDataFrame(settings, "threshold_ms long, days int, recent int, n int"), f"{path}/settings")
+
+
+def load(spark: SparkSession, path: str) -> Trained:
+    """The model that ``save`` wrote."""
+    own = spark.read.parquet(f"{path}/settings").first().asDict()
+    return Trained(*(spark.read.parquet(f"{path}/{name}") for name in TABLES), boosting.load(spark, f"{path}/ranker"), **own)
+
+
+def feature_table(model: Trained, items: DataFrame, history: DataFrame, seen: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """Features of the unseen candidates of both sources for the users with a history."""
+    found = als.recommend_from_history(history, model.factors, model.pool, model.n)
+    merged = candidates.merge(found, covisit_lists(history, model.matrix, model.pool, model.n))
+    fresh = candidates.exclude_seen(merged, seen)
+    return io.staged(features.build_merged(fresh, items, popularity.item_popularity(model.pairs), features.user_top_vertical(history, items), targets), "features")
 
 
-def run(
+def train(
     spark: SparkSession,
     events: DataFrame,
     items: DataFrame,
     contacts: DataFrame,
     threshold_ms: int,
-    users: DataFrame | None = None,
-    user_events: DataFrame | None = None,
     days: int = 28,
     recent: int = 100,
     min_users: int = 3,
@@ -63,37 +105,53 @@ def run(
     k: int = 160,
     rank: int = 32,
     iterations: int = 15,
-    rounds: int = 20,
-) -> tuple[DataFrame, DataFrame]:
-    """(lists, recall): lists of items, and recall of the validation users.
-
-    Without ``users`` the lists (user_id, item_id, vertical_id, rank_score, pos) are
-    those of all users of the log, at most ``k`` items each.  With them (user_id,
-    repeats count once) the lists (user_id, item_id, pos, filled) hold exactly ``k``
-    items for each, cold ones included, as far as the pool goes; their histories are
-    read from ``user_events``, or from ``events``.  Tables that are used several times
-    are written to the shared folder and read again.
+    rounds: int = 500,
+    depth: int = 6,
+) -> tuple[Trained, DataFrame]:
+    """(model, recall of the validation users).
+
+    Candidates are only made for users with a target in the week after the threshold:
+    no other list has a gradient or a recall.
     """
     pairs = io.staged(history_of(events, contacts, threshold_ms, days, recent), "pairs")
-    allowed = io.staged(pool.allowed_items(items, pairs), "pool")
-    matrix = io.staged(covisit.build(ev.in_window(events, threshold_ms, days), min_users=min_users), "matrix")
-    factors = io.staged(item_factors(pairs, rank, iterations), "factors")
-    counts = popularity.item_popularity(pairs)
-
-    def table(history: DataFrame, targets: DataFrame | None) -> DataFrame:
-        merged = candidates.merge(als.recommend_from_history(history, factors, allowed, n), covisit_lists(history, matrix, allowed, n))
-        fresh = candidates.exclude_seen(merged, history)
-        return io.staged(features.build_merged(fresh, items, counts, features.user_top_vertical(history, items), targets), "features")
-
-    targets = evaluate.holdout_targets(events, contacts, threshold_ms)
-    known = table(pairs, targets)
-    train, val = ranking.split_by_user(known)
-    model = ranking.fit(train, rounds=rounds)
-    recall = evaluate.recall_at_k(ranking.score(model, val), "rank_score", targets, k)
+    model = Trained(
+        pairs, io.staged(pool.allowed_items(items, pairs), "pool"), io.staged(covisit.build(ev.in_window(events, threshold_ms, days), min_users=min_users), "matrix"),
+        io.staged(item_factors(pairs, rank, iterations), "factors"), None, threshold_ms, days, recent, n,
+    )
+    targets = io.staged(evaluate.holdout_targets(events, contacts, threshold_ms), "targets")
+    who = targets.select("user_id").distinct()
+    seen = interactions.touched(events.join(who, "user_id", "left_semi"), threshold_ms)
+    known = feature_table(model, items, pairs.join(who, "user_id", "left_semi"), seen, targets)
+    fitted, val = ranking.split_by_user(known)
+    model.ranker = ranking.fit(fitted, val, rounds=rounds, depth=depth, k=k)
+    return model, evaluate.recall_at_k(ranking.score(model.ranker, val), "rank_score", targets, k)
+
+
+def ranked_lists(model: Trained, items: DataFrame, history: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """(user_id, item_id, vertical_id, rank_score, pos): at most ``k`` unseen items a user with a history."""
+    return ranking.balance_by_vertical(ranking.score(model.ranker, feature_table(model, items, history, seen, None)), items, k)
+
+
+def lists(model: Trained, items: DataFrame, contacts: DataFrame, users: DataFrame, user_events: DataFrame, k: int = 160) -> DataFrame:
+    """(user_id, item_id, pos, filled): exactly ``k`` items for each listed user, cold ones included, as far as the pool goes.
+
+    Listed users that repeat count once.  Candidates come from their latest items in
+    the window; whatever they ever touched before the threshold is left out.
+    """
+    listed = io.staged(user_events.join(users.select("user_id").distinct(), "user_id", "left_semi"), "listed")
+    history = io.staged(history_of(listed, contacts, model.threshold_ms, model.days, model.recent), "own")
+    seen = io.staged(interactions.touched(listed, model.threshold_ms), "seen")
+    ranked = ranked_lists(model, items, history, seen, k)
+    return complete(ranked.withColumn("rank", F.col("pos")), users, seen, model.pairs, model.pool, k)
+
+
+def run(spark: SparkSession, events: DataFrame, items: DataFrame, contacts: DataFrame, threshold_ms: int, users: DataFrame | None = None, user_events: DataFrame | None = None, k: int = 160, **how) -> tuple[DataFrame, DataFrame]:
+    """(lists, recall): train, then lists of the listed users, or without ``users`` those of all users of the log.
+
+    The histories of listed users are read from ``user_events``, or from ``events``;
+    ``how`` are the settings of ``train``.
+    """
+    model, recall = train(spark, events, items, contacts, threshold_ms, k=k, **how)
     if users is None:
-        return ranking.balance_by_vertical(ranking.score(model, known), items, k), recall
-    source = events if user_events is None else user_events
-    listed = source.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    own = io.staged(history_of(listed, contacts, threshold_ms, days, recent), "own")
-    ranked = ranking.balance_by_vertical(ranking.score(model, table(own, None)), items, k)
-    return complete(ranked.withColumn("rank", F.col("pos")), users, own, pairs, allowed, k, recent), recall
+        return ranked_lists(model, items, model.pairs, interactions.touched(events, threshold_ms), k), recall
+    return lists(model, items, contacts, users, events if user_events is None else user_events, k), recall

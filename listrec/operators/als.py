@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import io
+
 
 def fit(encoded: DataFrame, rank: int = 32, reg: float = 0.1, iterations: int = 15, alpha: float = 1.0, seed: int = 42) -> ALSModel:
     """Train on (user_idx, item_idx, weight) by Spark ML's implicit ALS."""
@@ -21,16 +23,16 @@ def fit(encoded: DataFrame, rank: int = 32, reg: float = 0.1, iterations: int =
 def gram(item_factors: DataFrame) -> np.ndarray | None:
     """The product of the factor matrix with itself: each task sums, the driver adds up small squares; None without factors."""
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            y = np.array(b["features"].to_list(), dtype=np.float64)
-            if len(y):
+            if b.num_rows:
+                y = b.column("features").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 total = y.T @ y if total is None else total + y.T @ y
         if total is not None:
-            yield pd.DataFrame({"g": [total.ravel().tolist()]})
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
 
-    rows = [np.array(r["g"]) for r in item_factors.select("features").mapInPandas(part, "g array<double>").collect()]
+    rows = [np.array(r["g"]) for r in item_factors.select("features").mapInArrow(part, "g array<double>").collect()]
     if not rows:
         return None
     total = np.sum(rows, axis=0)
@@ -52,26 +54,26 @@ def fold_in(history: DataFrame, item_factors: DataFrame, reg: float = 0.1, alpha
     known = history.join(item_factors, F.col("item_id") == F.col("id"))
     per = known.groupBy("user_id").agg(F.collect_list("weight").alias("w"), F.collect_list("features").alias("y"))
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(g)
         for b in batches:
-            if not len(b):
-                continue
-            k = len(g)
-            lengths = b["w"].map(len).to_numpy()
-            user = np.repeat(np.arange(len(b)), lengths)
-            w = alpha * np.concatenate(b["w"].to_list()).astype(np.float64)
-            y = np.array([row for rows in b["y"] for row in rows], dtype=np.float64)
-            left = np.zeros((len(b), k, k))
-            right = np.zeros((len(b), k))
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            np.add.at(right, user, (1 + w)[:, None] * y)
-            for i, (s, n) in enumerate(zip(starts, lengths, strict=True)):
-                rows = y[s : s + n]
-                left[i] = g + (rows * w[s : s + n, None]).T @ rows + reg * n * np.eye(k)
-            x = np.linalg.solve(left, right[:, :, None])[:, :, 0]
-            yield pd.DataFrame({"user_id": b["user_id"], "features": x.astype(np.float32).tolist()})
-
-    return per.mapInPandas(solve, "user_id long, features array<float>")
+            lengths = b.column("w").value_lengths().to_numpy(zero_copy_only=False)
+            w = alpha * b.column("w").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            y = b.column("y").flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, k)
+            ends = np.cumsum(lengths)
+            x = np.empty((b.num_rows, k), np.float32)
+            for s in range(0, b.num_rows, 1024):  # so many systems at a time
+                e = min(s + 1024, b.num_rows)
+                left, right = np.empty((e - s, k, k)), np.empty((e - s, k))
+                for i in range(s, e):
+                    own = slice(ends[i] - lengths[i], ends[i])
+                    left[i - s] = g + (y[own] * w[own, None]).T @ y[own] + reg * lengths[i] * np.eye(k)
+                    right[i - s] = (1 + w[own]) @ y[own]
+                x[s:e] = np.linalg.solve(left, right[:, :, None])[:, :, 0]
+            features = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("user_id").cast(pa.int64()), features], ["user_id", "features"])
+
+    return per.mapInArrow(solve, "user_id long, features array<float>")
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,57 +87,228 @@ def best_of(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np
     return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
 
 
-def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame | None = None, n: int = 400, user_blocks: int | None = None, item_blocks: int | None = None, item_parts: int = 4) -> DataFrame:
-    """The ``n`` items of the pool with the greatest dot product for each user (both: id, features).
+#: Items of a block, and blocks of the longest items that every user is scored with first.
+BLOCK, HEAD = 4096, 4
+#: Users that are scored together, and their blocks that a task takes for one part of the items.
+TOGETHER, RUN = 2048, 64
+#: Bounds are loosened by this share, more than products of doubles are off.
+SLACK = 1e-9
+
+
+def length(features: Column) -> Column:
+    return F.sqrt(F.aggregate(features, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+
 
-    Factors are packed to blocks.  A task holds one block of users, the item blocks of
-    one of ``item_parts`` parts stream past it, and each user's running best ``n`` are
-    kept: no pair becomes a row, and ``n`` rows a user and part are left for the last
-    ranking.  Sums are in double precision; ties go to the smaller item.  About
-    2,048 users and 4,096 items a block fit a task; without the numbers of blocks the
-    factors are counted for them, which is an action.
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    """The numbers of a column of equally long arrays as rows, without a Python object each."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.empty((0, 0))
+
+
+def item_blocks(items: DataFrame, parts: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(part, block, longest, n, ids, factors): items by falling length, ``block`` to a row, as packed numbers.
+
+    Parts are ranges of lengths; without ``parts`` Spark sizes them.
     """
-    items = item_factors.join(pool.select(F.col("item_id").alias("id")), "id", "left_semi") if pool is not None else item_factors
-    ub = user_blocks or max(1, -(-user_factors.count() // 2048))
-    ib = item_blocks or max(1, -(-items.count() // 4096))
-    parts = min(item_parts, ib)
+    placed = items.select(F.col("id").cast("long").alias("id"), "features", length(F.col("features")).alias("length"))
+    order = (F.desc("length"), F.col("id"))
+    placed = placed.repartitionByRange(parts, *order) if parts else placed.repartitionByRange(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held = TaskContext.get().partitionId(), 0, None
+
+        def packed(t: pa.Table) -> pa.RecordBatch:
+            factors = _matrix(t.column("features").combine_chunks(), len(t)).astype(np.float32)
+            cols = [[part], [number], [t.column("length")[0].as_py()], [len(t)], [t.column("id").to_numpy().tobytes()], [factors.tobytes()]]
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "block", "longest", "n", "ids", "factors"])
+
+        for b in batches:
+            new = pa.Table.from_batches([b])
+            held = pa.concat_tables([held, new]) if held is not None else new
+            while len(held) >= block:
+                yield packed(held.slice(0, block))
+                held, number = held.slice(block), number + 1
+        if held is not None and len(held):
+            yield packed(held)
+
+    return placed.sortWithinPartitions(*order).mapInArrow(run, "part int, block int, longest double, n int, ids binary, factors binary")
+
+
+Blocks = list[tuple[float, np.ndarray, np.ndarray]]
+
+
+def _unpacked(longest: float, ids: bytes, factors: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, np.int64)
+    return longest, own, np.frombuffer(factors, np.float32).reshape(len(own), -1).astype(np.float64)
+
+
+def _best(users: np.ndarray, floor: np.ndarray, blocks: Blocks, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scores and ids of each user's best ``n`` among blocks of falling length, and how many blocks were scored.
+
+    The product of two lengths bounds a score.  Once it is below what every user has
+    as their ``n``-th best (``floor`` to begin with), no later block is looked at.
+    """
+    scores, ids, least, done = np.empty((len(users), 0)), np.empty((len(users), 0), np.int64), floor.copy(), 0
+    size = np.sqrt((users * users).sum(axis=1))
+    for longest, own, factors in blocks:
+        if (size * longest * (1 + SLACK) < least - np.abs(least) * SLACK).all():
+            break
+        new = np.concatenate((scores, users @ factors.T), axis=1)
+        scores, ids = best_of(new, np.concatenate((ids, np.broadcast_to(own, (len(users), len(own)))), axis=1), n)
+        if scores.shape[1] >= n:
+            least = np.maximum(least, scores.min(axis=1))
+        done += 1
+    return scores, ids, done
+
 
-    def packed(factors: DataFrame, count: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("block")
-        return factors.groupBy(block).agg(F.collect_list(F.col("id").cast("long")).alias("ids"), F.collect_list("features").alias("factors"))
+def _with_head(users: DataFrame, head: Blocks, n: int) -> DataFrame:
+    """Per user: id, features, ``floor`` (the ``n``-th best score, or null) and the best of the longest items, in order."""
+    kind = "array<struct<item_id:bigint,als_score:double>>"
 
-    users = packed(user_factors, ub).select(F.col("block").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("block"), "ids", "factors")
-    blocks = packed(items, ib).select(F.explode(F.sequence(F.lit(0), F.lit(ub - 1))).alias("u"), F.pmod("block", F.lit(parts)).alias("part"), "block", "ids", "factors")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, TOGETHER):
+                part = b.slice(s, TOGETHER)
+                x = _matrix(part.column("features"), len(part)).astype(np.float64)
+                scores, ids, _ = _best(x, np.full(len(x), -np.inf), head, n)
+                order = np.lexsort((ids, -scores), axis=1)
+                scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+                full = scores.shape[1] >= n
+                pairs = pa.StructArray.from_arrays([pa.array(ids.ravel()), pa.array(scores.ravel())], ["item_id", "als_score"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * scores.shape[1]), pairs)
+                floor = pa.array(scores[:, -1]) if full else pa.nulls(len(x), pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("features"), floor, lists], ["id", "features", "floor", "best"])
+
+    return users.mapInArrow(run, f"id long, features array<float>, floor double, best {kind}")
+
+
+def _user_blocks(users: DataFrame) -> DataFrame:
+    """(run, block, need, ids, factors, floors) of users by the item length that they need at least."""
+    size = length(F.col("features"))
+    need = F.when((size > 0) & (F.col("floor") > 0), F.col("floor") / size * (1 - SLACK)).otherwise(0.0)
+    placed = users.select("id", "features", "floor", need.alias("need")).repartitionByRange("need", "id").sortWithinPartitions("need", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for s in range(0, b.num_rows, TOGETHER):
+                own = b.slice(s, TOGETHER)
+                floors = own.column("floor").fill_null(float("-inf")).to_numpy(zero_copy_only=False)
+                factors = _matrix(own.column("features"), len(own)).astype(np.float32)
+                cols = [[(part << 32) + number // RUN], [(part << 32) + number], [own.column("need")[0].as_py()], [own.column("id").to_numpy().tobytes()], [factors.tobytes()], [floors.tobytes()]]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["run", "block", "need", "ids", "factors", "floors"])
+                number += 1
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = users = None
+    return placed.mapInArrow(run, "run long, block long, need double, ids binary, factors binary, floors binary")
 
-        def kept() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(who, scores.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["user_id", "item_id", "als_score"])
 
+def _beyond_head(users: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+    """(user_id, item_id, als_score, scored, blocks): what the other items add to the users' lists.
+
+    Each part of the items is held by a task and blocks of users stream past it; a user
+    block comes to the parts only whose longest item can still enter a list.  Rows of
+    null items say how many blocks of a part a user block was scored with.
+    """
+    longest = [(r["part"], r["m"]) for r in blocks.groupBy("part").agg(F.max("longest").alias("m")).collect()]
+    reach = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(float(m)).alias("m")) for p, m in longest])
+    wanted = users.select("*", F.explode(F.filter(reach, lambda r: r["m"] >= F.col("need"))).alias("r")).withColumn("part", F.col("r.part")).drop("r")
+    pairs = wanted.select("part", "run").distinct()
+    lit = F.lit
+    held = blocks.join(pairs, "part").select("part", "run", lit(0).alias("kind"), F.col("block").cast("long").alias("block"), "longest", "ids", "factors", lit(None).cast("binary").alias("floors"))
+    came = wanted.select("part", "run", lit(1).alias("kind"), "block", lit(0.0).alias("longest"), "ids", "factors", "floors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, items = None, []
         for b in batches:
             for i in range(b.num_rows):
-                u, part, block = (b.column(c)[i].as_py() for c in ("u", "part", "block"))
-                own = np.array(b.column("ids")[i].as_py(), np.int64)
-                factors = np.array(b.column("factors")[i].as_py(), np.float64)
-                if block < 0:
-                    if key is not None:
-                        yield kept()
-                    key, who, users = (u, part), own, factors
-                    scores, ids = np.empty((len(own), 0)), np.empty((len(own), 0), np.int64)
-                elif key == (u, part):  # else a block that no user fell into
-                    new = np.concatenate((scores, users @ factors.T), axis=1)
-                    scores, ids = best_of(new, np.concatenate((ids, np.broadcast_to(own, (len(who), len(own)))), axis=1), n)
-        if key is not None:
-            yield kept()
-
-    tasks = users.unionByName(blocks).repartition(ub * parts, "u", "part").sortWithinPartitions("u", "part", "block")
-    partial = tasks.mapInArrow(best, "user_id long, item_id long, als_score double")
+                part, group, kind, size, ids, factors, floors = (b.column(c)[i].as_py() for c in ("part", "run", "kind", "longest", "ids", "factors", "floors"))
+                if (part, group) != key:
+                    key, items = (part, group), []
+                if kind == 0:
+                    items.append(_unpacked(size, ids, factors))
+                    continue
+                floor = np.frombuffer(floors, np.float64)
+                _, who, x = _unpacked(0.0, ids, factors)
+                scores, found, done = _best(x, floor, items, n)
+                row, col = np.nonzero(scores >= floor[:, None])
+                cols = [np.append(who[row], 0), np.append(found[row, col], 0), np.append(scores[row, col], 0.0), np.append(np.zeros(len(row), np.int32), np.int32(done)), np.append(np.zeros(len(row), np.int32), np.int32(len(items)))]
+                last = np.arange(len(row) + 1) == len(row)
+                arrays = [pa.array(c, mask=last) for c in cols[:3]] + [pa.array(c.astype(np.int32), mask=~last) for c in cols[3:]]
+                yield pa.RecordBatch.from_arrays(arrays, ["user_id", "item_id", "als_score", "scored", "blocks"])
+
+    tasks = held.unionByName(came).repartition("part", "run").sortWithinPartitions("part", "run", "kind", "block")
+    return tasks.mapInArrow(run, "user_id long, item_id long, als_score double, scored int, blocks int")
+
+
+def _prepared(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame | None, n: int, parts: int | None, block: int, head: int) -> tuple[DataFrame, DataFrame | None]:
+    """Users with their best of the longest items, and what lies beyond these (None if nothing does)."""
+    items = item_factors.join(pool.select(F.col("item_id").alias("id")), "id", "left_semi") if pool is not None else item_factors
+    blocks = io.staged(item_blocks(items, parts, block), "items")
+    order = (F.desc("longest"), F.col("part"), F.col("block"))
+    first = blocks.orderBy(*order).limit(head + 1).collect()
+    longest = [_unpacked(r["longest"], r["ids"], r["factors"]) for r in first[:head]]
+    users = _with_head(user_factors.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<float>").alias("features")), longest, n)
+    if len(first) <= head:
+        return users, None
+    users, cut = io.staged(users, "users"), first[head]
+    rest = blocks.filter((F.col("longest") < cut["longest"]) | ((F.col("longest") == cut["longest"]) & (F.struct("part", "block") >= F.struct(F.lit(cut["part"]), F.lit(cut["block"])))))
+    return users, _beyond_head(io.staged(_user_blocks(users), "blocks"), rest, n)
+
+
+def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame | None = None, n: int = 400, parts: int | None = None, block: int = BLOCK, head: int = HEAD) -> DataFrame:
+    """The ``n`` items of the pool with the greatest dot product for each user (both: id, features).
+
+    Exact, with sums in double precision and ties to the smaller item.  Items lie in
+    blocks by falling length.  Every user is first scored with the ``head`` longest
+    blocks (at most ``head`` x ``block`` items, which are broadcast); their ``n``-th best
+    score over the user's length is the least length that an item must have to
+    matter.  Only parts with such items are then scored, and within them only the
+    blocks before the bound is met, for blocks of users with like bounds.  No pair
+    becomes a row unless it reaches the user's ``n``-th best score so far.
+    """
+    users, rest = _prepared(user_factors, item_factors, pool, n, parts, block, head)
+    own = users.select(F.col("id").alias("user_id"), F.posexplode("best").alias("als_rank", "b"))
+    if rest is None:
+        return own.select("user_id", "b.item_id", "b.als_score", "als_rank")
     order = Window.partitionBy("user_id").orderBy(F.desc("als_score"), "item_id")
-    return partial.withColumn("als_rank", F.row_number().over(order) - 1).filter(F.col("als_rank") < n)
+    rows = own.select("user_id", "b.item_id", "b.als_score").unionByName(rest.filter("item_id is not null").select("user_id", "item_id", "als_score"))
+    return rows.withColumn("als_rank", F.row_number().over(order) - 1).filter(F.col("als_rank") < n)
 
 
-def recommend_from_history(history: DataFrame, item_factors: DataFrame, pool: DataFrame | None, n: int = 400, reg: float = 0.1, alpha: float = 1.0, user_blocks: int | None = None, item_blocks: int | None = None) -> DataFrame:
+def pruned_share(user_factors: DataFrame, item_factors: DataFrame, n: int = 400, parts: int | None = None, block: int = BLOCK, head: int = HEAD) -> DataFrame:
+    """One row: pairs of user block and item block beyond the head that were ``scored``, and ``all_pairs`` of them."""
+    _, rest = _prepared(user_factors, item_factors, None, n, parts, block, head)
+    items = item_factors.count()
+    users = -(-user_factors.count() // TOGETHER)
+    every = max(0, -(-items // block) - head) * users
+    found = rest.agg(F.coalesce(F.sum("scored"), F.lit(0)).cast("long").alias("scored")) if rest is not None else item_factors.sparkSession.range(1).select(F.lit(0).cast("long").alias("scored"))
+    return found.withColumn("all_pairs", F.lit(every).cast("long"))
+
+
+def recommend_from_history(history: DataFrame, item_factors: DataFrame, pool: DataFrame | None, n: int = 400, reg: float = 0.1, alpha: float = 1.0, **how) -> DataFrame:
     """Fold users in, then score them."""
     users = fold_in(history, item_factors, reg, alpha).withColumnRenamed("user_id", "id")
-    return score_top_n(users, item_factors, pool, n, user_blocks, item_blocks)
+    return score_top_n(users, item_factors, pool, n, **how)
+
+
+def training_loss(interactions: DataFrame, user_factors: DataFrame, item_factors: DataFrame, reg: float = 0.1, alpha: float = 1.0) -> DataFrame:
+    """(loss, observed, all_cells, penalty): the loss that the training lowers, over every user-item cell.
+
+    ``interactions`` has user_idx, item_idx, weight, factors have id, features.  A cell
+    without interaction counts (0 - x y)^2; their sum over all cells is the sum of the
+    products of the two Gram matrices, so only observed cells are looked at one by
+    one.  The penalty weighs a factor's square by the user's or item's interactions.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    x = user_factors.select(F.col("id").alias("user_idx"), F.col("features").alias("x"))
+    y = item_factors.select(F.col("id").alias("item_idx"), F.col("features").alias("y"))
+    cells = interactions.select("user_idx", "item_idx", "weight").join(x, "user_idx").join(y, "item_idx")
+    c, p = 1.0 + alpha * F.col("weight"), dot(F.col("x"), F.col("y"))
+    sums = cells.agg(
+        F.coalesce(F.sum(c * (1.0 - p) * (1.0 - p) - p * p), F.lit(0.0)).alias("observed"),
+        F.coalesce(F.sum(dot(F.col("x"), F.col("x")) + dot(F.col("y"), F.col("y"))), F.lit(0.0)).alias("squares"),
+    )
+    a, b = gram(user_factors), gram(item_factors)
+    every = float((a * b).sum()) if a is not None and b is not None else 0.0
+    return sums.select((F.col("observed") + every + reg * F.col("squares")).alias("loss"), "observed", F.lit(every).alias("all_cells"), (reg * F.col("squares")).alias("penalty"))

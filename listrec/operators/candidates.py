@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import io
+from . import ids
+
 
 def seed_items(interactions: DataFrame, users: DataFrame, n: int = 15) -> DataFrame:
     """The ``n`` latest items of each listed user."""
@@ -73,29 +74,37 @@ def add_popular_fallback(candidates: DataFrame, users: DataFrame, top: DataFrame
     return candidates.select("user_id", "item_id", "als_score", "als_rank", F.lit("als").alias("source")).unionByName(cold)
 
 
-def exclude_seen(candidates: DataFrame, interactions: DataFrame) -> DataFrame:
-    """Candidates the user has not touched yet."""
-    return candidates.join(interactions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+def exclude_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
+    """Candidates the user has not touched yet; ``seen`` are the pairs of the whole log, see ``interactions.touched``."""
+    return candidates.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
 def fill_up(candidates: DataFrame, popular: DataFrame, seen: DataFrame, n: int, users: DataFrame | None = None) -> DataFrame:
-    """(user_id, item_id, pos, filled): users below ``n`` candidates get popular unseen items.
-
-    ``candidates`` needs ``rank``.  Without ``users`` those without candidates are not
-    added; with them every listed user gets a list, and no other.
+    """(user_id, item_id, pos, filled): users below ``n`` candidates get the most popular items that they have not seen.
+
+    ``candidates`` needs ``rank``, ``popular`` (item_id, item_popularity) may be of any
+    length.  Without ``users`` those without candidates are not added; with them every
+    listed user gets a list, and no other.  Popular items are numbered once; a user's
+    own and seen items are gaps in these numbers, from which those of the items to add
+    follow: the j-th free number is j plus the gaps before it.  So nobody's history is
+    cut and no list is laid out for each user.
     """
     order = Window.partitionBy("user_id").orderBy("rank", "item_id")
     if users is not None:
         users = users.select("user_id").distinct()
         candidates = candidates.join(users, "user_id", "left_semi")
-    own = candidates.select("user_id", "item_id", (F.row_number().over(order) - 1).alias("pos")).filter(F.col("pos") < n)
+    own = io.staged(candidates.select("user_id", "item_id", (F.row_number().over(order) - 1).alias("pos")).filter(F.col("pos") < n), "own")
     have = own.groupBy("user_id").agg(F.count("*").alias("have"))
     if users is not None:
         have = users.join(have, "user_id", "left").select("user_id", F.coalesce("have", F.lit(0)).alias("have"))
     have = have.filter(F.col("have") < n)
-    extra = _for_each(have, popular, [F.desc("item_popularity"), "item_id"])
-    taken = reduce(DataFrame.unionByName, [x.select("user_id", "item_id") for x in (own, seen)])
-    extra = extra.join(taken, ["user_id", "item_id"], "left_anti").join(have, "user_id")
-    more = Window.partitionBy("user_id").orderBy("pos")
-    extra = extra.select("user_id", "item_id", (F.col("have") + F.row_number().over(more) - 1).alias("pos")).filter(F.col("pos") < n)
+    places = ids.numbered(popular.select("item_id", "item_popularity"), F.desc("item_popularity"), F.col("item_id")).select("item_id", "idx")
+    taken = own.select("user_id", "item_id").unionByName(seen.select("user_id", "item_id")).join(have.select("user_id"), "user_id", "left_semi")
+    gaps = taken.join(places, "item_id").groupBy("user_id").agg(F.sort_array(F.collect_set("idx")).alias("gaps"))
+    need = F.lit(n) - F.col("have")
+    shifted = F.filter(F.transform(F.coalesce("gaps", F.array().cast("array<int>")), lambda g, i: g - i), lambda g: g < need)
+    rows = have.join(gaps, "user_id", "left").select("user_id", "have", need.alias("need"), shifted.alias("before"))
+    rows = rows.select("user_id", "have", "before", F.explode(F.sequence(F.lit(0), (F.col("need") - 1).cast("int"))).alias("j"))
+    rows = rows.select("user_id", (F.col("have") + F.col("j")).alias("pos"), (F.col("j") + F.size(F.filter("before", lambda g: g <= F.col("j")))).alias("idx"))
+    extra = rows.join(places, "idx")
     return own.select("user_id", "item_id", F.col("pos").cast("int").alias("pos"), F.lit(False).alias("filled")).unionByName(extra.select("user_id", "item_id", F.col("pos").cast("int").alias("pos"), F.lit(True).alias("filled")))

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import io
+
 ROW_BITS = 33  # of monotonically_increasing_id
 
 
-def dense_index(df: DataFrame, col: str) -> DataFrame:
-    """``col`` and ``idx``, 0, 1, ... by ascending id.
+def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows and ``idx``, 0, 1, ... in a total ``order``.
 
-    Distinct ids are dealt by ranges and sorted in place; the driver gets one count
-    a partition and hands back the offsets.  No window over all rows.
+    Rows are dealt by ranges and sorted in place; the driver gets one count a
+    partition and hands back the offsets.  No window over all rows.  The places are
+    written before they are counted: dealt again, ranges could lie elsewhere.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = df.select(col).filter(F.col(col).isNotNull()).distinct().repartitionByRange(parts, col).sortWithinPartitions(col)
-    placed = ids.withColumn("_m", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    placed = io.staged(placed.withColumn("_m", F.monotonically_increasing_id()), "places")
     part, row = F.shiftright("_m", ROW_BITS), F.col("_m").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     counts = sorted(placed.groupBy(part.cast("int").alias("p")).count().collect())
     offsets, total = [], 0
@@ -24,8 +26,13 @@ def dense_index(df: DataFrame, col: str) -> DataFrame:
         offsets += [F.lit(p), F.lit(total)]
         total += n
     if not counts:
-        return placed.select(col, F.lit(0).cast("int").alias("idx"))
-    return placed.select(col, (F.element_at(F.create_map(*offsets), part.cast("int")) + row).cast("int").alias("idx"))
+        return placed.select(*df.columns, F.lit(0).cast("int").alias("idx"))
+    return placed.select(*df.columns, (F.element_at(F.create_map(*offsets), part.cast("int")) + row).cast("int").alias("idx"))
+
+
+def dense_index(df: DataFrame, col: str) -> DataFrame:
+    """``col`` and ``idx``, 0, 1, ... by ascending id."""
+    return numbered(df.select(col).filter(F.col(col).isNotNull()).distinct(), col)
 
 
 def encode(interactions: DataFrame, user_index: DataFrame, item_index: DataFrame) -> DataFrame:

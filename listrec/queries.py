@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import events as ev
 from .jobs import next_items, recommend
-from .operators import als, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking, stats
+from .operators import als, boosting, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking, stats, target_stats
 from .sources import adapters as ad
 from .sources import io
 
 RECENT, TOP, SEEDS, MIN_USERS, K = 20, 40, 15, 3, 10
+ROUNDS, DEPTH = 10, 4
 FIRST_MS = ad.CUTOFF_MS - 28 * ad.DAY_MS
 
 
@@ -54,6 +55,11 @@ class Tables:
         customers = self.spark.read.parquet(f"{self.dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
         return self.events.select("user_id").union(customers).distinct()
 
+    @property
+    def seen(self) -> DataFrame:
+        """All that the users touched in the whole log before the cutoff."""
+        return interactions.touched(self.events, ad.CUTOFF_MS)
+
     @property
     def seeds(self) -> DataFrame:
         return candidates.seed_items(self.pairs, self.users, SEEDS)
@@ -107,6 +113,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "agg": (("weighted",), 'SELECT user_id, item_id, CAST(sum(weight) AS INTEGER) AS weight, max("timestamp") AS last_timestamp FROM weighted GROUP BY ALL'),
     "pairs": (("agg",), f"SELECT * FROM agg QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_timestamp DESC, item_id) <= {RECENT}"),
     "pool": (("items", "pairs"), "SELECT item_id FROM items WHERE vertical_id IN (0, 2, 3, 4, 5, 7) AND item_id IN (SELECT item_id FROM pairs GROUP BY item_id HAVING count(DISTINCT user_id) >= 2)"),
+    "seen": (("ev",), f"""SELECT DISTINCT user_id, item_id FROM ev WHERE eid <> 7 AND "timestamp" < {ad.CUTOFF_MS}"""),
     "up": (("log",), """SELECT DISTINCT user_id, least(item_id, n) AS item_a, greatest(item_id, n) AS item_b FROM (
         SELECT user_id, item_id, "timestamp" AS t, unnest([lead(item_id, 1) OVER w, lead(item_id, 2) OVER w, lead(item_id, 3) OVER w]) AS n, unnest([lead("timestamp", 1) OVER w, lead("timestamp", 2) OVER w, lead("timestamp", 3) OVER w]) AS nt
         FROM log WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", item_id)) WHERE n <> item_id AND nt - t <= 86400000"""),
@@ -184,6 +191,15 @@ simple("a2_user_history", lambda t: recommend.history_of(t.read_events(), t.cont
   SELECT * FROM (SELECT user_id, item_id, CAST(sum(CASE WHEN eid = 20 THEN 5 ELSE 1 END) AS INTEGER) AS weight, max("timestamp") AS last_timestamp FROM ev
   WHERE eid <> 7 AND "timestamp" >= {ad.THRESHOLD_MS - 14 * ad.DAY_MS} AND "timestamp" < {ad.THRESHOLD_MS} GROUP BY user_id, item_id)
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_timestamp DESC, item_id) <= {RECENT}""", "ev")
+def through_csv(t: Tables, df: DataFrame, name: str) -> str:
+    """The path of ``df`` written as CSV with a header."""
+    path = io.shared_path(t.spark, name)
+    df.write.option("header", True).csv(path)
+    return path
+
+
+simple("a3_read_ids", lambda t: io.read_ids(t.spark, through_csv(t, t.users, "users"), "user_id"), "SELECT user_id FROM users", "users")
+simple("a3_read_targets", lambda t: io.read_targets(t.spark, through_csv(t, t.targets, "targets")), "SELECT user_id, item_id FROM targets", "targets")
 simple("a4_read_items", lambda t: t.read_items(), "SELECT * FROM items", "items")
 simple("a6_event_counts", lambda t: stats.event_counts(train=t.events.filter(F.col("timestamp") < ad.THRESHOLD_MS), eval=t.events.filter(F.col("timestamp") >= ad.THRESHOLD_MS)), f"""
   SELECT coalesce(split, 'total') AS split, n_events FROM (SELECT CASE WHEN "timestamp" < {ad.THRESHOLD_MS} THEN 'train' ELSE 'eval' END AS split, count(*) AS n_events FROM ev GROUP BY ROLLUP (1))""", "ev")
@@ -256,22 +272,30 @@ simple("k5_history_histogram", lambda t: stats.history_histogram(t.events.filter
   SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((length - lo) / ((hi - lo) / 50.0)), 49) END AS INTEGER) AS bin, count(*) AS n_users FROM (
     SELECT length, min(length) OVER () AS lo, max(length) OVER () AS hi FROM per_user WHERE length <= (
       SELECT length FROM (SELECT length, row_number() OVER (ORDER BY length) - 1 AS i, count(*) OVER () AS n FROM per_user) WHERE i = floor((n - 1) * CAST(0.95 AS DOUBLE) + 0.5))) GROUP BY 1""", "per_user")
-simple("l1_exclude_seen", lambda t: candidates.exclude_seen(t.covisit, t.pairs), "SELECT c.* FROM ctop c ANTI JOIN pairs p ON p.user_id = c.user_id AND p.item_id = c.item_id", "ctop", "pairs")
-simple("l2_fill_up", lambda t: candidates.fill_up(t.covisit.filter("covisit_rank < 5").withColumn("rank", F.col("covisit_rank")), t.top, t.pairs, 12), """
+simple("l1_exclude_seen", lambda t: candidates.exclude_seen(t.covisit, t.seen), "SELECT c.* FROM ctop c ANTI JOIN seen p ON p.user_id = c.user_id AND p.item_id = c.item_id", "ctop", "seen")
+simple("l2_fill_up", lambda t: candidates.fill_up(t.covisit.filter("covisit_rank < 5").withColumn("rank", F.col("covisit_rank")), t.top, t.seen, 12), """
   , own AS (SELECT user_id, item_id, covisit_rank AS pos FROM ctop WHERE covisit_rank < 5), have AS (SELECT user_id, count(*) AS have FROM own GROUP BY user_id HAVING count(*) < 12),
   extra AS (SELECT user_id, item_id, have + row_number() OVER (PARTITION BY user_id ORDER BY item_popularity DESC, item_id) - 1 AS pos FROM (
-    SELECT * FROM have, top WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = have.user_id AND o.item_id = top.item_id) AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.user_id = have.user_id AND p.item_id = top.item_id)))
-  SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM own UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extra WHERE pos < 12""", "ctop", "top", "pairs")
-simple("l2_fill_up_listed", lambda t: recommend.complete(t.covisit.withColumn("rank", F.col("covisit_rank")), t.users, t.pairs, t.pairs, t.pool, 12, RECENT), f"""
+    SELECT * FROM have, top WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = have.user_id AND o.item_id = top.item_id) AND NOT EXISTS (SELECT 1 FROM seen p WHERE p.user_id = have.user_id AND p.item_id = top.item_id)))
+  SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM own UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extra WHERE pos < 12""", "ctop", "top", "seen")
+simple("l2_fill_up_listed", lambda t: recommend.complete(t.covisit.withColumn("rank", F.col("covisit_rank")), t.users, t.seen, t.pairs, t.pool, 12), """
   , own AS (SELECT user_id, item_id, covisit_rank AS pos FROM ctop WHERE covisit_rank < 12 AND user_id IN (FROM users)), have AS (SELECT user_id, count(item_id) AS have FROM users LEFT JOIN own USING (user_id) GROUP BY user_id HAVING count(item_id) < 12),
-  best AS (SELECT item_id, item_popularity FROM pop WHERE item_id IN (FROM pool) ORDER BY item_popularity DESC, item_id LIMIT {24 + RECENT}),
+  best AS (SELECT item_id, item_popularity FROM pop WHERE item_id IN (FROM pool) ),
   extra AS (SELECT user_id, item_id, have + row_number() OVER (PARTITION BY user_id ORDER BY item_popularity DESC, item_id) - 1 AS pos FROM (
-    SELECT * FROM have, best WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = have.user_id AND o.item_id = best.item_id) AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.user_id = have.user_id AND p.item_id = best.item_id)))
-  SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM own UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extra WHERE pos < 12""", "ctop", "pop", "pool", "pairs", "users")
+    SELECT * FROM have, best WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = have.user_id AND o.item_id = best.item_id) AND NOT EXISTS (SELECT 1 FROM seen p WHERE p.user_id = have.user_id AND p.item_id = best.item_id)))
+  SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM own UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extra WHERE pos < 12""", "ctop", "pop", "pool", "seen", "users")
 simple("l3_balance_by_vertical", lambda t: ranking.balance_by_vertical(t.covisit, t.items, k=15, quota=3, depth=30, score_col="covisit_score"), """
   SELECT user_id, item_id, vertical_id, covisit_score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY over_q, d) - 1 AS pos FROM (
     SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, vertical_id ORDER BY d) > 3 THEN 1 ELSE 0 END AS over_q FROM (
       SELECT c.user_id, c.item_id, vertical_id, covisit_score, d FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY covisit_score DESC, item_id) AS d FROM ctop) c LEFT JOIN items USING (item_id) WHERE d <= 30))) WHERE pos < 15""", "ctop", "items")
+def submitted(t: Tables) -> DataFrame:
+    """The submission file read back."""
+    path = io.shared_path(t.spark, "submission")
+    io.write_submission(t.covisit, path, 12, "covisit_score")
+    return io.read_targets(t.spark, path)
+
+
+simple("l4_submission", submitted, "SELECT user_id, item_id FROM ctop QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY covisit_score DESC, item_id) <= 12", "ctop")
 simple("l5_holdout_targets", lambda t: t.targets, "SELECT * FROM targets", "targets")
 simple("l6_retrieval_recall", lambda t: rounded(evaluate.retrieval_recall(t.merged, t.targets), "recall"), """
   SELECT count(*) AS n_targets, count(m.user_id) AS n_hits, CAST(sum(coalesce(CAST(in_als AS INTEGER), 0)) AS BIGINT) AS hits_als, CAST(sum(coalesce(CAST(in_covisit AS INTEGER), 0)) AS BIGINT) AS hits_covisit,
@@ -307,6 +331,19 @@ def als_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _factors(Tables(spark, sf_dir))[0].itemFactors
 
 
+@register("e1_training_loss_given_factors", """
+  , x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  cells AS (SELECT weight, list_dot_product(a.v, b.v) AS p, list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) AS sq FROM pairs JOIN x a ON a.id = user_id JOIN x b ON b.id = item_id),
+  o AS (SELECT sum((1 + weight) * (1 - p) * (1 - p) - p * p) AS observed, 0.1 * sum(sq) AS penalty FROM cells), e AS (SELECT sum(list_dot_product(a.v, b.v) ** 2) AS all_cells FROM x a, x b)
+  SELECT round(observed + all_cells + penalty, 4) AS loss, round(observed, 4) AS observed, round(all_cells, 4) AS all_cells, round(penalty, 4) AS penalty FROM o, e""", "pairs")
+def training_loss_given_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss over all cells; SQL forms every pair of vectors, the library two Gram matrices."""
+    t = Tables(spark, sf_dir)
+    given = ad.factors(spark, sf_dir)[1]
+    loss = als.training_loss(t.pairs.select(F.col("user_id").alias("user_idx"), F.col("item_id").alias("item_idx"), "weight"), given, given)
+    return loss.select(*[F.round(c, 4).alias(c) for c in loss.columns])
+
+
 @register("e2_fold_in")
 def fold_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
@@ -343,13 +380,42 @@ def recommend_given_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g2_rank_validation")
 def rank_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, val = ranking.split_by_user(io.staged(Tables(spark, sf_dir).merged_features, "features"))
-    return ranking.score(ranking.fit(train), val)
+    fitted, val = ranking.split_by_user(io.staged(Tables(spark, sf_dir).merged_features, "features"))
+    return ranking.score(ranking.fit(fitted, val, ROUNDS, DEPTH, rate=0.3, k=K), val)
+
+
+@register("g2_target_statistics", f"""
+  , f AS (SELECT user_id, item_id, CAST(target AS INTEGER) AS t, coalesce(CAST(vertical_id AS VARCHAR), 'none') AS a, coalesce(CAST(category_ext_y AS VARCHAR), 'none') AS b, md5('42:' || user_id || ':' || item_id) AS place FROM feat),
+  p AS (SELECT avg(t) AS prior FROM f)
+  SELECT user_id, item_id, {", ".join(f"round((coalesce(sum(t) OVER {w}, 0) + prior) / (count(*) OVER {w} + 1), 6) AS ts_{c}" for w, c in (("wa", "vertical_id"), ("wb", "category_ext_y")))} FROM f, p
+  WINDOW wa AS (PARTITION BY a ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), wb AS (PARTITION BY b ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "feat")
+def ordered_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = io.staged(Tables(spark, sf_dir).merged_features, "features")
+    prior = float(rows.agg(F.avg(F.col("target").cast("int"))).first()[0] or 0.0)
+    return rounded(target_stats.ordered(rows, ("vertical_id", "category_ext_y"), prior), "ts_vertical_id", "ts_category_ext_y")
 
 
 @register("g3_importances")
 def feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.importances(ranking.fit(ranking.split_by_user(io.staged(Tables(spark, sf_dir).merged_features, "features"))[0]), spark)
+    fitted, val = ranking.split_by_user(io.staged(Tables(spark, sf_dir).merged_features, "features"))
+    return ranking.importances(ranking.fit(fitted, val, ROUNDS, DEPTH, rate=0.3, k=K), spark)
+
+
+@register("g3_importances_given_trees", """
+  , leaves AS (SELECT vertical_id AS t, CASE WHEN region_id_y <= 25 THEN 1 WHEN loc_id_y <= 4 THEN 3 ELSE 4 END AS n, avg(category_ext_y) AS v, count(*) AS c FROM items WHERE vertical_id IS NOT NULL GROUP BY ALL),
+  sides AS (SELECT a.t, a.v AS v1, a.c AS c1, b.v AS v3, b.c AS c3, d.v AS v4, d.c AS c4 FROM leaves a, leaves b, leaves d WHERE a.t = b.t AND b.t = d.t AND a.n = 1 AND b.n = 3 AND d.n = 4),
+  low AS (SELECT *, (v3 * c3 + v4 * c4) / (c3 + c4) AS v2, c3 + c4 AS c2 FROM sides), root AS (SELECT *, (v1 * c1 + v2 * c2) / (c1 + c2) AS v0 FROM low),
+  change AS (SELECT 'region_id_y' AS feature, sum(c1 * (v1 - v0) ** 2 + c2 * (v2 - v0) ** 2) AS c FROM root UNION ALL SELECT 'loc_id_y', sum(c3 * (v3 - v2) ** 2 + c4 * (v4 - v2) ** 2) FROM root)
+  SELECT feature, round(100 * c / sum(c) OVER (), 6) AS importance FROM change""", "items")
+def importances_given_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree a vertical, two splits each, whose leaves hold the items' mean category."""
+    items = Tables(spark, sf_dir).items.filter("vertical_id is not null")
+    leaf = F.when(F.col("region_id_y") <= 25, 1).when(F.col("loc_id_y") <= 4, 3).otherwise(4)
+    leaves = items.groupBy(F.col("vertical_id").alias("tree"), leaf.alias("node")).agg(F.avg("category_ext_y").alias("value"), F.count("*").alias("rows"))
+    none = [F.lit(None).cast("string").alias("feature"), F.lit(-1).alias("left"), F.lit(-1).alias("right")]
+    inner = F.inline(F.array(*[F.struct(F.lit(n).alias("node"), F.lit(f).alias("feature"), F.lit(a).alias("left"), F.lit(b).alias("right")) for n, f, a, b in ((0, "region_id_y", 1, 2), (2, "loc_id_y", 3, 4))]))
+    splits = leaves.select("tree").distinct().select("tree", inner).withColumns({"value": F.lit(0.0), "rows": F.lit(0).cast("long")})
+    return rounded(boosting.importances(leaves.select("tree", "node", "value", "rows", *none).unionByName(splits)), "importance")
 
 
 @register("m3_lists_of_listed_users")
@@ -357,7 +423,7 @@ def lists_of_listed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on mapping B for all customers, those without orders included."""
     log = ad.order_log(spark, sf_dir)
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
-    return recommend.run(spark, log, ad.items(spark, sf_dir), ad.contacts(spark), ad.CUTOFF_B_MS - 365 * ad.DAY_MS, users, days=3650, min_users=2, n=TOP, k=K)[0]
+    return recommend.run(spark, log, ad.items(spark, sf_dir), ad.contacts(spark), ad.CUTOFF_B_MS - 365 * ad.DAY_MS, users, k=K, days=3650, min_users=2, n=TOP, rounds=ROUNDS, depth=DEPTH)[0]
 
 
 @register("m4_covisit_lists_of_listed_users", f"""
@@ -365,13 +431,14 @@ def lists_of_listed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
   poolb AS (SELECT item_id FROM items WHERE vertical_id IN (0, 2, 3, 4, 5, 7) AND item_id IN (SELECT item_id FROM pairsb GROUP BY item_id HAVING count(DISTINCT user_id) >= 2)),
   seedsb AS (SELECT user_id, item_id AS seed_item_id FROM pairsb QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_timestamp DESC, item_id) <= {SEEDS}),
   scoresb AS (SELECT user_id, neighbor_id AS item_id, sum(weight) AS s FROM seedsb JOIN matrixb ON seed_item_id = matrixb.item_id WHERE neighbor_id IN (FROM poolb) GROUP BY ALL),
-  freshb AS (SELECT * FROM scoresb s WHERE NOT EXISTS (SELECT 1 FROM pairsb p WHERE p.user_id = s.user_id AND p.item_id = s.item_id)),
+  seenb AS (SELECT DISTINCT user_id, item_id FROM evb WHERE eid <> 7 AND "timestamp" < {ad.CUTOFF_B_MS}),
+  freshb AS (SELECT * FROM scoresb s WHERE NOT EXISTS (SELECT 1 FROM seenb p WHERE p.user_id = s.user_id AND p.item_id = s.item_id)),
   usersb AS (SELECT c_custkey AS user_id FROM customer),
   ownb AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id) - 1 AS pos FROM freshb WHERE user_id IN (FROM usersb) QUALIFY pos < {K}),
   haveb AS (SELECT user_id, count(item_id) AS have FROM usersb LEFT JOIN ownb USING (user_id) GROUP BY user_id HAVING count(item_id) < {K}),
-  bestb AS (SELECT item_id, sum(weight) AS w FROM pairsb WHERE item_id IN (FROM poolb) GROUP BY item_id ORDER BY w DESC, item_id LIMIT {2 * K + RECENT}),
+  bestb AS (SELECT item_id, sum(weight) AS w FROM pairsb WHERE item_id IN (FROM poolb) GROUP BY item_id),
   extrab AS (SELECT user_id, item_id, have + row_number() OVER (PARTITION BY user_id ORDER BY w DESC, item_id) - 1 AS pos FROM (
-    SELECT * FROM haveb, bestb WHERE NOT EXISTS (SELECT 1 FROM ownb o WHERE o.user_id = haveb.user_id AND o.item_id = bestb.item_id) AND NOT EXISTS (SELECT 1 FROM pairsb p WHERE p.user_id = haveb.user_id AND p.item_id = bestb.item_id)))
+    SELECT * FROM haveb, bestb WHERE NOT EXISTS (SELECT 1 FROM ownb o WHERE o.user_id = haveb.user_id AND o.item_id = bestb.item_id) AND NOT EXISTS (SELECT 1 FROM seenb p WHERE p.user_id = haveb.user_id AND p.item_id = bestb.item_id)))
   SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM ownb UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extrab WHERE pos < {K}""", "matrixb", "items")
 def covisit_lists_of_listed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-visitation lists on mapping B, without items seen, filled up for every customer."""
@@ -379,6 +446,7 @@ def covisit_lists_of_listed_users(spark: SparkSession, sf_dir: str) -> DataFrame
     history = recommend.history_of(log, contacts, ad.CUTOFF_B_MS, 3650, RECENT)
     allowed = pool.allowed_items(ad.items(spark, sf_dir), history)
     found = recommend.covisit_lists(history, covisit_orders(spark, sf_dir), allowed, 1_000_000, SEEDS)
-    fresh = candidates.exclude_seen(found, history).withColumn("rank", F.col("covisit_rank"))
+    seen = interactions.touched(log, ad.CUTOFF_B_MS)
+    fresh = candidates.exclude_seen(found, seen).withColumn("rank", F.col("covisit_rank"))
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
-    return recommend.complete(fresh, users, history, history, allowed, K, RECENT)
+    return recommend.complete(fresh, users, seen, history, allowed, K)

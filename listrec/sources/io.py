@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
+#: Temporary folders of local applications without spark.checkpoint.dir.
+LOCAL: dict[str, str] = {}
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The click log, from one file or a folder of parts; later filters reach the scan."""
@@ -39,17 +42,25 @@ def write_stage(df: DataFrame, path: str) -> None:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    In local mode a temporary folder will do where the setting is missing.
+    In local mode a temporary folder, one an application, will do where the setting is missing.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.sparkContext.master
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
-        base = tempfile.mkdtemp(prefix="spark-")
+        if app not in LOCAL:
+            LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+        base = LOCAL[app]
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stage that is not read any more, on whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there."""
     path = shared_path(df.sparkSession, name)

@@ -150,6 +150,37 @@ def test_fill_up(spark):
     assert rows(candidates.fill_up(c, top, seen, 2)) == [(1, 1, 0, False), (1, 4, 1, True), (2, 1, 0, False), (2, 2, 1, False)]
 
 
+def test_fill_up_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    top = [(int(i), int(rng.integers(0, 30))) for i in range(120)]
+    order = [i for i, _ in sorted(top, key=lambda r: (-r[1], r[0]))]
+    own = {u: rng.choice(150, int(rng.integers(0, 8)), replace=False).tolist() for u in range(25)}
+    seen = {u: set(rng.choice(150, int(rng.integers(0, 120)), replace=False).tolist()) for u in range(0, 30, 2)}
+    frame = lambda r, s: spark.createDataFrame(r, s)
+    c = frame([(u, int(i), r) for u, v in own.items() for r, i in enumerate(v)], "user_id long, item_id long, rank int")
+    s = frame([(u, int(i)) for u, v in seen.items() for i in v], "user_id long, item_id long")
+    listed = frame([(u,) for u in range(20, 32)], "user_id long")
+    for n, users in ((6, None), (6, listed), (200, listed)):
+        want = []
+        for u in range(20, 32) if users is not None else sorted(u for u, v in own.items() if v):
+            mine = own.get(u, [])[:n]
+            more = [i for i in order if i not in mine and i not in seen.get(u, set())][: n - len(mine)]
+            want += [(u, i, p, p >= len(mine)) for p, i in enumerate(mine + more)]
+        assert rows(candidates.fill_up(c, frame(top, "item_id long, item_popularity long"), s, n, users)) == sorted(want)
+
+
+def test_nothing_of_a_long_history_comes_back(spark):
+    """150 items seen, far more than the capped history holds, some long before the window."""
+    e = log(spark, [(1, i, (i - 100) * DAY + H, 1) for i in range(150)] + [(2, i, H, 1) for i in range(155)] + [(1, 152, H, 7)])
+    seen = interactions.touched(e, 200 * DAY)
+    assert {r.item_id for r in seen.filter("user_id = 1").collect()} == set(range(150))
+    found = spark.createDataFrame([(1, i, float(i)) for i in range(155)], "user_id long, item_id long, s double")
+    assert sorted(r.item_id for r in candidates.exclude_seen(found, seen).collect()) == [150, 151, 152, 153, 154]
+    popular = spark.createDataFrame([(i, 1000 - i) for i in range(155)], "item_id long, item_popularity long")
+    none = spark.createDataFrame([], "user_id long, item_id long, rank int")
+    assert [r[1] for r in rows(candidates.fill_up(none, popular, seen, 4, seen.filter("user_id = 1")))] == [150, 151, 152, 153]
+
+
 def test_features_keep_gaps(spark):
     c = spark.createDataFrame([(1, 1, 0.5, 0, "als"), (1, 77, 0.4, 1, "als"), (2, 1, 0.0, 0, "popular_fallback")], "user_id long, item_id long, als_score double, als_rank int, source string")
     p = pairs(spark, [(1, 1, 3, 1)])
@@ -198,12 +229,12 @@ def test_fold_in_of_a_training_user_is_the_stored_factor(spark):
         assert np.allclose(got[r.id], r.features, atol=1e-4)
 
 
-@pytest.mark.parametrize("blocks", [(2, 3), (100, 100)])
-def test_score_blocks_equal_brute_force(spark, blocks):
+@pytest.mark.parametrize("how", [{}, {"parts": 3, "block": 2, "head": 1}, {"parts": 1, "block": 3, "head": 2}, {"parts": 4, "block": 1, "head": 3}])
+def test_score_blocks_equal_brute_force(spark, how):
     rng = np.random.default_rng(1)
     u, v = rng.integers(-2, 3, (7, 3)).astype(float), rng.integers(-2, 3, (11, 3)).astype(float)
     frame = lambda m: spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "id long, features array<float>")
-    got = rows(als.score_top_n(frame(u), frame(v), None, 4, *blocks), "user_id", "als_rank", "item_id", "als_score")
+    got = rows(als.score_top_n(frame(u), frame(v), None, 4, **how), "user_id", "als_rank", "item_id", "als_score")
     s = u @ v.T
     want = sorted((i, r, int(j), s[i, j]) for i in range(7) for r, j in enumerate(sorted(range(11), key=lambda j: (-s[i, j], j))[:4]))
     assert got == want
@@ -226,7 +257,64 @@ def test_scoring_takes_empty_tables(spark):
     assert als.fold_in(h, f.limit(0)).count() == 0 and als.fold_in(h.limit(0), f).count() == 0
     assert als.score_top_n(f.limit(0), f).count() == 0 and als.score_top_n(f, f.limit(0)).count() == 0
     assert als.recommend_from_history(h, f.limit(0), None).count() == 0
-    assert rows(als.score_top_n(f, f, None, 4, user_blocks=3, item_blocks=7)) == [(1, 1, 5.0, 0)]
+    assert als.score_top_n(f.limit(0), f, head=0).count() == 0
+    assert [r[:2] + r[2:] for r in rows(als.score_top_n(f, f, None, 4, parts=3, block=1), "user_id", "item_id", "als_score", "als_rank")] == [(1, 1, 5.0, 0)]
+
+
+def falling(rng, n, width):
+    """Factors whose lengths fall fast, as those of items of falling popularity do."""
+    return (rng.normal(size=(n, width)) * (1 + 8 / (1 + np.arange(n)))[:, None]).astype(np.float32)
+
+
+def test_pruned_scoring_is_exact_and_skips_blocks(spark):
+    rng = np.random.default_rng(6)
+    u, v = rng.normal(size=(90, 8)).astype(np.float32), falling(rng, 3000, 8)
+    u[5] = 0
+    frame = lambda m: spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "id long, features array<float>")
+    how = {"n": 7, "parts": 5, "block": 40, "head": 2}
+    got = rows(als.score_top_n(frame(u), frame(v), **how), "user_id", "als_rank", "item_id", "als_score")
+    s = u.astype(float) @ v.astype(float).T
+    want = [(i, r, int(j)) for i in range(90) for r, j in enumerate(sorted(range(3000), key=lambda j: (-s[i, j], j))[:7])]
+    assert [g[:3] for g in got] == want and all(g[3] == pytest.approx(s[g[0], g[2]]) for g in got)
+    share = als.pruned_share(frame(u), frame(v), **how).first()
+    assert 0 < share.scored < share.all_pairs
+
+
+def test_fold_in_and_scoring_of_wide_factors_equal_brute_force(spark):
+    """64 numbers a factor: every user's equations solved and all items scored one by one."""
+    rng = np.random.default_rng(9)
+    y = (rng.normal(size=(200, 64)) / 8).astype(np.float32)
+    h = [(u, int(i), int(rng.integers(1, 9))) for u in range(30) for i in rng.choice(220, int(rng.integers(1, 40)), replace=False)]
+    history = spark.createDataFrame(h, "user_id long, item_id long, weight int")
+    factors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, features array<float>")
+    pool_ = spark.createDataFrame([(i,) for i in range(0, 200, 2)], "item_id long")
+    z, want = y.astype(float), []
+    for user in range(30):
+        known = [(i, w) for u, i, w in h if u == user and i < 200]
+        if known:
+            left = z.T @ z + sum(w * np.outer(z[i], z[i]) for i, w in known) + 0.1 * len(known) * np.eye(64)
+            x = np.linalg.solve(left, sum((1 + w) * z[i] for i, w in known)).astype(np.float32).astype(float)
+            want += [(user, r, int(j), x @ z[j]) for r, j in enumerate(sorted(range(0, 200, 2), key=lambda j: (-(x @ z[j]), j))[:10])]
+    got = rows(als.recommend_from_history(history, factors, pool_, 10), "user_id", "als_rank", "item_id", "als_score")
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-5)
+
+
+def test_training_loss_is_that_of_all_cells_and_falls(spark):
+    rng = np.random.default_rng(4)
+    data = [(int(u), int(i), int(w)) for u in range(20) for i, w in zip(rng.choice(15, 5, replace=False), rng.integers(1, 6, 5))]
+    enc = spark.createDataFrame(data, "user_idx int, item_idx int, weight int")
+    losses = []
+    for iterations in (1, 3, 9):
+        model = als.fit(enc, rank=3, iterations=iterations)
+        x, y = ({r.id: np.array(r.features, float) for r in f.collect()} for f in (model.userFactors, model.itemFactors))
+        w = {(u, i): c for u, i, c in data}
+        loss = sum((1 + w.get((u, i), 0)) * ((1.0 if (u, i) in w else 0.0) - x[u] @ y[i]) ** 2 for u in x for i in y)
+        loss += 0.1 * sum(x[u] @ x[u] + y[i] @ y[i] for u, i, _ in data)
+        got = als.training_loss(enc, model.userFactors, model.itemFactors).first()
+        assert got.loss == pytest.approx(loss)
+        losses.append(got.loss)
+    assert losses[0] > losses[1] > losses[2]
+    assert als.training_loss(enc.limit(0), model.userFactors.limit(0), model.itemFactors).first().loss == 0
 
 
 def test_fold_in_equals_the_closed_form(spark):
@@ -248,9 +336,11 @@ def test_ranker_splits_categories_as_such(spark):
     table = spark.createDataFrame(data, cols).withColumn("n_leak", F.col("target").cast("double"))
     model = ranking.fit(table, rounds=1, depth=1)
     first = ranking.importances(model, spark).first()
-    assert (first.feature, round(first.importance, 6)) == ("category_ext_y", 1.0)
+    assert (first.feature, round(first.importance, 6)) == ("category_ext_y", 100.0)
     got = ranking.score(model, table).collect()
     assert min(r.rank_score for r in got if r.target) > max(r.rank_score for r in got if not r.target)
+    got = ranking.score_pointwise(ranking.fit_pointwise(table, rounds=1, depth=1), table).collect()
+    assert min(r.rank_score for r in got if r.target) > max(r.rank_score for r in got if not r.target)
 
 
 def test_popular_list_of_any_length_is_refused(spark, monkeypatch):
@@ -311,7 +401,7 @@ def test_ranker_prefers_the_telling_feature(spark):
     empty = pairs(spark, [(1, 1, 1, 1)])
     table = features.build_merged(m.drop("t"), item_table(spark), popularity.item_popularity(empty), features.user_top_vertical(empty, item_table(spark)), m.filter("t"))
     train, val = ranking.split_by_user(table)
-    model = ranking.fit(train, rounds=3)
+    model = ranking.fit(train, val, rounds=6, depth=3, rate=0.3, k=5)
     assert ranking.importances(model, spark).first().feature == "als_score"
     recall = evaluate.recall_at_k(ranking.score(model, val), "rank_score", m.filter("t"), k=5).first()[0]
     assert recall > 0.9 and not math.isnan(recall)

@@ -46,7 +46,7 @@ def test_whole_chain(spark):
     from listrec.sources import adapters as ad
 
     d = DIR.replace("0.001", "0.01")
-    lists, recall = recommend.run(spark, ad.click_log(spark, d), ad.items(spark, d), ad.contacts(spark), ad.THRESHOLD_MS, n=20, k=10, rank=4, iterations=2, rounds=3)
+    lists, recall = recommend.run(spark, ad.click_log(spark, d), ad.items(spark, d), ad.contacts(spark), ad.THRESHOLD_MS, n=20, k=10, rank=4, iterations=2, rounds=3, depth=3)
     assert lists.groupBy("user_id").count().agg({"count": "max"}).first()[0] <= 10
     assert 0 <= recall.first().recall <= 1
 
@@ -65,13 +65,17 @@ def test_job_gives_every_listed_user_a_whole_list(spark, tmp_path):
     ad.contacts(spark).write.option("header", True).csv(paths["contacts"])
     listed = [5, 10, 10, 15, 900_001, 900_002]
     spark.createDataFrame([(u,) for u in listed], "user_id long").write.option("header", True).csv(paths["users"])
-    args = ["--events", paths["events"], "--user-events", paths["own"], "--items", paths["items"], "--contacts", paths["contacts"], "--users", paths["users"], "--out", paths["out"]]
-    main.main([*args, "--threshold-ms", str(ad.THRESHOLD_MS), "--n", "20", "--k", str(k), "--rank", "4", "--iterations", "2", "--rounds", "3"], spark)
+    common = ["--model", str(tmp_path / "model"), "--items", paths["items"], "--contacts", paths["contacts"], "--k", str(k)]
+    main.main(["train", *common, "--events", paths["events"], "--threshold-ms", str(ad.THRESHOLD_MS), "--n", "20", "--rank", "4", "--iterations", "2", "--rounds", "3", "--depth", "3"], spark)
+    main.main(["lists", *common, "--user-events", paths["own"], "--users", paths["users"], "--out", paths["out"]], spark)
     lists = spark.read.parquet(f"{paths['out']}/lists").collect()
     by = {u: sorted(r.pos for r in lists if r.user_id == u) for u in set(listed)}
     assert {r.user_id for r in lists} == set(listed) and all(v == list(range(k)) for v in by.values())
     assert all(r.filled for r in lists if r.user_id > 900_000) and not all(r.filled for r in lists if r.user_id < 900_000)
     history = {(r.user_id, r.item_id) for r in recommend.history_of(log, ad.contacts(spark), ad.THRESHOLD_MS, 28, 100).collect()}
     assert not history & {(r.user_id, r.item_id) for r in lists}
+    model = recommend.load(spark, str(tmp_path / "model"))
+    again = recommend.lists(model, ad.items(spark, d), ad.contacts(spark), spark.createDataFrame([(u,) for u in listed], "user_id long"), spark.read.parquet(paths["own"]), k).collect()
+    assert sorted(again) == sorted(lists)
     sent = spark.read.option("header", True).csv(f"{paths['out']}/submission").collect()
     assert {(int(r.user_id), int(r.item_id)) for r in sent} == {(r.user_id, r.item_id) for r in lists} and len(sent) == len(lists)
