@@ -271,20 +271,24 @@ def sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
 SPREAD = splitmix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Most rows of a block of a bucket; a task compares two blocks.
 BUCKET = 4096
+#: Most large buckets whose sizes are broadcast.
+FEW = 1_000_000
+#: Members that are compared with one copy of their pivot's text.
+STAR = 1024
 
 
 def in_blocks(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Rows (c, key, node, sim[, digest][, group]) dealt so that any two of a bucket (c, key) meet in a block pair (i, j).
 
     A bucket of over ``BUCKET`` rows is dealt into blocks by a hash of the row, and
-    each pair of blocks is a key of its own (a block meets itself there too).  Such
-    buckets are at most one in ``BUCKET`` rows, so their sizes are broadcast.  With
-    ``texts`` (node, digest, z) each row comes with its text.
+    each pair of blocks is a key of its own (a block meets itself there too).  The
+    sizes of such buckets, at most one in ``BUCKET`` rows, are broadcast up to ``FEW``
+    of them.  With ``texts`` (node, digest, z) each row comes with its text.
     """
     limit = BUCKET
     sizes = rows.groupBy("c", "key").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
-    sizes = sizes.select("c", "key", F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
-    dealt = rows.join(F.broadcast(sizes), ["c", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sizes = cut(sizes.select("c", "key", F.ceil(F.col("n") / limit).cast("int").alias("blocks")), "sizes")
+    dealt = rows.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, ["c", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "sim"), F.col("blocks")).cast("int"))
     if texts is not None:
         dealt = dealt.join(texts, ["node", "digest"])
@@ -380,8 +384,52 @@ def unpacked(z: bytes | None) -> str | None:
     return None if z is None else zstandard.ZstdDecompressor().decompress(z).decode("utf-8")
 
 
-#: Bands whose buckets are checked first; those of the others only where groups still meet.
-FIRST = 2
+def nearest_pivots(shared: DataFrame, radius: int) -> DataFrame:
+    """(node, digest, pivot, pivot_digest): for each row the least first row of its buckets that is within ``radius``.
+
+    The firsts are written before the join, so that the skew join can split a hot bucket.
+    """
+    firsts = cut(shared.groupBy("c", "key").agg(F.min(F.struct("node", "digest", "sim")).alias("p")), "firsts")
+    met = shared.join(firsts, ["c", "key"]).filter("node <> p.node or digest <> p.digest")
+    met = met.select("node", "digest", "sim", F.col("p.node").alias("pivot"), F.col("p.digest").alias("pivot_digest"), F.col("p.sim").alias("other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("sim", "other"))
+            near_ = np.bitwise_count(x ^ y).sum(axis=1) <= radius
+            yield b.select(["node", "digest", "pivot", "pivot_digest"]).filter(pa.array(near_))
+
+    near_ = met.mapInArrow(run, "node long, digest binary, pivot long, pivot_digest binary")
+    return near_.groupBy("node", "digest").agg(F.min(F.struct("pivot", "pivot_digest")).alias("p")).select("node", "digest", "p.*")
+
+
+def verified(edges: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The (a, b) of edges (node, digest, pivot, pivot_digest) whose shingle sets are alike enough.
+
+    A task holds one pivot's shingles while its members' texts stream past; a pivot
+    of over ``STAR`` members is held by several tasks.  Every text comes once as a member.
+    """
+    star = ["pivot", "pivot_digest"]
+    counts = cut(edges.groupBy(*star).agg(F.ceil(F.count("*") / STAR).cast("long").alias("tasks")), "stars")
+    dealt = edges.join(counts, star).withColumn("task", F.pmod(F.xxhash64("node", "digest"), F.col("tasks")))
+    came = dealt.join(texts, ["node", "digest"]).select(*star, "task", F.lit(1).alias("kind"), "node", "z")
+    own = texts.select(F.col("node").alias("pivot"), F.col("digest").alias("pivot_digest"), "z")
+    held = counts.join(own, star).select(*star, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), F.col("pivot").alias("node"), "z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = None
+        for b in batches:
+            links = []
+            for kind, pivot, node, z in zip(*(b.column(c).to_pylist() for c in ("kind", "pivot", "node", "z")), strict=True):
+                own = shingle_set(unpacked(z), width)
+                if kind == 0:
+                    shingles = own
+                elif at_least(own, shingles, least):
+                    links.append((node, pivot))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    order = [*star, "task"]
+    return held.unionByName(came).repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "kind").mapInArrow(run, "a long, b long").filter("a <> b")
 
 
 def near_groups(documents: DataFrame, width: int = 5, radius: int = 76, least: float = 0.8) -> DataFrame:
@@ -395,9 +443,10 @@ def near_groups(documents: DataFrame, width: int = 5, radius: int = 76, least: f
     sets collapse first.  Null ids take no part.  Texts without words are equal to
     each other.  Repeated rows give repeated results, an empty table an empty one.
 
-    The buckets of the first bands are checked with their texts.  In those of the
-    other bands the SimHashes show which rows come near a row of another group
-    found so far, and only these are checked with their texts too.
+    Each text is first checked with one other: the least first row of its buckets
+    that its SimHash comes near, so copies of a text join without meeting each other.
+    In all buckets the SimHashes alone then show which rows come near a row of another
+    group found so far, and only these are checked with their texts too.
     """
 
     def digest(h: np.ndarray) -> bytes:
@@ -415,7 +464,8 @@ def near_groups(documents: DataFrame, width: int = 5, radius: int = 76, least: f
 
     def texts_of(rows: DataFrame) -> DataFrame:
         """The texts of rows' nodes; a repeated id's texts are told apart by their digest."""
-        firsts = named_rows.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        nodes = cut(rows.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+        firsts = named_rows.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "doc_id", "left_semi")
         return map_texts(firsts, pack, "digest binary, z binary").withColumnRenamed("doc_id", "node").dropDuplicates(["node", "digest"])
 
     prints = cut(map_texts(named_rows, work, "digest binary, sim binary, keys array<bigint>"), "sketches")
@@ -424,11 +474,12 @@ def near_groups(documents: DataFrame, width: int = 5, radius: int = 76, least: f
     # written before the join, so that the skew join can split a hot bucket
     met = cut(rows.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1").select("c", "key"), "buckets")
     shared = cut(rows.join(met, ["c", "key"]), "shared")
-    early = shared.filter(F.col("c") < FIRST)
-    links = cut(block_links(early, radius, texts_of(early), width, least), "links")
-    known = components(links).select("node", F.col("root").alias("group"))
-    late = shared.filter(F.col("c") >= FIRST).join(known, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    late = cut(late.join(crossing_rows(late, radius), ["c", "key", "node"], "left_semi"), "crossing")
+    edges = cut(nearest_pivots(shared, radius), "edges")
+    ends = edges.select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
+    links = cut(verified(edges, cut(texts_of(ends), "texts"), width, least), "links")
+    known = cut(components(links).select("node", F.col("root").alias("group")), "groups")
+    late = shared.join(known, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    late = cut(late.join(cut(crossing_rows(late, radius), "near"), ["c", "key", "node"], "left_semi"), "crossing")
     roots = components(links.unionByName(block_links(late, radius, texts_of(late), width, least)))
     named = distinct.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return prints.select("doc_id", "digest").join(named, "digest").filter("doc_id <> component_id").select("doc_id", "component_id")
