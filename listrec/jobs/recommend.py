@@ -41,13 +41,14 @@ def covisit_lists(history: DataFrame, matrix: DataFrame, allowed: DataFrame, n:
     return candidates.covisit_top_n(candidates.covisit_scores(candidates.seed_items(history, users, seeds), matrix, allowed), n)
 
 
-def complete(ranked: DataFrame, users: DataFrame, seen: DataFrame, pairs: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
+def complete(ranked: DataFrame, users: DataFrame, seen: DataFrame, pairs: DataFrame, allowed: DataFrame, k: int, favourites: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, pos, filled): exactly ``k`` unseen items for every listed user, as far as the pool goes.
 
-    ``ranked`` needs ``rank``; ``seen`` holds all that the users ever touched.
+    ``ranked`` needs ``rank``; ``seen`` holds all that the users ever touched.  With
+    ``favourites`` and ``groups`` a user's favourite group is drawn from first.
     """
     popular = pool.restrict_to(popularity.item_popularity(pairs), allowed, "item_id")
-    return candidates.fill_up(ranked, popular, seen, k, users)
+    return candidates.fill_up(ranked, popular, seen, k, users, favourites, groups)
 
 
 #: The tables of a trained model, all by original ids.
@@ -89,7 +90,8 @@ def feature_table(model: Trained, items: DataFrame, history: DataFrame, seen: Da
     found = als.recommend_from_history(history, model.factors, model.pool, model.n)
     merged = candidates.merge(found, covisit_lists(history, model.matrix, model.pool, model.n))
     fresh = candidates.exclude_seen(merged, seen)
-    return io.staged(features.build_merged(fresh, items, popularity.item_popularity(model.pairs), features.user_top_vertical(history, items), targets), "features")
+    rows = features.build_merged(fresh, items, popularity.item_popularity(model.pairs), features.user_top_vertical(history, items), targets)
+    return io.staged(features.with_profile(rows, features.user_profile(history, items), items), "features")
 
 
 def train(
@@ -136,13 +138,16 @@ def lists(model: Trained, items: DataFrame, contacts: DataFrame, users: DataFram
     """(user_id, item_id, pos, filled): exactly ``k`` items for each listed user, cold ones included, as far as the pool goes.
 
     Listed users that repeat count once.  Candidates come from their latest items in
-    the window; whatever they ever touched before the threshold is left out.
+    the window; whatever they ever touched before the threshold is left out.  Lists
+    too short are filled from the user's favourite vertical, then from all.
     """
     listed = io.staged(user_events.join(users.select("user_id").distinct(), "user_id", "left_semi"), "listed")
     history = io.staged(history_of(listed, contacts, model.threshold_ms, model.days, model.recent), "own")
     seen = io.staged(interactions.touched(listed, model.threshold_ms), "seen")
     ranked = ranked_lists(model, items, history, seen, k)
-    return complete(ranked.withColumn("rank", F.col("pos")), users, seen, model.pairs, model.pool, k)
+    favourites = features.user_top_vertical(history, items).select("user_id", F.col("top_vertical").alias("group"))
+    groups = items.select("item_id", F.col("vertical_id").alias("group"))
+    return complete(ranked.withColumn("rank", F.col("pos")), users, seen, model.pairs, model.pool, k, favourites, groups)
 
 
 def run(spark: SparkSession, events: DataFrame, items: DataFrame, contacts: DataFrame, threshold_ms: int, users: DataFrame | None = None, user_events: DataFrame | None = None, k: int = 160, **how) -> tuple[DataFrame, DataFrame]:

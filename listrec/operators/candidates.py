@@ -79,12 +79,30 @@ def exclude_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
-def fill_up(candidates: DataFrame, popular: DataFrame, seen: DataFrame, n: int, users: DataFrame | None = None) -> DataFrame:
+def _additions(have: DataFrame, places: DataFrame, taken: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """(user_id, item_id, pos): the free items of ``places`` (item_id, idx) that take users from ``have`` to ``n`` items, in order.
+
+    ``keys`` may name a group: then ``have`` says which group a user draws from, and
+    items are numbered within theirs.
+    """
+    wanted = taken.join(have.select("user_id", *keys), "user_id")
+    gaps = wanted.join(places, ["item_id", *keys]).groupBy("user_id").agg(F.sort_array(F.collect_set("idx")).alias("gaps"))
+    need = F.lit(n) - F.col("have")
+    shifted = F.filter(F.transform(F.coalesce("gaps", F.array().cast("array<int>")), lambda g, i: g - i), lambda g: g < need)
+    rows = have.join(gaps, "user_id", "left").select("user_id", *keys, "have", need.alias("need"), shifted.alias("before"))
+    rows = rows.select("user_id", *keys, "have", "before", F.explode(F.sequence(F.lit(0), (F.col("need") - 1).cast("int"))).alias("j"))
+    rows = rows.select("user_id", *keys, (F.col("have") + F.col("j")).alias("pos"), (F.col("j") + F.size(F.filter("before", lambda g: g <= F.col("j")))).cast("int").alias("idx"))
+    return rows.join(places, ["idx", *keys]).select("user_id", "item_id", "pos")
+
+
+def fill_up(candidates: DataFrame, popular: DataFrame, seen: DataFrame, n: int, users: DataFrame | None = None, favourites: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, pos, filled): users below ``n`` candidates get the most popular items that they have not seen.
 
     ``candidates`` needs ``rank``, ``popular`` (item_id, item_popularity) may be of any
     length.  Without ``users`` those without candidates are not added; with them every
-    listed user gets a list, and no other.  Popular items are numbered once; a user's
+    listed user gets a list, and no other.  With ``favourites`` (user_id, group) and
+    ``groups`` (item_id, group), say of verticals or regions, a user's favourite group
+    is drawn from first, then all items.  Popular items are numbered once; a user's
     own and seen items are gaps in these numbers, from which those of the items to add
     follow: the j-th free number is j plus the gaps before it.  So nobody's history is
     cut and no list is laid out for each user.
@@ -93,18 +111,21 @@ def fill_up(candidates: DataFrame, popular: DataFrame, seen: DataFrame, n: int,
     if users is not None:
         users = users.select("user_id").distinct()
         candidates = candidates.join(users, "user_id", "left_semi")
-    own = io.staged(candidates.select("user_id", "item_id", (F.row_number().over(order) - 1).alias("pos")).filter(F.col("pos") < n), "own")
-    have = own.groupBy("user_id").agg(F.count("*").alias("have"))
-    if users is not None:
-        have = users.join(have, "user_id", "left").select("user_id", F.coalesce("have", F.lit(0)).alias("have"))
-    have = have.filter(F.col("have") < n)
-    places = ids.numbered(popular.select("item_id", "item_popularity"), F.desc("item_popularity"), F.col("item_id")).select("item_id", "idx")
-    taken = own.select("user_id", "item_id").unionByName(seen.select("user_id", "item_id")).join(have.select("user_id"), "user_id", "left_semi")
-    gaps = taken.join(places, "item_id").groupBy("user_id").agg(F.sort_array(F.collect_set("idx")).alias("gaps"))
-    need = F.lit(n) - F.col("have")
-    shifted = F.filter(F.transform(F.coalesce("gaps", F.array().cast("array<int>")), lambda g, i: g - i), lambda g: g < need)
-    rows = have.join(gaps, "user_id", "left").select("user_id", "have", need.alias("need"), shifted.alias("before"))
-    rows = rows.select("user_id", "have", "before", F.explode(F.sequence(F.lit(0), (F.col("need") - 1).cast("int"))).alias("j"))
-    rows = rows.select("user_id", (F.col("have") + F.col("j")).alias("pos"), (F.col("j") + F.size(F.filter("before", lambda g: g <= F.col("j")))).alias("idx"))
-    extra = rows.join(places, "idx")
-    return own.select("user_id", "item_id", F.col("pos").cast("int").alias("pos"), F.lit(False).alias("filled")).unionByName(extra.select("user_id", "item_id", F.col("pos").cast("int").alias("pos"), F.lit(True).alias("filled")))
+    out = io.staged(candidates.select("user_id", "item_id", (F.row_number().over(order) - 1).cast("int").alias("pos"), F.lit(False).alias("filled")).filter(F.col("pos") < n), "own")
+    everyone = users if users is not None else out.select("user_id").distinct()
+    popular = popular.select("item_id", "item_popularity")
+    best = (F.desc("item_popularity"), F.col("item_id"))
+    rounds: list[tuple[DataFrame, list[str]]] = []
+    if favourites is not None and groups is not None:
+        places = ids.numbered(popular.join(groups.select("item_id", F.col("group").alias("grp")).filter("grp is not null"), "item_id"), F.col("grp"), *best)
+        first = io.staged(places.groupBy("grp").agg(F.min("idx").alias("first")), "groups")
+        rounds.append((places.join(first, "grp").select("item_id", "grp", (F.col("idx") - F.col("first")).alias("idx")), ["grp"]))
+    rounds.append((ids.numbered(popular, *best).select("item_id", "idx"), []))
+    for places, keys in rounds:
+        have = everyone.join(out.groupBy("user_id").agg(F.count("*").alias("have")), "user_id", "left").select("user_id", F.coalesce("have", F.lit(0)).alias("have")).filter(F.col("have") < n)
+        if keys:
+            have = have.join(favourites.select("user_id", F.col("group").alias("grp")), "user_id")
+        taken = out.select("user_id", "item_id").unionByName(seen.select("user_id", "item_id"))
+        more = _additions(have, places, taken, n, keys).select("user_id", "item_id", F.col("pos").cast("int").alias("pos"), F.lit(True).alias("filled"))
+        out = io.staged(out.unionByName(io.staged(more, "more")), "filled")
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import boosting
 
 CATEGORIES = ("vertical_id", "category_ext_y", "region_id_y", "loc_id_y")
-NUMBERS = ("als_score", "als_rank", "covisit_score", "covisit_rank", "in_als", "in_covisit", "item_popularity", "item_n_users", "user_top_vertical_match")
+NUMBERS = ("als_score", "als_rank", "covisit_score", "covisit_rank", "in_als", "in_covisit", "item_popularity", "item_n_users", "user_top_vertical_match", "user_n_items", "user_weight", "vertical_share", "category_share", "region_share")
 BUCKETS = 64
 
 

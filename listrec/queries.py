@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import events as ev
 from .jobs import next_items, recommend
-from .operators import als, boosting, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking, stats, target_stats
+from .operators import als, boosting, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking, semantic, stats, target_stats
 from .sources import adapters as ad
 from .sources import io
 
@@ -45,6 +47,11 @@ class Tables:
         io.write_stage(self.items, path)
         return io.read_items(self.spark, path)
 
+    @property
+    def bucketed(self) -> DataFrame:
+        """The window's events as a table in buckets of users."""
+        return io.bucketed(self.log, "log")
+
     @property
     def matrix(self) -> DataFrame:
         return covisit.build(self.log, min_users=MIN_USERS)
@@ -210,6 +217,8 @@ simple("c1_aggregate", lambda t: t.aggregated, "SELECT * FROM agg", "agg")
 simple("c2_keep_recent", lambda t: t.pairs, "SELECT * FROM pairs", "pairs")
 simple("c3_user_pairs", lambda t: covisit.user_pairs(t.log), "SELECT * FROM up", "up")
 simple("c4_pair_counts", lambda t: covisit.pair_counts(covisit.user_pairs(t.log), MIN_USERS), "SELECT * FROM pc", "pc")
+simple("c2_keep_recent_bucketed", lambda t: interactions.keep_recent(interactions.aggregate(ev.with_weight(t.bucketed, t.contacts)), RECENT), "SELECT * FROM pairs", "pairs")
+simple("c4_pair_counts_sketched", lambda t: covisit.pair_counts_sketched(covisit.user_pairs(t.bucketed), MIN_USERS), "SELECT * FROM pc", "pc")
 simple("c5_symmetrize", lambda t: covisit.symmetrize(covisit.pair_counts(covisit.user_pairs(t.log), MIN_USERS)), "SELECT * FROM sym", "sym")
 simple("c6_top_neighbors", lambda t: t.matrix, "SELECT * FROM matrix", "matrix")
 simple("c7_covisit_coverage", lambda t: rounded(stats.covisit_coverage(t.matrix, t.items), "share"), "SELECT count(*) AS n_edges, count(DISTINCT item_id) AS n_items, round(count(DISTINCT item_id) / (SELECT CAST(count(DISTINCT item_id) AS DOUBLE) FROM items), 6) AS share FROM matrix", "matrix", "items")
@@ -258,6 +267,25 @@ simple("h1_recall_at_k", lambda t: rounded(evaluate.recall_at_k(t.merged, "covis
 simple("h2_compare", lambda t: rounded(evaluate.compare(t.merged, ["als_score", "covisit_score"], t.targets, K), "recall", "gain", "relative_gain"), f"""
   SELECT score, round(recall, 6) AS recall, round(recall - base, 6) AS gain, round(CASE WHEN base > 0 THEN (recall - base) / base END, 6) AS relative_gain
   FROM (SELECT 'als_score' AS score, recall FROM ({_recall('als_score', K)}) UNION ALL SELECT 'covisit_score', recall FROM ({_recall('covisit_score', K)})), (SELECT recall AS base FROM ({_recall('als_score', K)}))""", "merged", "targets")
+def _drawn(seed: int = 42) -> str:
+    """The SQL of ``evaluate.drawn``."""
+    limits, total, term = [], 0.0, math.exp(-1)
+    for n in range(evaluate.MOST_DRAWN):
+        total, term = total + term, term / (n + 1)
+        limits.append(int(total * 2**32))
+    return f"len(list_filter({limits}, lambda x: CAST('0x' || substr(md5('{seed}:' || user_id || ':' || r), 1, 8) AS BIGINT) >= x))"
+
+
+def _user_recall(score: str, name: str) -> str:
+    return f"""(SELECT user_id, coalesce(h, 0) / n AS {name} FROM (SELECT user_id, CAST(count(*) AS DOUBLE) AS n FROM targets WHERE user_id IN (SELECT user_id FROM merged) GROUP BY user_id)
+    LEFT JOIN (SELECT user_id, count(*) AS h FROM (SELECT user_id, item_id FROM merged QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {score} DESC, item_id) <= {K}) JOIN targets USING (user_id, item_id) GROUP BY user_id) USING (user_id))"""
+
+
+simple("h2_paired_bootstrap", lambda t: rounded(evaluate.bootstrap(t.merged, ["als_score", "covisit_score"], t.targets, K), "gain", "low", "high", "better"), f"""
+  , per AS (SELECT * FROM {_user_recall("als_score", "a")} JOIN {_user_recall("covisit_score", "c")} USING (user_id)), reps AS (SELECT unnest(range(1, 201)) AS r),
+  each AS (SELECT r, sum(w * c) / sum(w) - sum(w * a) / sum(w) AS g FROM (SELECT *, {_drawn()} AS w FROM per, reps) GROUP BY r HAVING sum(w) > 0), l AS (SELECT list_sort(list(g)) AS g FROM each)
+  SELECT 'covisit_score' AS score, round((SELECT avg(c) - avg(a) FROM per), 6) AS gain, round(g[1 + CAST(floor(0.025 * len(g)) AS INTEGER)], 6) AS low, round(g[len(g) - CAST(floor(0.025 * len(g)) AS INTEGER)], 6) AS high,
+         round(len(list_filter(g, lambda x: x > 0)) / CAST(len(g) AS DOUBLE), 6) AS better FROM l""", "merged", "targets")
 simple("h3_popular_baseline", lambda t: rounded(evaluate.popular_baseline(t.top, t.targets, t.users), "recall"), """
   SELECT round(avg(coalesce(h, 0) / n), 6) AS recall, count(*) AS n_users FROM (SELECT user_id, CAST(count(*) AS DOUBLE) AS n FROM targets WHERE user_id IN (FROM users) GROUP BY user_id)
   LEFT JOIN (SELECT user_id, count(*) AS h FROM targets WHERE item_id IN (SELECT item_id FROM top) GROUP BY user_id) USING (user_id)""", "targets", "users", "top")
@@ -284,6 +312,19 @@ simple("l2_fill_up_listed", lambda t: recommend.complete(t.covisit.withColumn("r
   extra AS (SELECT user_id, item_id, have + row_number() OVER (PARTITION BY user_id ORDER BY item_popularity DESC, item_id) - 1 AS pos FROM (
     SELECT * FROM have, best WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = have.user_id AND o.item_id = best.item_id) AND NOT EXISTS (SELECT 1 FROM seen p WHERE p.user_id = have.user_id AND p.item_id = best.item_id)))
   SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM own UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extra WHERE pos < 12""", "ctop", "pop", "pool", "seen", "users")
+simple("l2_fill_up_favourites", lambda t: recommend.complete(t.covisit.filter("covisit_rank < 3").withColumn("rank", F.col("covisit_rank")), t.users, t.seen, t.pairs, t.pool, 14, t.vertical.select("user_id", F.col("top_vertical").alias("group")), t.items.select("item_id", F.col("vertical_id").alias("group"))), """
+  , own AS (SELECT user_id, item_id, covisit_rank AS pos FROM ctop WHERE covisit_rank < 3 AND user_id IN (FROM users)), have AS (SELECT user_id, count(item_id) AS have FROM users LEFT JOIN own USING (user_id) GROUP BY user_id),
+  best AS (SELECT item_id, item_popularity, vertical_id FROM pop JOIN pool USING (item_id) JOIN items USING (item_id)),
+  free AS (SELECT user_id, have, item_id, item_popularity, coalesce(vertical_id = top_vertical, false) AS liked FROM have LEFT JOIN vert USING (user_id), best
+    WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = have.user_id AND o.item_id = best.item_id) AND NOT EXISTS (SELECT 1 FROM seen p WHERE p.user_id = have.user_id AND p.item_id = best.item_id)),
+  extra AS (SELECT user_id, item_id, have + row_number() OVER (PARTITION BY user_id ORDER BY liked DESC, item_popularity DESC, item_id) - 1 AS pos FROM free)
+  SELECT user_id, item_id, CAST(pos AS INTEGER) AS pos, false AS filled FROM own UNION ALL SELECT user_id, item_id, CAST(pos AS INTEGER), true FROM extra WHERE pos < 14""", "ctop", "pop", "pool", "items", "vert", "seen", "users")
+simple("f6_profile_features", lambda t: rounded(features.with_profile(t.covisit, features.user_profile(t.pairs, t.items), t.items), "vertical_share", "category_share", "region_share"), """
+  , h AS (SELECT user_id, weight, vertical_id, category_ext_y, region_id_y FROM pairs JOIN items USING (item_id)), tot AS (SELECT user_id, count(*) AS user_n_items, CAST(sum(weight) AS BIGINT) AS user_weight FROM pairs GROUP BY user_id)
+  SELECT c.*, user_n_items, user_weight, round(coalesce((SELECT sum(weight) FROM h WHERE h.user_id = c.user_id AND h.vertical_id = i.vertical_id), 0) / user_weight, 6) AS vertical_share,
+    round(coalesce((SELECT sum(weight) FROM h WHERE h.user_id = c.user_id AND h.category_ext_y = i.category_ext_y), 0) / user_weight, 6) AS category_share,
+    round(coalesce((SELECT sum(weight) FROM h WHERE h.user_id = c.user_id AND h.region_id_y = i.region_id_y), 0) / user_weight, 6) AS region_share
+  FROM ctop c JOIN tot USING (user_id) LEFT JOIN items i USING (item_id)""", "ctop", "pairs", "items")
 simple("l3_balance_by_vertical", lambda t: ranking.balance_by_vertical(t.covisit, t.items, k=15, quota=3, depth=30, score_col="covisit_score"), """
   SELECT user_id, item_id, vertical_id, covisit_score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY over_q, d) - 1 AS pos FROM (
     SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, vertical_id ORDER BY d) > 3 THEN 1 ELSE 0 END AS over_q FROM (
@@ -418,6 +459,38 @@ def importances_given_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boosting.importances(leaves.select("tree", "node", "value", "rows", *none).unionByName(splits)), "importance")
 
 
+def _sid_sql(levels: int = 4, codes: int = 8) -> str:
+    """Codes of all vectors, level by level; the centres are given vectors, halved at each level."""
+    out = ["x0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"]
+    for k in range(levels):
+        near = f"SELECT x.vec_id, x.v, c.vec_id - {k * codes} AS code, list_transform(c.v, lambda y: y * {0.5**k}) AS m FROM x{k} x, (SELECT vec_id, v FROM x0 WHERE vec_id BETWEEN {k * codes} AND {(k + 1) * codes - 1}) c"
+        out.append(f"s{k} AS (SELECT vec_id, code AS sid_{k}, v, m FROM ({near}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) ** 2)), code) = 1)")
+        out.append(f"x{k + 1} AS (SELECT vec_id, list_transform(list_zip(v, m), lambda z: z[1] - z[2]) AS v FROM s{k})")
+    out.append(f"sids AS (SELECT vec_id AS item_id, {', '.join(f'CAST(sid_{k} AS INTEGER) AS sid_{k}' for k in range(levels))} FROM s0 {' '.join(f'JOIN s{k} USING (vec_id)' for k in range(1, levels))})")
+    return ", ".join(out)
+
+
+def _given_sids(t: Tables, levels: int = 4, codes: int = 8) -> DataFrame:
+    vectors = ad.factors(t.spark, t.dir)[1].select(F.col("id").alias("item_id"), "features")
+    rows = vectors.filter(F.col("item_id") < levels * codes).orderBy("item_id").collect()  # the given centres, a few
+    centres = [np.array([r["features"] for r in rows if k * codes <= r["item_id"] < (k + 1) * codes]) * 0.5**k for k in range(levels)]
+    return semantic.encode(vectors, centres)
+
+
+simple("sid_encode_given_codebooks", _given_sids, f", {_sid_sql()} SELECT * FROM sids", "ev")
+simple("sid_prefix_candidates", lambda t: semantic.prefix_candidates(t.pairs, _given_sids(t), t.popularity, t.pool, least=1, n=TOP), f"""
+  , {_sid_sql()}, u AS (SELECT user_id, weight, s.* EXCLUDE (item_id) FROM pairs JOIN sids s USING (item_id)), i AS (SELECT s.*, item_popularity FROM sids s JOIN pool USING (item_id) LEFT JOIN pop USING (item_id)),
+  hits AS ({" UNION ALL ".join(f"SELECT user_id, i.item_id, item_popularity, weight FROM u JOIN i ON {' AND '.join(f'u.sid_{j} = i.sid_{j}' for j in range(k + 1))}" for k in range(4))})
+  SELECT user_id, item_id, CAST(sum(weight) AS DOUBLE) AS sid_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY sum(weight) DESC, any_value(item_popularity) DESC NULLS LAST, item_id) - 1 AS INTEGER) AS sid_rank FROM hits GROUP BY user_id, item_id QUALIFY sid_rank < {TOP}""", "pairs", "pool", "pop")
+
+
+@register("sid_fitted_codes")
+def fitted_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes by centres learned from all vectors."""
+    vectors = ad.factors(spark, sf_dir)[1].select(F.col("id").alias("item_id"), "features")
+    return semantic.encode(vectors, semantic.fit_codebooks(vectors))
+
+
 @register("m3_lists_of_listed_users")
 def lists_of_listed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on mapping B for all customers, those without orders included."""

@@ -68,6 +68,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int | None = None, by: str = "user_id", within: tuple[str, ...] = ("timestamp", "item_id")) -> DataFrame:
+    """``df`` written once as a table in buckets of ``by``, each sorted; what reads it needs no exchange on ``by``.
+
+    The table lies in the shared folder; ``buckets`` default to the session's shuffle partitions.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(count, by).write.bucketBy(count, by).sortBy(by, *within).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_submission(ranked: DataFrame, path: str, k: int = 160, score_col: str = "rank_score") -> None:
     """At most ``k`` distinct items a user as a two-column CSV with a header."""
     one = ranked.groupBy("user_id", "item_id").agg(F.max(score_col).alias(score_col))

@@ -1,5 +1,6 @@
 """Hand-made fixtures; the expected rows are worked out by hand."""
 
+import hashlib
 import math
 import os
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listrec.functions import events as ev
-from listrec.operators import als, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking, stats
+from listrec.operators import als, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking, semantic, stats
 from listrec.sources import io
 
 H = 3_600_000
@@ -169,6 +170,26 @@ def test_fill_up_equals_brute_force(spark):
         assert rows(candidates.fill_up(c, frame(top, "item_id long, item_popularity long"), s, n, users)) == sorted(want)
 
 
+def test_fill_up_draws_from_the_favourite_group_first(spark):
+    rng = np.random.default_rng(12)
+    top = [(i, int(rng.integers(0, 30))) for i in range(60)]
+    group = {i: [None, 1, 2, 3][i % 4] for i in range(58)}
+    own = {u: rng.choice(80, int(rng.integers(0, 5)), replace=False).tolist() for u in range(20)}
+    seen = {u: set(rng.choice(80, int(rng.integers(0, 50)), replace=False).tolist()) for u in range(20)}
+    liked = {u: u % 5 for u in range(15)}  # some like a group that no item is in
+    frame = lambda r, s: spark.createDataFrame(r, s)
+    got = candidates.fill_up(
+        frame([(u, int(i), r) for u, v in own.items() for r, i in enumerate(v)], "user_id long, item_id long, rank int"), frame(top, "item_id long, item_popularity long"),
+        frame([(u, int(i)) for u, v in seen.items() for i in v], "user_id long, item_id long"), 12, frame([(u,) for u in range(20)], "user_id long"),
+        frame(list(liked.items()), "user_id long, group int"), frame(list(group.items()), "item_id long, group int"),
+    )
+    want = []
+    for u in range(20):
+        free = [i for i, _ in sorted(top, key=lambda r: (group.get(r[0]) is None or group.get(r[0]) != liked.get(u), -r[1], r[0])) if i not in own[u] and i not in seen[u]]
+        want += [(u, i, p, p >= len(own[u])) for p, i in enumerate((own[u] + free)[:12])]
+    assert rows(got) == sorted(want)
+
+
 def test_nothing_of_a_long_history_comes_back(spark):
     """150 items seen, far more than the capped history holds, some long before the window."""
     e = log(spark, [(1, i, (i - 100) * DAY + H, 1) for i in range(150)] + [(2, i, H, 1) for i in range(155)] + [(1, 152, H, 7)])
@@ -407,6 +428,90 @@ def test_ranker_prefers_the_telling_feature(spark):
     assert recall > 0.9 and not math.isnan(recall)
 
 
+def test_sketched_pair_counts_equal_the_exact_ones(spark):
+    """Also with a sketch so small that most cells are shared, and with ids of any sign."""
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(u, int(a), int(b)) for u in range(60) for a, b in rng.integers(-15, 15, (40, 2))], "user_id long, item_a long, item_b long").distinct().repartition(5)
+    want = rows(covisit.pair_counts(p, 3))
+    for width in (1 << 16, 50):
+        assert rows(covisit.pair_counts_sketched(p, 3, width)) == want and want
+    bounds = covisit.sketch(p, 1 << 16)
+    counts = {r[:2]: r[2] for r in map(tuple, covisit.pair_counts(p, 1).collect())}
+    assert covisit.frequent(p, bounds, 3).count() <= sum(n for n in counts.values() if n >= 3) + 20
+    assert covisit.pair_counts_sketched(p.limit(0), 3).count() == 0
+
+
+def test_bucketed_log_needs_no_exchange_on_the_user(spark):
+    e = log(spark, [(u, i, (u * 7 + i) * H, 20 if i % 5 else 1) for u in range(30) for i in range(8)])
+    b = io.bucketed(e, "log", 3)
+    assert rows(b) == rows(e)
+    weighted = ev.with_weight(b, contacts(spark))
+    for made, plain in (
+        (interactions.aggregate(weighted), interactions.aggregate(ev.with_weight(e, contacts(spark)))),
+        (interactions.keep_recent(interactions.aggregate(weighted), 3), interactions.keep_recent(interactions.aggregate(ev.with_weight(e, contacts(spark))), 3)),
+        (covisit.user_pairs(b), covisit.user_pairs(e)),
+    ):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan, plan
+        assert rows(made) == rows(plain)
+
+
+def test_bootstrap_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    preds = [(u, i, float(rng.random()), float(rng.random())) for u in range(40) for i in range(12)]
+    targets = [(u, int(i)) for u in range(5, 50) for i in rng.choice(12, 2, replace=False)]
+    got = evaluate.bootstrap(spark.createDataFrame(preds, "user_id long, item_id long, a double, b double"), ["a", "b"], spark.createDataFrame(targets, "user_id long, item_id long"), 4, replicates=50).first()
+    recall = {}
+    for u in range(5, 40):
+        for c in (2, 3):
+            top = {p[1] for p in sorted((p for p in preds if p[0] == u), key=lambda p: (-p[c], p[1]))[:4]}
+            recall[u, c] = len(top & {i for v, i in targets if v == u}) / 2
+    limits = [sum(math.exp(-1) / math.factorial(j) for j in range(n + 1)) * 2**32 for n in range(12)]
+
+    def weight(u, r):
+        x = int(hashlib.md5(f"42:{u}:{r}".encode()).hexdigest()[:8], 16)
+        return sum(x >= int(v) for v in limits)
+
+    gains = []
+    for r in range(1, 51):
+        w = {u: weight(u, r) for u in range(5, 40)}
+        gains.append(sum(w[u] * (recall[u, 3] - recall[u, 2]) for u in w) / sum(w.values()))
+    gains.sort()
+    assert got.gain == pytest.approx(np.mean([recall[u, 3] - recall[u, 2] for u in range(5, 40)]))
+    assert (got.low, got.high) == (pytest.approx(gains[1]), pytest.approx(gains[-2])) and got.better == pytest.approx(np.mean(np.array(gains) > 0))
+    assert abs(np.mean([weight(u, r) for u in range(100) for r in range(100)]) - 1) < 0.05
+
+
+def test_semantic_ids_find_items_that_nobody_visited_together(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(6, 10)) * 4
+    x = np.array([centre[i % 6] + 0.2 * rng.normal(size=10) for i in range(180)])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, features array<double>")
+    books = semantic.fit_codebooks(vectors, levels=3, codes=6)
+    codes = {r.item_id: tuple(r)[1:] for r in semantic.encode(vectors, books).collect()}
+    for i, v in enumerate(x):
+        rest, want = v.copy(), []
+        for b in books:
+            k = int(((rest - b) ** 2).sum(1).argmin())
+            want.append(k)
+            rest = rest - b[k]
+        assert codes[i] == tuple(want)
+    h = [(u, int(i), int(rng.integers(1, 4))) for u in range(6) for i in rng.choice(range(u % 3, 90, 3), 5, replace=False)]
+    pop = {i: int(rng.integers(0, 5)) for i in range(0, 180, 2)}
+    allowed = [i for i in range(180) if i % 5]
+    frame = lambda r, s: spark.createDataFrame(r, s)
+    for least, n in ((1, 7), (2, 200)):
+        got = semantic.prefix_candidates(frame(h, "user_id long, item_id long, weight int"), semantic.encode(vectors, books), frame(list(pop.items()), "item_id long, item_popularity long"), frame([(i,) for i in allowed], "item_id long"), 3, least, n)
+        want = []
+        for u in range(6):
+            score = {i: sum(w for k in range(least, 4) for v, j, w in h if v == u and codes[j][:k] == codes[i][:k]) for i in allowed}
+            top = sorted((i for i in allowed if score[i]), key=lambda i: (-score[i], -pop.get(i, -1), i))[:n]
+            want += [(u, i, float(score[i]), r) for r, i in enumerate(top)]
+        assert rows(got) == sorted(want)
+    matrix = frame([(1, 7, 3)], "item_id long, neighbor_id long, weight long")
+    assert {r.item_id for r in got.collect()} - {r.item_id for r in semantic.uncovered(got, matrix).collect()} <= {7}
+
+
 def test_no_single_partition_window_or_cartesian_product(spark):
     e = log(spark, [(1, 1, 1, 1)])
     plan = covisit.build(e)._jdf.queryExecution().executedPlan().toString()
