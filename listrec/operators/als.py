@@ -143,21 +143,23 @@ def _unpacked(longest: float, ids: bytes, factors: bytes) -> tuple[float, np.nda
 
 
 def _best(users: np.ndarray, floor: np.ndarray, blocks: Blocks, n: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Scores and ids of each user's best ``n`` among blocks of falling length, and how many blocks were scored.
+    """Scores and ids of each user's best ``n`` among blocks of falling length, and how many pairs of user and block were scored.
 
-    The product of two lengths bounds a score.  Once it is below what every user has
-    as their ``n``-th best (``floor`` to begin with), no later block is looked at.
+    The product of two lengths bounds a score.  Once it is below what a user has as
+    their ``n``-th best (``floor`` to begin with), no later block is looked at for them.
+    Lists that are not full end in scores of minus infinity.
     """
-    scores, ids, least, done = np.empty((len(users), 0)), np.empty((len(users), 0), np.int64), floor.copy(), 0
+    scores, ids, least, done = np.full((len(users), n), -np.inf), np.full((len(users), n), np.iinfo(np.int64).max), floor.copy(), 0
     size = np.sqrt((users * users).sum(axis=1))
     for longest, own, factors in blocks:
-        if (size * longest * (1 + SLACK) < least - np.abs(least) * SLACK).all():
+        open_ = np.nonzero(size * longest * (1 + SLACK) >= least - np.abs(least) * SLACK)[0]
+        if not len(open_):
             break
-        new = np.concatenate((scores, users @ factors.T), axis=1)
-        scores, ids = best_of(new, np.concatenate((ids, np.broadcast_to(own, (len(users), len(own)))), axis=1), n)
-        if scores.shape[1] >= n:
-            least = np.maximum(least, scores.min(axis=1))
-        done += 1
+        new = np.concatenate((scores[open_], users[open_] @ factors.T), axis=1)
+        names = np.concatenate((ids[open_], np.broadcast_to(own, (len(open_), len(own)))), axis=1)
+        scores[open_], ids[open_] = best_of(new, names, n)
+        least[open_] = np.maximum(least[open_], scores[open_].min(axis=1))
+        done += len(open_)
     return scores, ids, done
 
 
@@ -173,9 +175,10 @@ def _with_head(users: DataFrame, head: Blocks, n: int) -> DataFrame:
                 scores, ids, _ = _best(x, np.full(len(x), -np.inf), head, n)
                 order = np.lexsort((ids, -scores), axis=1)
                 scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-                full = scores.shape[1] >= n
-                pairs = pa.StructArray.from_arrays([pa.array(ids.ravel()), pa.array(scores.ravel())], ["item_id", "als_score"])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * scores.shape[1]), pairs)
+                held = min(n, sum(len(own) for _, own, _ in head))
+                scores, ids, full = scores[:, :held], ids[:, :held], held >= n
+                pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(ids).ravel()), pa.array(np.ascontiguousarray(scores).ravel())], ["item_id", "als_score"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * held), pairs)
                 floor = pa.array(scores[:, -1]) if full else pa.nulls(len(x), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("features"), floor, lists], ["id", "features", "floor", "best"])
 
@@ -204,11 +207,11 @@ def _user_blocks(users: DataFrame) -> DataFrame:
 
 
 def _beyond_head(users: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
-    """(user_id, item_id, als_score, scored, blocks): what the other items add to the users' lists.
+    """(user_id, item_id, als_score, scored): what the other items add to the users' lists.
 
     Each part of the items is held by a task and blocks of users stream past it; a user
     block comes to the parts only whose longest item can still enter a list.  Rows of
-    null items say how many blocks of a part a user block was scored with.
+    null items say how many pairs of user and block were scored.
     """
     longest = [(r["part"], r["m"]) for r in blocks.groupBy("part").agg(F.max("longest").alias("m")).collect()]
     reach = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(float(m)).alias("m")) for p, m in longest])
@@ -231,14 +234,14 @@ def _beyond_head(users: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
                 floor = np.frombuffer(floors, np.float64)
                 _, who, x = _unpacked(0.0, ids, factors)
                 scores, found, done = _best(x, floor, items, n)
-                row, col = np.nonzero(scores >= floor[:, None])
-                cols = [np.append(who[row], 0), np.append(found[row, col], 0), np.append(scores[row, col], 0.0), np.append(np.zeros(len(row), np.int32), np.int32(done)), np.append(np.zeros(len(row), np.int32), np.int32(len(items)))]
+                row, col = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+                cols = [np.append(who[row], 0), np.append(found[row, col], 0), np.append(scores[row, col], 0.0), np.append(np.zeros(len(row), np.int64), done)]
                 last = np.arange(len(row) + 1) == len(row)
-                arrays = [pa.array(c, mask=last) for c in cols[:3]] + [pa.array(c.astype(np.int32), mask=~last) for c in cols[3:]]
-                yield pa.RecordBatch.from_arrays(arrays, ["user_id", "item_id", "als_score", "scored", "blocks"])
+                arrays = [pa.array(c, mask=last) for c in cols[:3]] + [pa.array(cols[3], mask=~last)]
+                yield pa.RecordBatch.from_arrays(arrays, ["user_id", "item_id", "als_score", "scored"])
 
     tasks = held.unionByName(came).repartition("part", "run").sortWithinPartitions("part", "run", "kind", "block")
-    return tasks.mapInArrow(run, "user_id long, item_id long, als_score double, scored int, blocks int")
+    return tasks.mapInArrow(run, "user_id long, item_id long, als_score double, scored long")
 
 
 def _prepared(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame | None, n: int, parts: int | None, block: int, head: int) -> tuple[DataFrame, DataFrame | None]:
@@ -277,11 +280,9 @@ def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFram
 
 
 def pruned_share(user_factors: DataFrame, item_factors: DataFrame, n: int = 400, parts: int | None = None, block: int = BLOCK, head: int = HEAD) -> DataFrame:
-    """One row: pairs of user block and item block beyond the head that were ``scored``, and ``all_pairs`` of them."""
+    """One row: pairs of user and item block beyond the head that were ``scored``, and ``all_pairs`` of them."""
     _, rest = _prepared(user_factors, item_factors, None, n, parts, block, head)
-    items = item_factors.count()
-    users = -(-user_factors.count() // TOGETHER)
-    every = max(0, -(-items // block) - head) * users
+    every = max(0, -(-item_factors.count() // block) - head) * user_factors.count()
     found = rest.agg(F.coalesce(F.sum("scored"), F.lit(0)).cast("long").alias("scored")) if rest is not None else item_factors.sparkSession.range(1).select(F.lit(0).cast("long").alias("scored"))
     return found.withColumn("all_pairs", F.lit(every).cast("long"))
 
