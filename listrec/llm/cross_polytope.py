@@ -344,7 +344,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     repeated = cut(whole.groupBy("d1", "d2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "repeated")
     joined = whole.join(F.broadcast(repeated) if repeated.count() <= FEW else repeated, ["d1", "d2"], "left")
     once = joined.filter("n is null").withColumns({"least": F.col("vec_id"), "n": F.lit(1).cast("long")})
-    one_of = joined.filter(F.col("n").isNotNull() & F.col("vec_id").eqNullSafe(F.col("least"))).dropDuplicates(["d1", "d2"])
+    one_of = cut(joined.filter(F.col("n").isNotNull() & F.col("vec_id").eqNullSafe(F.col("least"))).dropDuplicates(["d1", "d2"]), "one_of")
     distinct = once.unionByName(one_of).select("label", "embedding", "least", "n", "d1", "d2", F.monotonically_increasing_id().alias("node"))
     heads = cut(sketched(distinct), "sketches")
     found = cut(compared(dealt(heads.select("label", "size", "node", "n", "first", "pack")), least), "found")
