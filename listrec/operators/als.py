@@ -282,7 +282,7 @@ def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFram
 def pruned_share(user_factors: DataFrame, item_factors: DataFrame, n: int = 400, parts: int | None = None, block: int = BLOCK, head: int = HEAD) -> DataFrame:
     """One row: pairs of user and item block beyond the head that were ``scored``, and ``all_pairs`` of them."""
     _, rest = _prepared(user_factors, item_factors, None, n, parts, block, head)
-    every = max(0, -(-item_factors.count() // block) - head) * user_factors.count()
+    every = max(0, item_blocks(item_factors, parts, block).count() - head) * user_factors.count()
     found = rest.agg(F.coalesce(F.sum("scored"), F.lit(0)).cast("long").alias("scored")) if rest is not None else item_factors.sparkSession.range(1).select(F.lit(0).cast("long").alias("scored"))
     return found.withColumn("all_pairs", F.lit(every).cast("long"))
 
