@@ -15,13 +15,15 @@ same sample wherever it runs.
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,12 @@ BYTES = 0xF0000
 WORD = re.compile(f"{BLANK}+[^{BLANK}\U000F0000-\U000F00FF]*|[^{BLANK}\U000F0000-\U000F00FF]+|[\U000F0000-\U000F00FF]")
 #: Characters of texts that are worked on together; a longer text goes alone.
 TOGETHER = 2_000_000
+#: Characters of words whose lattices are built together.
+BUILD = 100_000
+#: Characters of the words that are known at most when a batch begins; beyond it they are forgotten and met anew.
+KNOWN = 2_000_000
+#: Foreign characters of a batch that are replaced one after the other; more are replaced by the pattern.
+FEW = 8
 #: Sets this far (in log-probability) below the first of a path are drawn as one, and split if they are ever opened.
 DEPTH = 20.0
 #: Random numbers drawn ahead for each path of a text.
@@ -111,7 +119,7 @@ def vocabulary(model: str = MODEL, temper: float = TEMPER) -> Vocabulary:
     byte_ids = np.array([p.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
     ids = {p.id_to_piece(i): i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))}
     single = {w for w in ids if len(w) == 1}
-    if any(not set(w) <= single or len(WORD.findall(w)) > 1 for w in ids):
+    if "\n" in single or any(not set(w) <= single or len(WORD.findall(w)) > 1 for w in ids):
         raise ValueError("a piece of the model goes past a word or holds a character that is no piece")
     ids |= {chr(BYTES + b): i for b, i in enumerate(byte_ids.tolist())}
     longer: dict[tuple[int, int], int] = {}
@@ -140,21 +148,50 @@ def vocabulary(model: str = MODEL, temper: float = TEMPER) -> Vocabulary:
     return Vocabulary(p, ids, weight, byte_ids, slot_key, slot_child, np.array(piece, np.int32), one, foreign)
 
 
-def marked(text: str | None, v: Vocabulary) -> str:
-    """The text as it is spelled: blanks marked, one in front, foreign characters as bytes.
+def spelled(chars: str) -> str:
+    """The bytes of foreign characters, each as a word of its own."""
+    return "\n" + "\n".join([chr(BYTES + b) for b in chars.encode("utf-8", "replace")]) + "\n"
 
-    A literal U+2581 is foreign, so that decoding returns it.
+
+def split(texts: list[str | None], v: Vocabulary) -> Iterator[list[str]]:
+    """The words of each text as it is spelled: blanks marked, one in front, foreign characters as bytes.
+
+    A literal U+2581 is foreign, so that decoding returns it.  No piece holds a line
+    break, so line breaks part the words meanwhile.
     """
-    if not text:
-        return ""
-    spelled = v.foreign.sub(lambda m: "".join([chr(BYTES + b) for b in m[0].encode("utf-8", "replace")]), text)
-    return BLANK + spelled.replace(" ", BLANK)
+    seen = np.zeros(0x110000, bool)
+    for t in texts:
+        if t:
+            seen[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] = True
+    found = [c for c in map(chr, np.nonzero(seen)[0].tolist()) if v.foreign.match(c)]
+    few = None
+    if len(found) <= FEW and not any(BYTES <= ord(c) < BYTES + 256 for c in found):
+        few = [(c, spelled(c)) for c in sorted(found, key="\n".__ne__)]  # line breaks first, as the others bring some
+    for t in texts:
+        if not t:
+            yield []
+            continue
+        if few is None:
+            t = v.foreign.sub(lambda m: spelled(m[0]), t)
+        else:
+            for c, instead in few:
+                t = t.replace(c, instead)
+        t = f" {t}".replace(" ", f"\n{BLANK}")
+        while f"{BLANK}\n{BLANK}" in t:  # a run of blanks is one mark
+            t = t.replace(f"{BLANK}\n{BLANK}", BLANK * 2)
+        yield list(filter(None, t.split("\n")))
 
 
 def best_pieces(words: list[str], v: Vocabulary) -> list[list[int]]:
     """Best segmentation of each word by the processor, which puts a mark before every text."""
     inner = [w[1:].replace(BLANK, " ") if w[0] == BLANK else "\n" + w for w in words]  # no mark goes on after a line break
-    found = v.processor.encode(inner, num_threads=1) if inner else []  # the executor has tasks for its other cores
+    collects = gc.isenabled()
+    gc.disable()  # so many new lists would set off collections, and none of them is in a cycle
+    try:
+        found = v.processor.encode(inner, num_threads=1) if inner else []  # the executor has tasks for its other cores
+    finally:
+        if collects:
+            gc.enable()
     for i, w in enumerate(words):
         if w[0] != BLANK:
             found[i] = [v.ids[w]] if BYTES <= ord(w[0]) < BYTES + 256 else found[i][2:]
@@ -165,7 +202,7 @@ def best_pieces(words: list[str], v: Vocabulary) -> list[list[int]]:
 
 def encode(text: str | None, v: Vocabulary) -> list[int]:
     """Best segmentation of one text."""
-    return [i for ids in best_pieces(WORD.findall(marked(text, v)), v) for i in ids]
+    return [i for ids in best_pieces(next(split([text], v)), v) for i in ids]
 
 
 def decode(ids: Sequence[int], v: Vocabulary) -> str:
@@ -173,86 +210,122 @@ def decode(ids: Sequence[int], v: Vocabulary) -> str:
     return v.processor.decode([int(i) for i in ids]) if len(ids) else ""
 
 
+def weigh(pieces: np.ndarray, then: np.ndarray, first: np.ndarray, last: np.ndarray, weight: np.ndarray, at_distance: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Probabilities of the edges by backward sums, all states at one distance from their word's end together.
+
+    Near the end they are plain sums of products, further off sums of logarithms.
+    """
+    n, linear = len(first), len(at_distance) <= PLAIN or int(at_distance[:PLAIN].sum())
+    near = n if linear is True else linear
+    plain, beta, w = np.exp(weight)[pieces], np.ones(n + 1), None
+    states = np.cumsum(at_distance)
+    for d, (a, b) in enumerate(zip(states[:-1].tolist(), states[1:].tolist(), strict=True), 1):
+        if a == b:
+            continue
+        lo, hi = int(first[a]), int(last[b - 1]) + 1
+        firsts = first[a:b] - lo
+        if b <= near:
+            beta[a:b] = np.add.reduceat(plain[lo:hi] * beta[then[lo:hi]], firsts)
+            continue
+        if w is None:
+            w, logs = weight[pieces], np.log(beta)
+        x = w[lo:hi] + logs[then[lo:hi]]
+        top = np.maximum.reduceat(x, firsts)
+        logs[a:b] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[a:b])), firsts))
+    cut = int(first[near]) if near < n else len(plain)
+    p = plain[:cut] * beta[then[:cut]] / np.repeat(beta[:near], count[:near])
+    if near < n:
+        far = np.exp(w[cut:] + logs[then[cut:]] - np.repeat(logs[near:n], count[near:]))
+        p = np.concatenate((p, far))
+    p = np.minimum(p, 1 - 2.0**-53)
+    p[first[count == 1]] = 1.0  # where there is no other edge, and only there
+    return p
+
+
+def longer(a: np.ndarray, parts: Sequence[np.ndarray]) -> np.ndarray:
+    """An array with others behind it; where they are put there is room for more, so that few are copied."""
+    n, room = len(a) + sum(map(len, parts)), a.base
+    if room is None or len(room) < n:
+        room = np.empty(n + n // 2, a.dtype)
+        room[: len(a)] = a
+    np.concatenate(parts, out=room[len(a) : n])
+    return room[:n]
+
+
 class Lattice:
     """Lattices of words: a state is a position in a word, an edge a piece that matches there.
 
-    States are numbered by their distance from the end of their word; a word's first
-    state is in ``start``, and all words end in the state ``end``.  The edges of a
-    state are ``first`` to ``last``, shortest piece first.  ``p`` is an edge's
+    A word's first state is in ``start``, and all words end in the state ``end``, the
+    first of all; words that are added get the numbers after those there.  The edges
+    of a state begin in ``first`` and end where those of the next state begin, shortest piece first.  ``p`` is an edge's
     probability among all ways to spell the rest of the word.
     """
 
+    end = 0
+
     def __init__(self, words: list[str], v: Vocabulary) -> None:
+        self.start, self.first = np.empty(0, np.int64), np.zeros(2, np.int32)
+        self.piece, self.then, self.p = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)
+        self.add(words, v)
+
+    def add(self, words: list[str], v: Vocabulary) -> None:
         size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, size.sum(), BUILD))).tolist()
+        built, state, edge = [], len(self.first) - 1, len(self.p)
+        for a, b in zip(cuts, [*cuts, len(words)][1:], strict=True):
+            built.append(self.build(words[a:b], size[a:b], v, state, edge))
+            state, edge = state + len(built[-1][1]), edge + len(built[-1][2])
+        for name, parts in zip(("start", "first", "piece", "then", "p"), zip(*built, strict=True), strict=bool(built)):
+            setattr(self, name, longer(getattr(self, name), parts))
+
+    def build(self, words: list[str], size: np.ndarray, v: Vocabulary, state: int, edge: int) -> tuple[np.ndarray, ...]:
+        """The lattices of some words, whose states and edges are numbered from ``state`` and ``edge`` on.
+
+        States come by their distance from the end of their word.
+        """
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        n = self.end = len(codes)
+        n = len(codes)
         begins = np.cumsum(size) - size
         word_end = np.repeat(begins + size, size)
         left = word_end - np.arange(n)
         order = np.argsort(left.astype(np.int16) if n and left.max() < 1 << 15 else left, kind="stable")  # short keys sort faster
-        number = np.empty(n, np.int64)
+        number = np.empty(n + 1, np.int64)
         number[order] = np.arange(n)
-        self.start = number[begins]
+        number[n] = n
         count = np.zeros(n, np.int64)
         found, at, length, prefix = [], np.arange(n), 1, v.single[codes]
         while len(at):
             there = v.piece[prefix]
-            hit = there >= 0
-            to = at[hit] + length
-            state = number[at[hit]]
-            found.append((state, there[hit], np.where(to == word_end[at[hit]], n, number[np.minimum(to, n - 1)])))
-            count[state] += 1
-            on = at + length < word_end[at]
-            at, prefix = at[on], v.child(prefix[on], codes[at[on] + length])
-            on, length = prefix >= 0, length + 1
+            hit = np.nonzero(there >= 0)[0]
+            of = at[hit]
+            to = of + length
+            from_state = number[of]
+            found.append((from_state, there[hit], np.where(to == word_end[of], n, number[to])))
+            count[from_state] += 1
+            on = np.nonzero(at + length < word_end[at])[0]
+            at = at[on]
+            prefix = v.child(prefix[on], codes[at + length])
+            on, length = np.nonzero(prefix >= 0)[0], length + 1
             at, prefix = at[on], prefix[on]
         ends = np.cumsum(count)
-        self.first, self.last = ends - count, ends - 1
+        first, last = ends - count, ends - 1
         edges = int(ends[-1]) if n else 0
-        self.piece, self.then = np.empty(edges, np.int32), np.empty(edges, np.int32)
-        filled = self.first.copy()
-        for state, piece, then in found:
-            e = filled[state]
-            self.piece[e], self.then[e] = piece, then
-            filled[state] += 1
-        del found, codes, word_end
-        self.weigh(v.weight, np.bincount(left), count)
-
-    def weigh(self, weight: np.ndarray, at_distance: np.ndarray, count: np.ndarray) -> None:
-        """Backward sums, all states at one distance from their word's end together.
-
-        Near the end they are plain sums of products, further off sums of logarithms.
-        """
-        n, linear = self.end, len(at_distance) <= PLAIN or int(at_distance[:PLAIN].sum())
-        near = n if linear is True else linear
-        plain, beta, w = np.exp(weight)[self.piece], np.ones(n + 1), None
-        states = np.cumsum(at_distance)
-        for d, (a, b) in enumerate(zip(states[:-1].tolist(), states[1:].tolist(), strict=True), 1):
-            if a == b:
-                continue
-            lo, hi = int(self.first[a]), int(self.last[b - 1]) + 1
-            firsts = self.first[a:b] - lo
-            if b <= near:
-                beta[a:b] = np.add.reduceat(plain[lo:hi] * beta[self.then[lo:hi]], firsts)
-                continue
-            if w is None:
-                w, logs = weight[self.piece], np.log(beta)
-            x = w[lo:hi] + logs[self.then[lo:hi]]
-            top = np.maximum.reduceat(x, firsts)
-            logs[a:b] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[a:b])), firsts))
-        cut = int(self.first[near]) if near < n else len(plain)
-        self.p = plain[:cut] * beta[self.then[:cut]] / np.repeat(beta[:near], count[:near])
-        if near < n:
-            far = np.exp(w[cut:] + logs[self.then[cut:]] - np.repeat(logs[near:n], count[near:]))
-            self.p = np.concatenate((self.p, far))
-        self.p = np.minimum(self.p, 1 - 2.0**-53)
-        self.p[self.first[count == 1]] = 1.0  # where there is no other edge, and only there
+        pieces, then = np.empty(edges, np.int32), np.empty(edges, np.int32)
+        filled = first.copy()
+        for from_state, piece, to in found:
+            e = filled[from_state]
+            pieces[e], then[e] = piece, to
+            filled[from_state] += 1
+        p = weigh(pieces, then, first, last, v.weight, np.bincount(left), count)
+        then = np.where(then == n, self.end, then + state).astype(np.int32)
+        return number[begins] + state, (ends + edge).astype(np.int32), pieces, then, p
 
     def walk(self, state: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a random path from each state to its word's end, path after path, and where each begins."""
         who, count, steps = np.arange(len(state)), np.zeros(len(state), np.int64), []
         while len(state):
-            u, e, last = uniform(seed), self.first[state], self.last[state]
+            u, e, last = uniform(seed), self.first[state].astype(np.int64), self.first[state + 1] - 1
             u -= self.p[e]
             on = np.nonzero((u > 0) & (e < last))[0]
             while len(on):
@@ -272,8 +345,8 @@ class Lattice:
 
     def left(self, edge: int, out: set[int]) -> np.ndarray:
         """The edges of an edge's state less those in ``out``."""
-        state = int(np.searchsorted(self.first, edge, side="right")) - 1
-        return np.array([e for e in range(self.first[state], self.last[state] + 1) if e not in out], np.int64)
+        state = int(np.searchsorted(self.first, np.int32(edge), side="right")) - 1
+        return np.array([e for e in range(self.first[state], self.first[state + 1]) if e not in out], np.int64)
 
     def others(self, edges: np.ndarray) -> np.ndarray:
         """Log-probability of the other edges of each edge's state."""
@@ -436,31 +509,52 @@ def sample(words: np.ndarray, bounds: np.ndarray, keys: list[int], k: int, t: La
     return found
 
 
-class Numbers(dict):
-    """Numbers words as they come up."""
+def key_of(doc_id: int | None, seed: int) -> int:
+    return xxhash.xxh64_intdigest(str(doc_id).encode(), seed)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
 
+class Known:
+    """The words met so far: their numbers, best ids (those of a word begin in ``begins``, and ``size`` says how many) and lattices."""
 
-def key_of(doc_id: int | None, seed: int) -> int:
-    return xxhash.xxh64_intdigest(str(doc_id).encode(), seed)
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__  # words are numbered as they come up
+        self.ids, self.begins, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.lattice = Lattice([], self.v)
+
+    def meet(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of each text's words; new ones are segmented and get their lattices."""
+        if len(self.lattice.first) > KNOWN:
+            self.forget()
+        old = len(self.numbers)
+        per = [np.array([*map(self.numbers.__getitem__, words)], np.int64) for words in split(texts, self.v)]
+        new = list(islice(self.numbers, old, None))
+        best = best_pieces(new, self.v)
+        size = np.fromiter(map(len, best), np.int64, len(best))
+        self.begins = np.concatenate((self.begins, len(self.ids) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(best), np.int32, size.sum())))
+        self.lattice.add(new, self.v)
+        return per
 
 
-def segment(texts: list[str | None], keys: list[int], k: int, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[Search]]:
-    """Best ids of all texts end to end, where each text's begin, and the searches with their paths."""
-    numbers = Numbers()
-    per = [np.array(list(map(numbers.__getitem__, WORD.findall(marked(t, v)))), np.int64) for t in texts]
+def segment(texts: list[str | None], keys: list[int], k: int, v: Vocabulary, known: Known | None = None) -> tuple[np.ndarray, np.ndarray, list[Search]]:
+    """Best ids of all texts end to end, where each text's begin, and the searches with their paths.
+
+    ``known`` has the words of earlier texts and gets those of these; the results are the same without it.
+    """
+    known = known or Known(v)
+    per = known.meet(texts)
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in per]))).astype(np.int64)
-    words, kinds = np.concatenate(per), list(numbers)
-    best = best_pieces(kinds, v)
-    size = np.fromiter(map(len, best), np.int64, len(best))
-    flat = np.fromiter(chain.from_iterable(best), np.int32, size.sum())
-    own = size[words]
+    words = np.concatenate(per)
+    own = known.size[words]
     ends = np.cumsum(own)
-    ids = flat[np.repeat((np.cumsum(size) - size)[words] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
-    return ids, np.concatenate(([0], ends))[bounds], sample(words, bounds, keys, k, Lattice(kinds, v))
+    ids = known.ids[np.repeat(known.begins[words] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+    return ids, np.concatenate(([0], ends))[bounds], sample(words, bounds, keys, k, known.lattice)
 
 
 def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), together: int = TOGETHER) -> DataFrame:
@@ -482,19 +576,20 @@ def encode_documents(documents: DataFrame, k: int = 2, seed: int = 42, model: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
+        known = Known(v)
         for b in batches:
             at, size = 0, 0
             texts, docs = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             for end in range(b.num_rows):
                 size += len(texts[end] or "")
                 if size > together or end + 1 == b.num_rows:
-                    yield part(b.slice(at, end + 1 - at), texts[at : end + 1], docs[at : end + 1], v)
+                    yield part(b.slice(at, end + 1 - at), texts[at : end + 1], docs[at : end + 1], known)
                     at, size = end + 1, 0
 
-    def part(b: pa.RecordBatch, texts: list[str | None], docs: list[int | None], v: Vocabulary) -> pa.RecordBatch:
-        ids, bounds, found = segment(texts, [key_of(d, seed) for d in docs], k, v)
+    def part(b: pa.RecordBatch, texts: list[str | None], docs: list[int | None], known: Known) -> pa.RecordBatch:
+        ids, bounds, found = segment(texts, [key_of(d, seed) for d in docs], k, known.v, known)
         flat, cuts = ids.tolist(), bounds.tolist()
-        back = v.processor.decode([flat[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], num_threads=1)
+        back = known.v.processor.decode([flat[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], num_threads=1)
         same = [x == (t or "") for x, t in zip(back, texts, strict=True)]
         empty = np.empty(0, np.int64)
         paths = [p for s in found for p in ([(o.edges, float(o.before[-1]), s.inclusion(o)) for o in s.opened] or [(empty, 0.0, 1.0)])]

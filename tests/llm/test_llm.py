@@ -468,6 +468,34 @@ def test_a_text_gets_the_same_sample_in_any_company(vocab):
         assert [p[0] for p in paths_of(t, keys[i], 3, vocab)] == [tuple(s.t.piece[o.edges].tolist()) for o in s.opened]
 
 
+@pytest.mark.parametrize("most", [10**9, 400, 0])
+def test_words_met_before_are_not_segmented_again_and_change_nothing(vocab, monkeypatch, most):
+    """Also when known words are forgotten in between."""
+    asked, best = [], pieces.best_pieces
+    monkeypatch.setattr(pieces, "best_pieces", lambda words, v: asked.extend(words) or best(words, v))
+    monkeypatch.setattr(pieces, "KNOWN", most)
+    monkeypatch.setattr(pieces, "BUILD", 50)
+    known, batches = pieces.Known(vocab), [["the cat sat", "a cat\nsat"], ODD, [None, ""], ["the cat", None, *ODD], [t for _, t in corpus(4)], ODD]
+
+    def figures(texts, *known):
+        ids, bounds, found = pieces.segment(texts, list(range(len(texts))), 3, vocab, *known)
+        return ids.tolist(), bounds.tolist(), [[(s.t.piece[o.edges].tolist(), float(o.before[-1]), s.inclusion(o)) for o in s.opened] for s in found]
+
+    alone = [figures(texts) for texts in batches]
+    asked.clear()
+    assert [figures(texts, known) for texts in batches] == alone
+    assert (len(asked) == len(set(asked))) == (most == 10**9)
+
+
+def test_words_are_those_of_the_pattern(vocab):
+    rng = random.Random(8)
+    texts = [*ODD, None, "", "\U000F0100", *["".join(rng.choice("ab  \n\n.é日▁\t") for _ in range(40)) for _ in range(300)]]
+    spell = lambda t: vocab.foreign.sub(lambda m: "".join(chr(pieces.BYTES + b) for b in m[0].encode()), t)
+    want = [pieces.WORD.findall(pieces.BLANK + spell(t).replace(" ", pieces.BLANK)) if t else [] for t in texts]
+    assert list(pieces.split(texts, vocab)) == want
+    assert [next(pieces.split([t], vocab)) for t in texts] == want  # one text has few foreign characters, all have many
+
+
 # 6 ---------------------------------------------------------------------------
 
 
