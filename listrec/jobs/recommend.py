@@ -9,25 +9,25 @@ in, and who has too few candidates gets popular items.  ``run`` does both.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import events as ev
-from ..operators import als, boosting, candidates, covisit, evaluate, features, ids, interactions, pool, popularity, ranking
+from ..operators import als, als_blocks, boosting, candidates, covisit, evaluate, features, interactions, pool, popularity, ranking
 from ..sources import io
 
 
 def item_factors(pairs: DataFrame, rank: int = 32, iterations: int = 15) -> DataFrame:
-    """(id, features) of the items of ALS trained on the pairs."""
-    user_index, item_index = ids.dense_index(pairs, "user_id"), ids.dense_index(pairs, "item_id")
-    model = als.fit(ids.encode(pairs, user_index, item_index), rank=rank, iterations=iterations)
-    return model.itemFactors.join(item_index, F.col("id") == F.col("idx")).select(F.col("item_id").alias("id"), "features")
+    """(id, features) of the items of ALS trained on the pairs, which should lie in files; written."""
+    return als_blocks.train(pairs, rank=rank, iterations=iterations, users=False).itemFactors
 
 
 def als_candidates(pairs: DataFrame, allowed: DataFrame, rank: int = 32, iterations: int = 15, n: int = 400) -> DataFrame:
     """Train ALS on the pairs and score every user by folding in their history."""
-    return als.recommend_from_history(pairs, io.staged(item_factors(pairs, rank, iterations), "factors"), allowed, n)
+    pairs = io.staged(pairs, "pairs")
+    return als.recommend_from_history(pairs, item_factors(pairs, rank, iterations), allowed, n)
 
 
 def history_of(events: DataFrame, contacts: DataFrame, cutoff_ms: int, days: int, recent: int) -> DataFrame:
@@ -85,13 +85,21 @@ def load(spark: SparkSession, path: str) -> Trained:
     return Trained(*(spark.read.parquet(f"{path}/{name}") for name in TABLES), boosting.load(spark, f"{path}/ranker"), **own)
 
 
-def feature_table(model: Trained, items: DataFrame, history: DataFrame, seen: DataFrame, targets: DataFrame | None) -> DataFrame:
-    """Features of the unseen candidates of both sources for the users with a history."""
-    found = als.recommend_from_history(history, model.factors, model.pool, model.n)
+def feature_table(model: Trained, items: DataFrame, popular: DataFrame, laid: DataFrame, history: DataFrame, seen: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """Features of the unseen candidates of both sources for the users with a history.
+
+    ``popular`` is the popularity of the model's pairs, ``laid`` its factors in blocks.
+    """
+    found = als.recommend_from_history(history, model.factors, model.pool, model.n, laid=laid)
     merged = candidates.merge(found, covisit_lists(history, model.matrix, model.pool, model.n))
     fresh = candidates.exclude_seen(merged, seen)
-    rows = features.build_merged(fresh, items, popularity.item_popularity(model.pairs), features.user_top_vertical(history, items), targets)
-    return io.staged(features.with_profile(rows, features.user_profile(history, items), items), "features")
+    rows = features.build_merged(fresh, items, popular, features.user_top_vertical(history, items), targets)
+    return features.with_profile(rows, features.user_profile(history, items), items)
+
+
+def _about_items(model: Trained) -> tuple[DataFrame, DataFrame]:
+    """What ``feature_table`` wants to know of the items, written."""
+    return io.staged(popularity.item_popularity(model.pairs), "popular"), als.laid_out(model.factors, model.pool)
 
 
 def train(
@@ -118,20 +126,40 @@ def train(
     pairs = io.staged(history_of(events, contacts, threshold_ms, days, recent), "pairs")
     model = Trained(
         pairs, io.staged(pool.allowed_items(items, pairs), "pool"), io.staged(covisit.build(ev.in_window(events, threshold_ms, days), min_users=min_users), "matrix"),
-        io.staged(item_factors(pairs, rank, iterations), "factors"), None, threshold_ms, days, recent, n,
+        item_factors(pairs, rank, iterations), None, threshold_ms, days, recent, n,
     )
     targets = io.staged(evaluate.holdout_targets(events, contacts, threshold_ms), "targets")
     who = targets.select("user_id").distinct()
     seen = interactions.touched(events.join(who, "user_id", "left_semi"), threshold_ms)
-    known = feature_table(model, items, pairs.join(who, "user_id", "left_semi"), seen, targets)
+    with io.passing(spark):
+        known = io.staged(feature_table(model, items, *_about_items(model), io.staged(pairs.join(who, "user_id", "left_semi"), "own"), seen, targets), "features")
     fitted, val = ranking.split_by_user(known)
     model.ranker = ranking.fit(fitted, val, rounds=rounds, depth=depth, k=k)
     return model, evaluate.recall_at_k(ranking.score(model.ranker, val), "rank_score", targets, k)
 
 
-def ranked_lists(model: Trained, items: DataFrame, history: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    """(user_id, item_id, vertical_id, rank_score, pos): at most ``k`` unseen items a user with a history."""
-    return ranking.balance_by_vertical(ranking.score(model.ranker, feature_table(model, items, history, seen, None)), items, k)
+#: Candidates, of both sources before they are merged, that are ranked at a time.
+AT_ONCE = 8_000_000
+
+
+def ranked_lists(model: Trained, items: DataFrame, history: DataFrame, seen: DataFrame, k: int, at_once: int = AT_ONCE) -> DataFrame:
+    """(user_id, item_id, vertical_id, rank_score, pos): at most ``k`` unseen items a user with a history; written.
+
+    A user's candidates are many times their list, so users are ranked in slices by a
+    hash of the id, and only the lists of a slice are kept: the disk does not
+    grow with candidates.  ``history`` and ``seen`` are read once a slice and should
+    lie in files.
+    """
+    spark = history.sparkSession
+    slices = max(1, -(-history.select("user_id").distinct().count() * 2 * model.n // at_once))
+    popular, laid = _about_items(model)
+    found: list[DataFrame] = []
+    for i in range(slices):
+        inside = F.pmod(F.xxhash64("user_id"), F.lit(slices)) == i
+        with io.passing(spark):
+            rows = io.staged(feature_table(model, items, popular, laid, io.staged(history.filter(inside), "slice"), seen.filter(inside), None), "features")
+            found.append(io.staged(ranking.balance_by_vertical(ranking.score(model.ranker, rows), items, k), "ranked"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def lists(model: Trained, items: DataFrame, contacts: DataFrame, users: DataFrame, user_events: DataFrame, k: int = 160) -> DataFrame:

@@ -7,17 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import io
+from . import als_blocks
 
 
-def fit(encoded: DataFrame, rank: int = 32, reg: float = 0.1, iterations: int = 15, alpha: float = 1.0, seed: int = 42) -> ALSModel:
-    """Train on (user_idx, item_idx, weight) by Spark ML's implicit ALS."""
-    als = ALS(rank=rank, maxIter=iterations, regParam=reg, implicitPrefs=True, alpha=alpha, seed=seed, userCol="user_idx", itemCol="item_idx", ratingCol="weight", checkpointInterval=5)
-    return als.fit(encoded)
+def fit(encoded: DataFrame, rank: int = 32, reg: float = 0.1, iterations: int = 15, alpha: float = 1.0, seed: int = 42) -> als_blocks.Factors:
+    """Train implicit ALS on (user_idx, item_idx, weight), a few blocks at a time."""
+    model = als_blocks.train(io.staged(encoded, "encoded"), "user_idx", "item_idx", rank, reg, iterations, alpha, seed)
+    model.userFactors, model.itemFactors = (f.withColumn("id", F.col("id").cast("int")) for f in (model.userFactors, model.itemFactors))
+    return model
 
 
 def gram(item_factors: DataFrame) -> np.ndarray | None:
@@ -90,9 +91,11 @@ def best_of(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np
 #: Items of a block, and blocks of the longest items that every user is scored with first.
 BLOCK, HEAD = 4096, 4
 #: Users that are scored together, and their blocks that a task takes for one part of the items.
-TOGETHER, RUN = 2048, 64
-#: Bounds are loosened by this share, more than products of doubles are off.
-SLACK = 1e-9
+TOGETHER, RUN = 512, 16
+#: Items of a part at most, which a task holds.
+PART = 500_000
+#: Bounds are loosened by this share, more than products of doubles are off; and by this one for products of floats, of up to a hundred numbers or so a factor.
+SLACK, COARSE = 1e-9, 2e-5
 
 
 def length(features: Column) -> Column:
@@ -107,11 +110,11 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
 def item_blocks(items: DataFrame, parts: int | None = None, block: int = BLOCK) -> DataFrame:
     """(part, block, longest, n, ids, factors): items by falling length, ``block`` to a row, as packed numbers.
 
-    Parts are ranges of lengths; without ``parts`` Spark sizes them.
+    Parts are ranges of lengths; without ``parts`` as many as hold ``PART`` items each.
     """
     placed = items.select(F.col("id").cast("long").alias("id"), "features", length(F.col("features")).alias("length"))
     order = (F.desc("length"), F.col("id"))
-    placed = placed.repartitionByRange(parts, *order) if parts else placed.repartitionByRange(*order)
+    placed = placed.repartitionByRange(parts or -(-items.count() // PART) or 1, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held = TaskContext.get().partitionId(), 0, None
@@ -139,7 +142,32 @@ Blocks = list[tuple[float, np.ndarray, np.ndarray]]
 
 def _unpacked(longest: float, ids: bytes, factors: bytes) -> tuple[float, np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
-    return longest, own, np.frombuffer(factors, np.float32).reshape(len(own), -1).astype(np.float64)
+    return longest, own, np.frombuffer(factors, np.float32).reshape(len(own), -1)
+
+
+def _products(users: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Row by row in double precision, equal factors to equal scores."""
+    return np.einsum("ij,ij->i", users.astype(np.float64), factors.astype(np.float64))
+
+
+def _hits(users: np.ndarray, least: np.ndarray, margin: np.ndarray, factors: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of all pairs that can reach ``least`` or, where there is none yet, be among the ``n`` best; a few others too.
+
+    Products of single precision are off by ``margin`` at most.
+    """
+    near = users @ factors.T
+    limit = least - margin
+    new = np.nonzero(least == -np.inf)[0]
+    if len(new) and len(factors) > n:
+        limit[new] = np.partition(near[new], len(factors) - n, axis=1)[:, len(factors) - n] - 2.0 * margin[new]
+    limit = np.nextafter((limit - 1e-36).astype(np.float32), np.float32(-np.inf))
+    below = near < limit[:, None]
+    reach = np.logical_not(below, out=below).ravel()
+    if len(reach) % 8:
+        return np.divmod(np.flatnonzero(reach), len(factors))
+    eights = np.flatnonzero(reach.view(np.uint64))  # nearly all are zero
+    at, place = np.nonzero(reach.reshape(-1, 8)[eights])
+    return np.divmod(eights[at] * 8 + place, len(factors))
 
 
 def _best(users: np.ndarray, floor: np.ndarray, blocks: Blocks, n: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -147,19 +175,31 @@ def _best(users: np.ndarray, floor: np.ndarray, blocks: Blocks, n: int) -> tuple
 
     The product of two lengths bounds a score.  Once it is below what a user has as
     their ``n``-th best (``floor`` to begin with), no later block is looked at for them.
-    Lists that are not full end in scores of minus infinity.
+    Products of single precision tell which pairs of a block can reach the ``n``-th best,
+    and only these are scored in double precision and merged.  Lists that are not full
+    end in scores of minus infinity.
     """
     scores, ids, least, done = np.full((len(users), n), -np.inf), np.full((len(users), n), np.iinfo(np.int64).max), floor.copy(), 0
-    size = np.sqrt((users * users).sum(axis=1))
+    size = np.sqrt((users.astype(np.float64) ** 2).sum(axis=1))
+    coarse = COARSE * max(1.0, users.shape[1] / 100)
     for longest, own, factors in blocks:
         open_ = np.nonzero(size * longest * (1 + SLACK) >= least - np.abs(least) * SLACK)[0]
         if not len(open_):
             break
-        new = np.concatenate((scores[open_], users[open_] @ factors.T), axis=1)
-        names = np.concatenate((ids[open_], np.broadcast_to(own, (len(open_), len(own)))), axis=1)
-        scores[open_], ids[open_] = best_of(new, names, n)
-        least[open_] = np.maximum(least[open_], scores[open_].min(axis=1))
         done += len(open_)
+        row, col = _hits(users[open_], least[open_], size[open_] * (longest * coarse), factors, n)
+        if not len(row):
+            continue
+        who, first, counts = np.unique(row, return_index=True, return_counts=True)
+        at = np.arange(len(row)) - np.repeat(first, counts)
+        some, line = open_[who], np.repeat(np.arange(len(who)), counts)
+        new, names = np.full((len(who), counts.max()), -np.inf), np.full((len(who), counts.max()), np.iinfo(np.int64).max)
+        names[line, at] = own[col]
+        for s in range(0, len(row), 1 << 16):
+            e = s + (1 << 16)
+            new[line[s:e], at[s:e]] = _products(users[open_[row[s:e]]], factors[col[s:e]])
+        scores[some], ids[some] = best_of(np.concatenate((scores[some], new), axis=1), np.concatenate((ids[some], names), axis=1), n)
+        least[some] = np.maximum(least[some], scores[some].min(axis=1))
     return scores, ids, done
 
 
@@ -171,7 +211,7 @@ def _with_head(users: DataFrame, head: Blocks, n: int) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, TOGETHER):
                 part = b.slice(s, TOGETHER)
-                x = _matrix(part.column("features"), len(part)).astype(np.float64)
+                x = _matrix(part.column("features"), len(part)).astype(np.float32)
                 scores, ids, _ = _best(x, np.full(len(x), -np.inf), head, n)
                 order = np.lexsort((ids, -scores), axis=1)
                 scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
@@ -244,10 +284,14 @@ def _beyond_head(users: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
     return tasks.mapInArrow(run, "user_id long, item_id long, als_score double, scored long")
 
 
-def _prepared(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame | None, n: int, parts: int | None, block: int, head: int) -> tuple[DataFrame, DataFrame | None]:
-    """Users with their best of the longest items, and what lies beyond these (None if nothing does)."""
+def laid_out(item_factors: DataFrame, pool: DataFrame | None, parts: int | None = None, block: int = BLOCK) -> DataFrame:
+    """The blocks of the pool's items, written: for several scorings of the same items."""
     items = item_factors.join(pool.select(F.col("item_id").alias("id")), "id", "left_semi") if pool is not None else item_factors
-    blocks = io.staged(item_blocks(items, parts, block), "items")
+    return io.staged(item_blocks(items, parts, block), "items")
+
+
+def _prepared(user_factors: DataFrame, blocks: DataFrame, n: int, head: int) -> tuple[DataFrame, DataFrame | None]:
+    """Users with their best of the longest items, and what lies beyond these (None if nothing does)."""
     order = (F.desc("longest"), F.col("part"), F.col("block"))
     first = blocks.orderBy(*order).limit(head + 1).collect()
     longest = [_unpacked(r["longest"], r["ids"], r["factors"]) for r in first[:head]]
@@ -259,7 +303,7 @@ def _prepared(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame
     return users, _beyond_head(io.staged(_user_blocks(users), "blocks"), rest, n)
 
 
-def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame | None = None, n: int = 400, parts: int | None = None, block: int = BLOCK, head: int = HEAD) -> DataFrame:
+def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFrame | None = None, n: int = 400, parts: int | None = None, block: int = BLOCK, head: int = HEAD, laid: DataFrame | None = None) -> DataFrame:
     """The ``n`` items of the pool with the greatest dot product for each user (both: id, features).
 
     Exact, with sums in double precision and ties to the smaller item.  Items lie in
@@ -268,9 +312,10 @@ def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFram
     score over the user's length is the least length that an item must have to
     matter.  Only parts with such items are then scored, and within them only the
     blocks before the bound is met, for blocks of users with like bounds.  No pair
-    becomes a row unless it reaches the user's ``n``-th best score so far.
+    becomes a row unless it reaches the user's ``n``-th best score so far.  Whoever
+    scores several groups of users gives the blocks (``laid_out``) as ``laid``.
     """
-    users, rest = _prepared(user_factors, item_factors, pool, n, parts, block, head)
+    users, rest = _prepared(user_factors, laid if laid is not None else laid_out(item_factors, pool, parts, block), n, head)
     own = users.select(F.col("id").alias("user_id"), F.posexplode("best").alias("als_rank", "b"))
     if rest is None:
         return own.select("user_id", "b.item_id", "b.als_score", "als_rank")
@@ -281,7 +326,7 @@ def score_top_n(user_factors: DataFrame, item_factors: DataFrame, pool: DataFram
 
 def pruned_share(user_factors: DataFrame, item_factors: DataFrame, n: int = 400, parts: int | None = None, block: int = BLOCK, head: int = HEAD) -> DataFrame:
     """One row: pairs of user and item block beyond the head that were ``scored``, and ``all_pairs`` of them."""
-    _, rest = _prepared(user_factors, item_factors, None, n, parts, block, head)
+    _, rest = _prepared(user_factors, laid_out(item_factors, None, parts, block), n, head)
     every = max(0, item_blocks(item_factors, parts, block).count() - head) * user_factors.count()
     found = rest.agg(F.coalesce(F.sum("scored"), F.lit(0)).cast("long").alias("scored")) if rest is not None else item_factors.sparkSession.range(1).select(F.lit(0).cast("long").alias("scored"))
     return found.withColumn("all_pairs", F.lit(every).cast("long"))

@@ -494,9 +494,9 @@ def fitted_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("m3_lists_of_listed_users")
 def lists_of_listed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on mapping B for all customers, those without orders included."""
-    log = ad.order_log(spark, sf_dir)
+    log, items = io.staged(ad.order_log(spark, sf_dir), "log"), io.staged(ad.items(spark, sf_dir), "items")
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
-    return recommend.run(spark, log, ad.items(spark, sf_dir), ad.contacts(spark), ad.CUTOFF_B_MS - 365 * ad.DAY_MS, users, k=K, days=3650, min_users=2, n=TOP, rounds=ROUNDS, depth=DEPTH)[0]
+    return recommend.run(spark, log, items, ad.contacts(spark), ad.CUTOFF_B_MS - 365 * ad.DAY_MS, users, k=K, days=3650, min_users=2, n=TOP, rounds=ROUNDS, depth=DEPTH)[0]
 
 
 @register("m4_covisit_lists_of_listed_users", f"""

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,8 +38,19 @@ def read_items(spark: SparkSession, path: str, columns: tuple[str, ...] = tuple(
     return spark.read.schema(schemas.ITEMS).parquet(path).select(*columns)
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_stage(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Write ``df``; the shuffle files of the write go when it is done."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -61,10 +75,29 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: The stages written within ``passing``.
+PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Of the stages written in here only the last is kept: at the end nothing may read the others any more."""
+    before, paths = PASSING.get(), []
+    PASSING.set(paths)
+    try:
+        yield
+    finally:
+        PASSING.set(before)
+        for path in paths[:-1]:
+            remove(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there."""
     path = shared_path(df.sparkSession, name)
     write_stage(df, path)
+    if (paths := PASSING.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
